@@ -497,13 +497,19 @@ def latest_state(runs: DataFrame, metrics: DataFrame) -> DataFrame:
     # One row; the scalar keeps the metric table's filter on its own scan.
     end = newest.select("r.window_end").scalar()
     empty = F.lit(None).cast("string")
+    gauges = [
+        ("run_status", F.col("r.status"), F.lit(1.0)),
+        ("window_events", empty, F.col("r.event_count").cast("double")),
+        ("labeled_events", empty, F.col("r.labeled_count").cast("double")),
+        ("last_success", F.col("ok").cast("string"), F.lit(1.0)),
+    ]
     head = newest.select(
         F.inline(
             F.array(
-                F.struct(F.lit("run_status").alias("gauge"), F.col("r.status").alias("label"), F.lit(1.0).alias("value")),
-                F.struct(F.lit("window_events"), empty, F.col("r.event_count").cast("double")),
-                F.struct(F.lit("labeled_events"), empty, F.col("r.labeled_count").cast("double")),
-                F.struct(F.lit("last_success"), F.col("ok").cast("string"), F.lit(1.0)),
+                *[
+                    F.struct(F.lit(g).alias("gauge"), label.alias("label"), v.alias("value"))
+                    for g, label, v in gauges
+                ]
             )
         )
     )

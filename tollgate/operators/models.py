@@ -2,7 +2,8 @@
 
 Fits are distributed by Spark ML. A fitted linear model is frozen to literals and scores as a
 plain column expression, the same in batch and stream. All candidates of a comparison are
-scored in one pass and evaluated in one aggregation per candidate.
+scored once into a narrow checkpointed table and evaluated together from there, so no model
+runs again for another metric and a lost executor costs no refit.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tollgate.functions.features import FEATURE_GROUPS, FEATURES, add_features
 from tollgate.operators.evaluate import evaluation_bundle
 from tollgate.operators.sampling import permuted_labels, positive_weight, weighted_sample
 from tollgate.schemas import TARGET, ContractError
+from tollgate.session import checkpointed
 
 # Search spaces.
 LOGISTIC_SPACE = {
@@ -289,6 +291,7 @@ def logistic_search(
         for t in trials
     }
     scored = score_candidates(tuning, {k: m.score() for k, m in fitted.items()}, id_col)
+    scored = checkpointed(scored)
     settings = fit.sparkSession.createDataFrame(
         [(t["trial_id"], t["positive_class_weight"], float(t["epochs"])) for t in trials],
         "candidate string, cost_1 double, cost_2 double",
@@ -318,6 +321,7 @@ def tree_search(
     settings = fit.sparkSession.createDataFrame(
         costs, "candidate string, cost_1 double, cost_2 double"
     )
+    scored = checkpointed(scored)
     return evaluation_bundle(scored).join(F.broadcast(settings), "candidate"), fitted
 
 
@@ -384,7 +388,7 @@ def ablation(
         model = fit_trees(sample, params, rounds, names=names)
         part = score_model(model, tuning, group, names, id_col)
         scored = part if scored is None else scored.unionByName(part)
-    return evaluation_bundle(scored).select(
+    return evaluation_bundle(checkpointed(scored)).select(
         F.col("candidate").alias("feature_group"),
         "average_precision",
         "roc_auc",
@@ -404,7 +408,8 @@ def permutation_test(
     shuffled = permuted_labels(weighted_sample(fit, max_negatives, id_col=id_col), id_col=id_col)
     held_out = weighted_sample(tuning, max_negatives, id_col=id_col).drop("weight")
     model = fit_trees(shuffled, {"max_depth": 3, "learning_rate": 0.1}, rounds)
-    bundle = evaluation_bundle(score_model(model, held_out, "permuted", id_col=id_col))
+    scored = checkpointed(score_model(model, held_out, "permuted", id_col=id_col))
+    bundle = evaluation_bundle(scored)
     return bundle.select(
         F.col("row_count").alias("evaluation_rows"),
         F.col("fraud_count").alias("evaluation_fraud_count"),
