@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tollgate.functions.exprs import text_lanes
 from tollgate.operators.keyed import attach
+from tollgate.session import checkpointed
 
 # Fixed value: most items a request may carry.
 MAX_BATCH = 1000
@@ -58,15 +59,29 @@ def first_attempts(attempts: DataFrame, order: str, payload: str) -> DataFrame:
 
 
 def classify_attempts(
-    attempts: DataFrame, order: str = "attempt", payload: str = "payload_hash"
+    attempts: DataFrame,
+    order: str = "attempt",
+    payload: str = "payload_hash",
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """New, replay (same payload as the first delivery) or conflict."""
-    joined = attach(
-        attempts, first_attempts(attempts, order, payload), "request_id", "_deliveries"
-    )
+    """New, replay (same payload as the first delivery) or conflict.
+
+    ``stored`` (request_id and payload) holds requests that were taken in before; they win over
+    any delivery among ``attempts``.
+    """
+    facts = first_attempts(attempts, order, payload)
+    known = F.lit(False)
+    if stored is not None:
+        before = stored.select("request_id", F.col(payload).alias("_before"))
+        facts = facts.join(before, "request_id", "left").withColumn(
+            "_first", F.struct("_first.o", F.coalesce("_before", "_first.p").alias("p"),
+                               F.col("_before").isNotNull().alias("known"))
+        ).drop("_before")
+        known = F.col("_first.known")
+    joined = attach(attempts, facts, "request_id", "_deliveries")
     status = (
         F.when(F.col(payload) != F.col("_first.p"), "conflict")
-        .when(F.col(order) == F.col("_first.o"), "new")
+        .when(~known & (F.col(order) == F.col("_first.o")), "new")
         .otherwise("replay")
     )
     return joined.withColumn("status", status).drop("_first")
@@ -136,8 +151,9 @@ def admit_batches(
     """One row per label batch with its faults; a batch with any fault is refused whole.
 
     Faults: prediction ids that do not exist, labels that differ from an earlier label for the
-    same prediction in this call, labels that differ from the stored one. ``submissions`` has
-    batch_id, position, prediction_id, actual_fraud; positions are unique and give the order.
+    same prediction in this call, labels that differ from the stored one, more than MAX_BATCH
+    submissions. ``submissions`` has batch_id, position, prediction_id, actual_fraud; positions
+    are unique and give the order.
     """
     first = submissions.groupBy("prediction_id").agg(
         F.min(F.struct("position", "actual_fraud")).alias("_first"),
@@ -174,7 +190,8 @@ def admit_batches(
             "admitted",
             (F.col("unknown_ids") == 0)
             & (F.col("label_conflicts") == 0)
-            & (F.col("stored_conflicts") == 0),
+            & (F.col("stored_conflicts") == 0)
+            & (F.col("submissions") <= MAX_BATCH),
         )
     )
 
@@ -185,10 +202,12 @@ def merge_outcomes(
     """The submissions of admitted batches, each flagged as replayed or not.
 
     Rows with ``replayed = false`` are the ones to insert: the first occurrence of a prediction
-    that has no stored label, with its own source and time.
+    that has no stored label, with its own source and time. An admitted batch has at most
+    MAX_BATCH rows, so batch_id is no skewed key here.
     """
-    batches = admissions.where("admitted").select("batch_id", F.col("submissions").alias("_n"))
-    accepted = attach(submissions, batches, "batch_id", "_n")
+    accepted = submissions.join(
+        checkpointed(admissions.where("admitted").select("batch_id")), "batch_id", "left_semi"
+    )
     first = accepted.groupBy("prediction_id").agg(
         F.min("position").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
