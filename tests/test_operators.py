@@ -596,3 +596,24 @@ def test_champions(spark):
     assert kept["champion"] == "unweighted_logistic" and kept["improvement"] == pytest.approx(0.0)
     low = spark.createDataFrame([("prior_probability", 0.7, 0.5, 0.1, 0.1, 1.0, 1.0), *same[1:]], names)
     assert one(models.baseline_champion(low))["champion"] == "prior_probability"
+
+
+def test_boundaries_on_the_cluster_equal_local_ones(spark, small_dir):
+    rows = canonical.transactions(spark, small_dir)
+    assert chrono.local_steps(rows, limit=10) is None
+    for shares in ((0.7, 0.15), (0.5, 0.25), (0.9, 0.05)):
+        assert chrono.cluster_boundaries(rows, *shares) == chrono.choose_boundaries(rows, *shares)
+    train = rows.where("step <= 481")
+    assert chrono.cluster_inner_windows(train) == chrono.inner_windows(train)
+    heavy = steps(spark, 5, range(1, 6))
+    assert chrono.cluster_boundaries(heavy, 0.5, 0.01) == chrono.choose_boundaries(heavy, 0.5, 0.01)
+    with pytest.raises(ContractError):
+        chrono.choose_boundaries(rows, 0.8, 0.2)
+
+
+def test_nth_smallest_narrows_to_a_tied_key(spark):
+    df = spark.range(300).select((F.col("id") % 2 * 5).alias("key"), "id")
+    want = sorted((i % 2 * 5, i) for i in range(300))
+    for n in (1, 100, 150, 151, 299):
+        assert ordered.nth_smallest(df, n, "key", "id", 4096.0, few=10) == want[n - 1]
+    assert ordered.nth_smallest(df, 300, "key", "id", 4096.0) is None

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tollgate.functions.exprs import equal_width_bin, f_beta, safe_ratio, sum_if
 from tollgate.operators.ordered import cut_points, running_totals
 from tollgate.schemas import TOP_K_PERCENTAGES, ContractError
+from tollgate.session import checkpointed
 
 # Quantile points of the score summary.
 SUMMARY_POINTS = [0.0, 0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999, 1.0]
@@ -383,7 +384,8 @@ def evaluation_bundle(
     by = list(by)
     if not by:
         raise ContractError("an evaluation bundle needs a grouping column")
-    curve = score_curve(scored, by=by)
+    # Everything below reads the curve: write it once instead of sorting it for each reader.
+    curve = checkpointed(score_curve(scored, by=by))
     half = F.max_by(
         _curve_point(), F.when(F.col("score") >= F.lit(0.5), F.col("n_upto"))
     )

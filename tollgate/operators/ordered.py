@@ -109,17 +109,8 @@ def running_totals(
     )
 
 
-def value_at(position: Column, key: str = "key", n: str = "n") -> Column:
-    """Aggregate: the key that covers a 0-based position in ascending running totals."""
-    covers = (F.col(f"{n}_upto") > position) & (F.col(f"{n}_upto") - F.col(n) <= position)
-    return F.max(F.when(covers, F.col(key)))
-
-
-def interpolated(q: float, key: str, n: str = "n", low=None, high=None) -> Column:
-    """Aggregate over ascending running totals: linear quantile ``q`` of the key."""
-    h = (F.col(f"{n}_total") - 1) * F.lit(float(q))
-    lo, hi = value_at(F.floor(h), key, n), value_at(F.ceil(h), key, n)
-    return lo + (hi - lo) * F.max(h - F.floor(h))
+def _position(q: float) -> str:
+    return f"((n_total - 1) * {float(q)!r}D)"
 
 
 def exact_quantiles(
@@ -129,52 +120,71 @@ def exact_quantiles(
     by: Sequence[str] = (),
     cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles, one output column per named quantile."""
+    """Exact linear-interpolation quantiles, one output column per named quantile.
+
+    Of the ranked distinct values only the few that cover a wanted position go on to the
+    final aggregation.
+    """
     ranks = running_totals(
         df.where(F.col(key).isNotNull()), key, {"n": F.count(F.lit(1))}, by=by, cuts=cuts
     )
-    return ranks.groupBy(*by).agg(
-        *[interpolated(q, key).alias(name) for name, q in quantiles.items()],
-        F.max("n_total").alias("n"),
-        F.min(key).alias("min_value"),
-        F.max(key).alias("max_value"),
-    )
-
-
-def smallest(
-    df: DataFrame,
-    n: int,
-    key: str,
-    id_col: str,
-    key_limit: int,
-) -> DataFrame:
-    """Rows with the ``n`` smallest (key, id); ``key`` is a number spread evenly on [0, key_limit).
-
-    A histogram of 4096 equal cells, folded map-side, finds the cell where the n-th row
-    falls. Only rows up to the end of that cell are ranked, so the shuffle carries about n
-    rows, not the table, and no task or driver ever holds the sample.
+    ranks = ranks.withColumn("_from", F.col("n_upto") - F.col("n"))
+    covers, picks = [], []
+    for name, q in quantiles.items():
+        h = _position(q)
+        low, high = f"(n_upto > floor({h}) AND _from <= floor({h}))", f"(n_upto > ceil({h}) AND _from <= ceil({h}))"
+        covers += [low, high]
+        lo, hi = f"max(CASE WHEN {low} THEN `{key}` END)", f"max(CASE WHEN {high} THEN `{key}` END)"
+        picks.append(F.expr(f"{lo} + ({hi} - {lo}) * max({h} - floor({h}))").alias(name))
+    needed = ranks.where(F.expr(" OR ".join(dict.fromkeys(covers))))
+    return needed.groupBy(*by).agg(*picks, F.max("n_total").alias("n"))
+
+
+def nth_smallest(
+    df: DataFrame, n: int, key: str, id_col: str, key_limit: float, few: int = 10_000
+) -> tuple[int, object] | None:
+    """The n-th smallest (key, id), or None if there are at most ``n`` rows.
+
+    ``key`` is a whole number spread evenly over [0, key_limit). A histogram of 4096 equal
+    cells, folded map-side, tells which cell holds the n-th row; that cell is cut again until
+    it holds ``few`` rows, which are sorted on the driver. A hash needs a scan or three, and no
+    row is ever shuffled.
     """
-    cell = F.floor(F.col(key) / F.lit(key_limit / 4096)).cast("int")
-    counts = df.groupBy(cell.alias("cell")).count().orderBy("cell").collect()
-    if sum(row["count"] for row in counts) <= n:
-        return df
-    seen = last = 0
-    for row in counts:
-        seen, last = seen + row["count"], row["cell"]
-        if seen >= n:
-            break
-    near = df.where(cell <= F.lit(last))
-    if seen == n:
-        return near
-    end = (last + 1) * (key_limit / 4096)
-    slabs = slab_count(df)
-    cuts = [end * i / slabs for i in range(1, slabs)]
-    # After the histogram only the short list of keys is ranked, then rows above the n-th drop.
-    ranked = running_totals(near, key, {"n": F.count(F.lit(1))}, then_by=[id_col], cuts=cuts)
-    at = ranked.where(F.col("n_upto") <= n).agg(
-        F.max(F.struct(F.col(key).alias("k"), F.col(id_col).alias("i"))).alias("m")
-    ).first()["m"]
-    return near.where(
-        (F.col(key) < F.lit(at["k"]))
-        | ((F.col(key) == F.lit(at["k"])) & (F.col(id_col) <= F.lit(at["i"])))
-    )
+    low, width, wanted = 0.0, float(key_limit), n
+    rows = df.select(key, id_col)
+    first = True
+    while True:
+        step = width / 4096
+        cell = F.floor((F.col(key) - F.lit(low)) / F.lit(step)).cast("int")
+        counts = rows.groupBy(cell.alias("cell")).count().orderBy("cell").collect()
+        if first and sum(r["count"] for r in counts) <= n:
+            return None
+        first = False
+        for row in counts:
+            if wanted <= row["count"]:
+                break
+            wanted -= row["count"]
+        low, width = low + row["cell"] * step, step
+        rows = rows.where((F.col(key) >= F.lit(low)) & (F.col(key) < F.lit(low + width)))
+        if row["count"] <= few:
+            edge = sorted((r[0], r[1]) for r in rows.collect())[wanted - 1]
+            return edge
+        if width <= 1.0:
+            # One key with many ids: rank the ids instead.
+            ranked = running_totals(rows, key, {"n": F.count(F.lit(1))}, then_by=[id_col], cuts=[])
+            edge = ranked.where(F.col("n_upto") == wanted).select(key, id_col).first()
+            return (edge[0], edge[1])
+
+
+def up_to(edge: tuple[int, object], key: str, id_col: str) -> Column:
+    """Rows whose (key, id) is at most ``edge``."""
+    k, i = F.lit(edge[0]), F.lit(edge[1])
+    return (F.col(key) < k) | ((F.col(key) == k) & (F.col(id_col) <= i))
+
+
+def smallest(df: DataFrame, n: int, key: str, id_col: str, key_limit: float) -> DataFrame:
+    """Rows with the ``n`` smallest (key, id): a plain filter once the n-th is known."""
+    if n <= 0:
+        return df.where(F.lit(False))
+    edge = nth_smallest(df, n, key, id_col, key_limit)
+    return df if edge is None else df.where(up_to(edge, key, id_col))

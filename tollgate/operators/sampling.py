@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions.exprs import hex_prefix, safe_ratio, seeded_key
-from tollgate.operators.ordered import smallest
+from tollgate.operators.ordered import nth_smallest, smallest, up_to
 from tollgate.schemas import TARGET
 
 _KEY = "_sample_key"
@@ -119,15 +119,9 @@ def permuted_labels(df: DataFrame, seed: int = 42, id_col: str = "txn_id") -> Da
     as the positive class. The hash uses another seed than the samples above do.
     """
     frauds = class_counts(df).first()["frauds"]
-    rows = keyed(df, seed + 1_000_003, id_col)
     if not frauds:
-        return rows.drop(_KEY)
-    edge = (
-        smallest(rows, frauds, _KEY, id_col, _KEY_LIMIT)
-        .agg(F.max(F.struct(F.col(_KEY).alias("k"), F.col(id_col).alias("i"))).alias("m"))
-        .first()["m"]
-    )
-    chosen = (F.col(_KEY) < F.lit(edge["k"])) | (
-        (F.col(_KEY) == F.lit(edge["k"])) & (F.col(id_col) <= F.lit(edge["i"]))
-    )
+        return df
+    rows = keyed(df, seed + 1_000_003, id_col)
+    edge = nth_smallest(rows, frauds, _KEY, id_col, _KEY_LIMIT)
+    chosen = F.lit(True) if edge is None else up_to(edge, _KEY, id_col)
     return rows.withColumn(TARGET, chosen.cast("int")).drop(_KEY)

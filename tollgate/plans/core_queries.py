@@ -23,14 +23,8 @@ def train_of(rows: DataFrame) -> DataFrame:
 
 
 def periods_of(rows: DataFrame) -> dict[str, StepWindow]:
-    bounds = chrono.choose_boundaries(rows)
-    train = rows.where(F.col("step") <= bounds.train)
-    inner = chrono.inner_windows(train)
-    return {
-        "train": StepWindow(inner["inner_fit"].low, bounds.train),
-        "inner_tuning": inner["inner_tuning"],
-        "official_validation": StepWindow(bounds.train + 1, bounds.validation),
-    }
+    found = chrono.audit_periods(rows)
+    return {p: found[p] for p in ("train", "inner_tuning", "official_validation")}
 
 
 @query(

@@ -97,11 +97,7 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f6_boosted_trees")
 def f6(spark: SparkSession, d: str) -> DataFrame:
-    rows = txn(spark, d)
-    train = train_of(rows)
-    inner = chrono.inner_windows(train)
-    fit = train.where(inner["inner_fit"].contains(F.col("step")))
-    tuning = train.where(inner["inner_tuning"].contains(F.col("step")))
+    fit, tuning = _inner(spark, d)
     sample = models.weighted_sample(fit, 500_000)
     model = models.fit_trees(
         sample, {"max_depth": 3, "learning_rate": 0.1}, 20, validation=tuning
@@ -114,12 +110,7 @@ def f6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f7_shallow_tree")
 def f7(spark: SparkSession, d: str) -> DataFrame:
-    train = train_of(txn(spark, d))
-    inner = chrono.inner_windows(train)
-    fit = models.weighted_sample(train.where(inner["inner_fit"].contains(F.col("step"))), 25_000)
-    tuning = models.weighted_sample(
-        train.where(inner["inner_tuning"].contains(F.col("step"))), 25_000
-    )
+    fit, tuning = (models.weighted_sample(part, 25_000) for part in _inner(spark, d))
     tree = models.fit_shallow_tree(fit)
     made = evaluate.evaluation_bundle(
         checkpointed(models.score_model(tree, tuning, "shallow_tree"))
@@ -193,9 +184,9 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _inner(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    train = train_of(txn(spark, d))
-    inner = chrono.inner_windows(train)
-    return tuple(train.where(inner[w].contains(F.col("step"))) for w in ("inner_fit", "inner_tuning"))
+    rows = txn(spark, d)
+    found = chrono.audit_periods(rows)
+    return tuple(rows.where(found[w].contains(F.col("step"))) for w in ("inner_fit", "inner_tuning"))
 
 
 @query("f11_logistic_search")
