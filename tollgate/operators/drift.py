@@ -78,13 +78,16 @@ class NumericProfile:
     def inner_edges(self) -> list[float]:
         return self.edges[1:-1]
 
-    def bucket(self, source: Column) -> Column:
-        """Bin of a value by the frozen inner edges; NULL when it is not finite.
+    def value(self, source: Column) -> Column:
+        """What is binned; NULL when it is not finite.
 
         A negative input to log1p fails the query, as it must not pass for drift.
         """
-        value = transformed(source, self.transformation)
-        return F.when(is_finite(source), bin_of(value, self.inner_edges))
+        return F.when(is_finite(source), transformed(source, self.transformation))
+
+    def bin(self, value: Column) -> Column:
+        """How many of the frozen inner edges are <= value."""
+        return F.when(value.isNotNull(), bin_of(value, self.inner_edges))
 
 
 @dataclass(frozen=True)
@@ -95,11 +98,14 @@ class CategoricalProfile:
     counts: list[int]
     missing: int = 0
 
-    def bucket(self, source: Column) -> Column:
+    def value(self, source: Column) -> Column:
+        return source
+
+    def bin(self, value: Column) -> Column:
         """Position of a category; anything else, NULL included, is the unknown bucket."""
         place = F.lit(len(self.categories))
         for i, c in reversed(list(enumerate(self.categories))):
-            place = F.when(source == c, F.lit(i)).otherwise(place)
+            place = F.when(value == c, F.lit(i)).otherwise(place)
         return place
 
 
@@ -113,6 +119,10 @@ class ReferenceProfile:
     row_count: int = 0
     extra: dict = field(default_factory=dict)
 
+    @property
+    def parts(self) -> list[NumericProfile | CategoricalProfile]:
+        return [*self.numeric, *self.categorical]
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
@@ -179,25 +189,38 @@ def quantile_edges(
     return wide.select("feature", F.array(*points).alias("edges"), "n")
 
 
-def bucket_counts(
+def with_bins(
     df: DataFrame, profile: ReferenceProfile, columns: dict[str, str] | None = None,
-    by: Sequence[str | Column] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows per (feature, bucket). Each row meets one hash entry, that of its bucket tuple; only
-    the tuples, at most a few ten thousand, are turned long."""
+    """The kept columns and one bin column ``b0``, ``b1``, ... per profiled feature.
+
+    Values are computed in a projection of their own: each is compared with many edges, and its
+    logarithm should be taken once.
+    """
     columns = columns or {}
-    parts = [*profile.numeric, *profile.categorical]
+    parts = profile.parts
+    values = df.select(
+        *keep,
+        *[
+            p.value(F.col(columns.get(p.column, p.column))).alias(f"v{i}")
+            for i, p in enumerate(parts)
+        ],
+    )
+    return values.select(*keep, *[p.bin(F.col(f"v{i}")).alias(f"b{i}") for i, p in enumerate(parts)])
+
+
+def bucket_counts(
+    df: DataFrame, profile: ReferenceProfile, columns: dict[str, str] | None = None
+) -> DataFrame:
+    """Rows per (feature, bucket). Each row meets one hash entry, that of its bin tuple; only the
+    tuples, at most a few ten thousand, are turned long."""
+    parts = profile.parts
     tuples = (
-        df.groupBy(
-            *by,
-            *[
-                p.bucket(F.col(columns.get(p.column, p.column))).alias(f"b{i}")
-                for i, p in enumerate(parts)
-            ],
-        )
+        with_bins(df, profile, columns)
+        .groupBy(*[f"b{i}" for i in range(len(parts))])
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    names = [b if isinstance(b, str) else tuples.columns[i] for i, b in enumerate(by)]
     rows = F.array(
         *[
             F.struct(F.lit(p.feature).alias("feature"), F.col(f"b{i}").alias("bucket"))
@@ -205,9 +228,9 @@ def bucket_counts(
         ]
     )
     return (
-        tuples.select(*names, "n", F.inline(rows))
+        tuples.select("n", F.inline(rows))
         .where(F.col("bucket").isNotNull())
-        .groupBy(*names, "feature", "bucket")
+        .groupBy("feature", "bucket")
         .agg(F.sum("n").alias("n"))
     )
 

@@ -11,41 +11,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.operators.drift import EVENT_COLUMN, ReferenceProfile
+from tollgate.operators.drift import EVENT_COLUMN, ReferenceProfile, with_bins
 
 
-def minute_items(profile: ReferenceProfile) -> Column:
-    """Array of (series, bucket, value) that one prediction event adds to its minute."""
-    parts = [
-        F.struct(
-            F.lit(p.feature).alias("series"),
-            p.bucket(F.col(EVENT_COLUMN[p.column])).cast("string").alias("bucket"),
-            F.lit(1.0).alias("value"),
-        )
-        for p in [*profile.numeric, *profile.categorical]
-    ]
+_OUTPUTS = ["prediction", "risk_level", "fraud_score"]
+
+
+def event_bins(events: DataFrame, profile: ReferenceProfile, time: str) -> DataFrame:
+    """Time, bins and model outputs of each event: what minute totals are made of."""
+    return with_bins(events, profile, EVENT_COLUMN, keep=[time, *_OUTPUTS])
+
+
+def minute_items(profile: ReferenceProfile, count: Column, score: Column) -> Column:
+    """Array of (series, bucket, n, total) that ``count`` like events add to their minute."""
 
-    def item(series: str, bucket: Column, value: Column) -> Column:
+    def item(series: str, bucket: Column, total: Column) -> Column:
         return F.struct(
-            F.lit(series).alias("series"), bucket.alias("bucket"), value.alias("value")
+            F.lit(series).alias("series"),
+            bucket.cast("string").alias("bucket"),
+            count.cast("bigint").alias("n"),
+            total.cast("double").alias("total"),
         )
 
-    one = F.lit(1.0)
-    parts += [
-        item("prediction", F.col("prediction").cast("string"), one),
-        item("risk_level", F.col("risk_level"), one),
-        item("fraud_score", F.lit("sum"), F.col("fraud_score")),
-    ]
-    return F.array(*parts)
+    parts = [item(p.feature, F.col(f"b{i}"), count) for i, p in enumerate(profile.parts)]
+    return F.array(
+        *parts,
+        item("prediction", F.col("prediction"), count),
+        item("risk_level", F.col("risk_level"), count),
+        item("fraud_score", F.lit("sum"), score),
+    )
 
 
 def minute_totals(events: DataFrame, profile: ReferenceProfile, minute: Column) -> DataFrame:
-    """K5: one row per (minute, series, bucket); the same call serves batch and stream."""
-    rows = events.select(minute.alias("minute"), F.inline(minute_items(profile)))
+    """K5: one row per (minute, series, bucket).
+
+    Events are folded per minute and bin tuple first, one hash update each; the long form is
+    made from the tuples.
+    """
+    bins = event_bins(events.withColumn("_minute", minute), profile, "_minute")
+    keys = [f"b{i}" for i in range(len(profile.parts))] + ["prediction", "risk_level"]
+    folded = bins.groupBy(F.col("_minute").alias("minute"), *keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("fraud_score").alias("_score")
+    )
+    rows = folded.select(
+        "minute", F.inline(minute_items(profile, F.col("_n"), F.col("_score")))
+    )
     return (
         rows.where(F.col("bucket").isNotNull())
         .groupBy("minute", "series", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     )
 
 

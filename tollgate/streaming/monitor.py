@@ -18,7 +18,7 @@ from tollgate.operators.drift import (
     run_summary,
     window_bounds,
 )
-from tollgate.operators.trailing import minute_items
+from tollgate.operators.trailing import event_bins, minute_items
 from tollgate.schemas import MONITORING_METRIC_SCHEMA, MONITORING_RUN_SCHEMA
 
 
@@ -26,13 +26,14 @@ def minute_stream(
     events: DataFrame, profile: ReferenceProfile, lateness: str = "10 minutes"
 ) -> DataFrame:
     """K5: per-minute totals in append mode; a minute appears once the watermark has passed it."""
-    rows = events.withWatermark("created_at", lateness).select(
-        "created_at", F.inline(minute_items(profile))
+    bins = event_bins(events.withWatermark("created_at", lateness), profile, "created_at")
+    rows = bins.select(
+        "created_at", F.inline(minute_items(profile, F.lit(1), F.col("fraud_score")))
     )
     return (
         rows.where(F.col("bucket").isNotNull())
         .groupBy(F.window("created_at", "1 minute").alias("w"), "series", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
         .select(F.col("w.start").alias("minute"), "series", "bucket", "n", "total")
     )
 
