@@ -293,24 +293,27 @@ def top_k(
         id_cuts = cut_points(scored, "id")
     # The broadcast side has len(percentages) rows per group.
     tied = scored.join(
-        F.broadcast(cutoff.select(*by, "score", "top_k_percentage", "take")), [*by, "score"]
+        F.broadcast(cutoff.select(*by, "score", "top_k_percentage")), [*by, "score"]
     )
+    # Only ids are ranked; where the wanted number of them is reached gives the last id to take.
+    groups = [*by, "top_k_percentage"]
     ranked = running_totals(
-        tied,
-        "id",
-        {
-            "n": F.count(F.lit(1)),
-            "pos": F.sum("label").cast("bigint"),
-            "money": sum_if(F.col("label") == 1, F.col("amount")),
-            "take": F.max("take"),
-        },
-        by=[*by, "top_k_percentage"],
-        cuts=id_cuts,
+        tied.select(*groups, "id"), "id", {"n": F.count(F.lit(1))}, by=groups, cuts=id_cuts
+    )
+    last = (
+        ranked.join(F.broadcast(cutoff.select(*groups, "take")), groups)
+        .where(F.col("n_upto") <= F.col("take"))
+        .groupBy(*groups)
+        .agg(F.max("id").alias("last_id"))
     )
     inside = (
-        ranked.where(F.col("n_upto") <= F.col("take"))
-        .groupBy(*by, "top_k_percentage")
-        .agg(F.sum("pos").alias("pos_tied"), F.sum("money").alias("money_tied"))
+        tied.join(F.broadcast(last), groups)
+        .where(F.col("id") <= F.col("last_id"))
+        .groupBy(*groups)
+        .agg(
+            F.sum("label").cast("bigint").alias("pos_tied"),
+            sum_if(F.col("label") == 1, F.col("amount")).alias("money_tied"),
+        )
     )
     frauds = F.col("pos_above") + F.col("pos_tied")
     money = F.col("money_above") + F.col("money_tied")

@@ -49,8 +49,8 @@ TREE_SPACE = {
 }
 MINIMUM_IMPROVEMENT = 0.001
 
-# An epoch of stochastic steps over all rows does about what ten full-gradient steps do.
-ITERATIONS_PER_EPOCH = 10
+# An epoch of stochastic steps over all rows does about what five full-gradient steps do.
+ITERATIONS_PER_EPOCH = 5
 
 
 @dataclass(frozen=True)

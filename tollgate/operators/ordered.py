@@ -66,7 +66,8 @@ def running_totals(
     """One row per (by, key, then_by) with each sum, its running and its overall total.
 
     For a sum ``n`` the output has ``n`` (this key), ``n_upto`` (this key and all keys
-    before it) and ``n_total``. ``by`` must be a handful of groups (candidates, periods);
+    before it) and ``n_total``. ``by`` must be a handful of groups (candidates, periods), because
+    a row per group and slab is broadcast;
     ``then_by`` breaks ties between rows of the same ``key``. Slabs come from ``cuts``, or
     from ``slab``, any non-decreasing function of the key, or else from a sketch of the key.
     """
@@ -75,9 +76,7 @@ def running_totals(
         cuts = cut_points(df, key)
     cells = df.groupBy(*by, key, *then_by).agg(*[c.alias(n) for n, c in sums.items()])
     cells = assign_slab(cells, key, cuts) if slab is None else cells.withColumn("_slab", slab)
-    # Never NULL, so that the join below adds no filter to one side only and both sides
-    # keep reading the same shuffle.
-    cells = cells.withColumn("_slab", F.coalesce("_slab", F.lit(0)).cast("int"))
+    cells = cells.withColumn("_slab", F.coalesce(F.col("_slab").cast("double"), F.lit(0.0)))
 
     def ordered(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
@@ -87,7 +86,7 @@ def running_totals(
         .orderBy(ordered(key), *then_by)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # One row per slab and group: a few thousand rows at most, whatever the data size.
+    # One row per slab and group, whatever the data size; slabs are as many as shuffle partitions.
     slabs = cells.groupBy(*by, "_slab").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     earlier = (
         Window.partitionBy(*by)
@@ -96,16 +95,21 @@ def running_totals(
     )
     whole = Window.partitionBy(*by)
     slabs = slabs.select(
-        *by,
-        "_slab",
+        *[F.col(c).alias(f"_by_{c}") for c in by],
+        F.col("_slab").alias("_by_slab"),
         *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_before") for n in sums],
         *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in sums],
     )
+    # Null-safe equality keeps NULL groups, and it adds no IS NOT NULL filter to one side, which
+    # would make the two sides read different shuffles.
+    same = F.col("_slab").eqNullSafe(F.col("_by_slab"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     return (
         cells.withColumns({f"{n}_upto": F.sum(n).over(inside) for n in sums})
-        .join(slabs, [*by, "_slab"], "left")
+        .join(F.broadcast(slabs), same, "left")
         .withColumns({f"{n}_upto": F.col(f"{n}_upto") + F.col(f"_{n}_before") for n in sums})
-        .drop("_slab", *[f"_{n}_before" for n in sums])
+        .drop("_slab", "_by_slab", *[f"_by_{c}" for c in by], *[f"_{n}_before" for n in sums])
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,24 @@ def local_session(cores: int | str = "*", app: str = "tollgate", memory: str = "
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a scratch folder only where none is named, as in
+    tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder, so that lost executors cost nothing.
+    """Cut lineage: write the rows as a table in the shared folder and read that.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests, a scratch folder is used.
+    A lost executor then costs a re-read, never a recomputation. Unlike a checkpoint of rows the
+    table is columnar, so later steps read only the columns they need, and its true size is
+    known when joins are planned.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
