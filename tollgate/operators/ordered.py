@@ -67,9 +67,9 @@ def running_totals(
 
     For a sum ``n`` the output has ``n`` (this key), ``n_upto`` (this key and all keys
     before it) and ``n_total``. ``by`` must be a handful of groups (candidates, periods), because
-    a row per group and slab is broadcast;
-    ``then_by`` breaks ties between rows of the same ``key``. Slabs come from ``cuts``, or
-    from ``slab``, any non-decreasing function of the key, or else from a sketch of the key.
+    a row per group and slab is broadcast. ``then_by`` breaks ties between rows of the same
+    ``key``. Slabs come from ``cuts``, or from ``slab``, any non-decreasing function of the key,
+    or else from a sketch of the key.
     """
     by, then_by = list(by), list(then_by)
     if slab is None and cuts is None:

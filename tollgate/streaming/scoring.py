@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions.exprs import predict, risk_level
-from tollgate.functions.features import FEATURES, feature_columns
+from tollgate.functions.features import feature_columns
 from tollgate.operators.quality import contract
 from tollgate.schemas import MEDIUM_THRESHOLD, OPERATIONAL_THRESHOLD
 
-_FEATURE_PREFIX = "_f_"
-
 
 def request_items(requests: DataFrame) -> DataFrame:
     """One row per item of each request's array, with its index."""
@@ -53,6 +51,3 @@ def score_rows(
         }
     )
 
-
-def feature_names() -> list[str]:
-    return list(FEATURES)
