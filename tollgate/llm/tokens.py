@@ -24,7 +24,9 @@ END_ID = 2
 #: Text bytes meant for one shard.
 SHARD_BYTES = 12_000_000
 #: Words whose ids a worker remembers before it keeps only those that come up again.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Texts encoded together.
+TOGETHER = 50
 
 
 class Encoder:
@@ -38,10 +40,13 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = normalizers.Sequence([])  # plain words are in normal form
+        self.encode_plain = bare.encode_batch_fast
+        vocab = bare.get_vocab(with_added_tokens=True)
         if max(vocab.values()) > 65_535:
             raise ValueError("ids need more than 16 bits")
         self.last = np.zeros(65_536, bool)
@@ -56,7 +61,7 @@ class Encoder:
         return np.array(self.encode([text], add_special_tokens=False)[0].ids, "<u2")
 
     def learn(self, words: list[str]) -> None:
-        ids = self.ids(" ".join(words))
+        ids = np.array(self.encode_plain([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
         ends = np.flatnonzero(self.last[ids]) + 1
         cut = np.cumsum([len(self.pieces(w)) for w in words])
         if len(ends) == cut[-1]:
@@ -65,20 +70,20 @@ class Encoder:
         else:
             self.known.update((w, self.ids(w).tobytes()) for w in words)
 
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text or not self.plain(text):
-            return self.ids(text).tobytes()
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known, self.older = {}, self.known
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            self.known.update((w, self.older[w]) for w in new if w in self.older)
-            if new := [w for w in new if w not in self.older]:
-                self.learn(new)
-            return b"".join(map(self.known.__getitem__, words))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of a few texts at a time: their new words are learned together."""
+        words = [None if "<|" in x or not self.plain(x) else x.lower().split() for x in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = set().union(*filter(None, words)) - self.known.keys()
+        if again := new & self.older.keys():
+            self.known.update((w, self.older[w]) for w in again)
+            new -= again
+        new = list(new)
+        for at in range(0, len(new), 1000):
+            self.learn(new[at : at + 1000])
+        get = self.known.__getitem__
+        return [self.ids(x).tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(texts, words)]
 
 
 @lru_cache(1)
@@ -111,10 +116,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            for x in batch.column(1):
-                got = encode(x.as_py()) + end
-                lengths.append(len(got) // 2)
-                data.append(got)
+            for at in range(0, batch.num_rows, TOGETHER):
+                for got in encode(batch.column(1).slice(at, TOGETHER).to_pylist()):
+                    lengths.append(len(got) // 2 + 1)
+                    data += [got, end]
         if not ids:
             return
         shard = TaskContext.get().partitionId()
