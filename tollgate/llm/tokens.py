@@ -25,6 +25,8 @@ END_ID = 2
 SHARD_BYTES = 12_000_000
 #: Words whose ids a worker remembers before it keeps only those that come up again.
 REMEMBERED = 500_000
+#: Marks that end words; a run of them is a piece of its own.
+STOPS = ".,;:!?|#$%&*"
 #: Texts encoded together.
 TOGETHER = 50
 
@@ -60,6 +62,17 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.encode([text], add_special_tokens=False)[0].ids, "<u2")
 
+    def join(self, word: str) -> bool:
+        """Whether a word is known now as a known one and the stops after it."""
+        bare = word.rstrip(STOPS)
+        if bare not in self.known or not bare[-1].isalnum():
+            return False
+        stops = word[len(bare) :]
+        if stops not in self.known:
+            self.learn([stops])
+        self.known[word] = self.known[bare] + self.known[stops]
+        return True
+
     def learn(self, words: list[str]) -> None:
         ids = np.array(self.encode_plain([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
         ends = np.flatnonzero(self.last[ids]) + 1
@@ -75,11 +88,13 @@ class Encoder:
         words = [None if "<|" in x or not self.plain(x) else x.lower().split() for x in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new = set().union(*filter(None, words)) - self.known.keys()
-        if again := new & self.older.keys():
+        new = [w for w in set().union(*filter(None, words)) if w not in self.known]
+        if again := [w for w in new if w in self.older]:
             self.known.update((w, self.older[w]) for w in again)
-            new -= again
-        new = list(new)
+            new = [w for w in new if w not in self.known]
+        if bare := [b for w in new if (b := w.rstrip(STOPS)) and b is not w and b not in self.known]:
+            self.learn(list(dict.fromkeys(bare)))
+            new = [w for w in new if w not in self.known and not self.join(w)]
         for at in range(0, len(new), 1000):
             self.learn(new[at : at + 1000])
         get = self.known.__getitem__

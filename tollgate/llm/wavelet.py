@@ -60,21 +60,22 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        alphabet = np.unique(ids).astype("<u4")
-        codes = np.searchsorted(alphabet, ids).astype(np.uint32)
+        seen = np.bincount(ids, minlength=1) > 0
+        alphabet = np.flatnonzero(seen).astype("<u4")
+        codes = (np.cumsum(seen) - 1).astype(np.uint16 if len(alphabet) <= 65_536 else np.uint32)[ids]
         planes = []
         for bit in reversed(range(max(0, len(alphabet) - 1).bit_length())):
-            ones = (codes >> bit) & 1 != 0
+            ones = codes & codes.dtype.type(1 << bit) != 0
             planes.append(Plane.of(ones))
             codes = np.concatenate([codes[~ones], codes[ones]])
         return cls(alphabet, planes, len(ids))
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes are undone from the last to the first."""
-        codes = np.zeros(self.n, np.uint32)
+        codes = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level, plane in enumerate(reversed(self.planes)):
-            ones, before = plane.bits(), np.empty(self.n, np.uint32)
-            before[~ones], before[ones] = codes[: plane.zeros], codes[plane.zeros :] | np.uint32(1 << level)
+            ones, before = plane.bits(), np.empty_like(codes)
+            before[~ones], before[ones] = codes[: plane.zeros], codes[plane.zeros :] | codes.dtype.type(1 << level)
             codes = before
         return self.alphabet[codes] if self.n else np.empty(0, "<u4")
 
