@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from tollgate.llm import simhash, tokens  # noqa: F401
+from tollgate.llm import mixing, packing, simhash, tokens  # noqa: F401
 from tollgate.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
