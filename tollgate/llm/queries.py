@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from tollgate.llm import compression, mixing, packing, simhash, tokens, toxicity  # noqa: F401
+from tollgate.llm import compression, decontam, mixing, multiindex, packing, simhash, tokens, toxicity  # noqa: F401
 from tollgate.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
