@@ -145,18 +145,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame
     in blocks of bounded size. Null and empty items and texts match nothing; repeated rows and
     items give a row each; without items or documents there are none.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
     chosen = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
     schema = ", ".join([*fields, f"item_id {dict(benchmark.dtypes)['item_id']}, edits int, item_chars int, start long, end long"])
-    out = spark.createDataFrame([], schema)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for indexes in _blocks(benchmark):
+        out = out.union(_search(chosen, indexes, schema))
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, in one pass per block and no shuffle."""
+    for indexes in _blocks(benchmark):
+        docs = _filter(docs, indexes)
+    return docs
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[Items]]:
+    """Indexes of the benchmark's items, a block of bounded size at a time."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_CHARS))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         groups: dict[int, tuple[list, list]] = {}
-        for r in rows:
+        for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect():
             if text := normal(r.text):
                 k = int(EDIT_RATE * len(text))
                 q = next((q for q in (LONG_Q, SHORT_Q, 2, 1) if len(text) - q + 1 - k * q >= (3 if q == LONG_Q else 1)), 1)
@@ -164,20 +176,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame
                 ids.append(r.item_id)
                 texts.append(text)
         if groups:
-            out = out.union(_search(chosen, [Items(ids, texts, q) for q, (ids, texts) in groups.items()], schema))
-    return out
+            yield [Items(ids, texts, q) for q, (ids, texts) in groups.items()]
+
+
+def _portions(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Place of the first and normalised texts of portions of about TOGETHER characters."""
+    texts, first, size = [], 0, 0
+    for at, x in enumerate(column):
+        texts.append(normal(x.as_py()))
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield first, texts
+            texts, first, size = [], at + 1, 0
+    if texts:
+        yield first, texts
+
+
+def _filter(docs: DataFrame, indexes: list[Items]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.zeros(batch.num_rows, bool)
+            for first, texts in _portions(batch.column("text")):
+                held[[first + f[0] for ix in indexes for f in find(ix, texts)]] = True
+            yield batch.filter(pa.array(~held))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _search(chosen: DataFrame, indexes: list[Items], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                texts, first, size = [], at, 0
-                while at < batch.num_rows and size < TOGETHER:
-                    texts.append(normal(batch.column(0)[at].as_py()))
-                    size += len(texts[-1])
-                    at += 1
+            for first, texts in _portions(batch.column(0)):
                 found = [(first + d, ix.ids[i], e, len(ix.items[i]), s, t) for ix in indexes for d, i, e, s, t in find(ix, texts)]
                 if found:
                     kept = batch.take(pa.array([f[0] for f in found])).columns[1:]

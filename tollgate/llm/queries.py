@@ -1,6 +1,20 @@
-"""All queries of this subpackage."""
+"""All queries of this subpackage, and the pipeline's."""
 
-from tollgate.llm import compression, decontam, mixing, multiindex, packing, simhash, tokens, toxicity  # noqa: F401
-from tollgate.llm.registry import ORACLES, QUERIES
+import corpus_pipeline
+from tollgate.llm import (  # noqa: F401
+    compression,
+    decontam,
+    mixing,
+    multiindex,
+    packing,
+    privacy,
+    repeats,
+    simhash,
+    tokens,
+    toxicity,
+)
+from tollgate.llm.registry import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tollgate.llm.components import Forest, components
@@ -204,6 +204,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return prints.join(classes.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of every component: of the smallest id, then of the smallest hash of
+    the text; of equal rows with that id and text one stays. A null id counts as the largest."""
+    key = [F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long").alias("key"), F.xxhash64("text").alias("mixed")]
+    prints = checkpointed(fingerprints(docs.select("text", *key), "key", "mixed"))
+    found = components(near_links(prints, radius), "a", "b")
+    classes = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    kept = classes.agg(F.min(F.struct("key", "mixed")).alias("kept")).select("kept.*").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(*key, row).join(kept, ["key", "mixed"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key", "mixed").orderBy("key"))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
+
+
 @query("op1_simhash_vp_tree")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
