@@ -115,15 +115,18 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time the mix takes a whole
     document, and one with the words of the taken blocks where it takes a part."""
     names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
-    rows = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"), row)
+    others = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("__row")
+    rows = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"), others)
     rows = apportioned(rows, source_targets(checkpointed(docs.select("source", word_count(F.col("text")).alias("size")))))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.transform(F.col("blocks"), lambda x: F.array_join(F.slice(words, (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")), ""))
+    # a text is split once, whatever the number of its blocks: hence the array of one
+    part = F.transform(
+        F.array(F.struct(words.alias("words"), F.col("blocks").alias("blocks"))),
+        lambda z: F.array_join(F.flatten(F.transform(z["blocks"], lambda x: F.slice(z["words"], (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")))), ""),
+    )
     taken = F.aggregate("blocks", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
-    cut = F.when(taken == F.col("size"), F.col("text")).when(taken > 0, F.array_join(part, ""))
-    texts = F.concat(F.array_repeat("text", F.col("whole").cast("int")), F.when(cut.isNotNull(), F.array(cut)).otherwise(F.array().cast("array<string>")))
-    rows = rows.select("__row", F.explode(texts).alias("__text"))
+    cut = F.when(taken == F.col("size"), F.array("text")).when(taken > 0, part).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("__row", F.explode(F.concat(F.array_repeat("text", F.col("whole").cast("int")), cut)).alias("__text"))
     return rows.select(*[F.col("__text").alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in names])
 
 

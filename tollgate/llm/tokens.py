@@ -24,7 +24,7 @@ END_ID = 2
 #: Text bytes meant for one shard.
 SHARD_BYTES = 12_000_000
 #: Words whose ids a worker remembers before it keeps only those that come up again.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 #: Marks that end words; a run of them is a piece of its own.
 STOPS = ".,;:!?|#$%&*"
 #: Texts encoded together.
@@ -150,7 +150,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             names=["shard", "path", "n_docs", "n_tokens"],
         )
 
-    return checkpointed(rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"))
+    # a worker holds a shard's ids besides a batch of texts, so batches are kept small
+    conf, size = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(size)
+    conf.set(size, 500)
+    try:
+        return checkpointed(rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"))
+    finally:
+        conf.set(size, before)
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
