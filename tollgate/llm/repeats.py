@@ -32,8 +32,9 @@ TOGETHER = 4_000_000
 BUCKET_BYTES = 10_000_000
 NO_ID = -(2**63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: A stretch: its document, the place of its gram, how far before it the first and the last
+#: A sign: the gram's hash, hashes of the bytes beside it, the document's key. A stretch: its document, the place of its gram, how far before it the first and the last
 #: string start, the gram's hash and the bytes around the gram (0 outside the strings).
+SIGN = np.dtype([("hash", "<u4"), ("left", "<u2"), ("right", "<u2"), ("key", "<i8")])
 STRETCH = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("gram", "<i8"), ("hash", "<u4"), ("first", "u1"), ("last", "u1"), ("bytes", "u1", (WIDTH,))])
 
 
@@ -48,52 +49,85 @@ def _mixed(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def stretches(texts: list[bytes], docs: np.ndarray, ties: np.ndarray) -> np.ndarray:
-    """All stretches of the texts."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts) + bytes(WIDTH), np.uint8)
-    n = len(data) - WIDTH
-    if not (sizes >= LENGTH).any():
-        return np.empty(0, STRETCH)
-    with np.errstate(over="ignore"):
-        h = (data.astype(np.uint64) + np.uint64(1)) * MIX
-        parts = [h]
-        for step in (1, 2, 4, 8):
-            p = parts[-1]
-            parts.append((p[:-step] ^ (p[:-step] >> np.uint64(29))) * MIX + p[step:])
-        h = (parts[4][:-8] ^ (parts[4][:-8] >> np.uint64(29))) * MIX + parts[3][16 : 16 + len(parts[4]) - 8]
-        h = (h ^ (h >> np.uint64(32))) * MIX
-    # the lowest hash, then the leftmost place, in every window of SPAN + 1 grams
-    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    reach = 1
-    while 2 * reach <= SPAN + 1:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    rest = SPAN + 1 - reach
-    low = np.minimum(low[: len(low) - rest], low[rest:])[: max(0, n - LENGTH + 1)]
-    starts = np.arange(len(low))
-    owner = np.searchsorted(ends, starts, side="right")
-    inside = starts + LENGTH <= ends[np.minimum(owner, len(ends) - 1)]
-    starts, owner, low = starts[inside], owner[inside], low[inside]
-    new = np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])
-    first = starts[new]
-    last = starts[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
-    owner, low = owner[new], low[new]
-    gram = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    out = np.empty(len(first), STRETCH)
-    out["doc"], out["tie"], out["hash"] = docs[owner], ties[owner], (low >> np.uint64(32)).astype(np.uint32)
-    out["gram"] = gram - (ends - sizes)[owner]
-    out["first"], out["last"] = gram - first, gram - last
-    around = sliding_window_view(np.concatenate([np.zeros(SPAN, np.uint8), data]), WIDTH)
+class Runs:
+    """The runs of string starts of some texts that share a lowest gram."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        self.data = data = np.frombuffer(b"".join(texts) + bytes(WIDTH), np.uint8)
+        n = len(data) - WIDTH
+        with np.errstate(over="ignore"):
+            h = (data.astype(np.uint64) + np.uint64(1)) * MIX
+            parts = [h]
+            for step in (1, 2, 4, 8):
+                p = parts[-1]
+                parts.append((p[:-step] ^ (p[:-step] >> np.uint64(29))) * MIX + p[step:])
+            h = (parts[4][:-8] ^ (parts[4][:-8] >> np.uint64(29))) * MIX + parts[3][16 : 16 + len(parts[4]) - 8]
+            self.grams = h = (h ^ (h >> np.uint64(32))) * MIX
+        # the lowest hash, then the leftmost place, in every window of SPAN + 1 grams
+        low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        reach = 1
+        while 2 * reach <= SPAN + 1:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        rest = SPAN + 1 - reach
+        low = np.minimum(low[: len(low) - rest], low[rest:])[: max(0, n - LENGTH + 1)]
+        starts = np.arange(len(low))
+        owner = np.repeat(np.arange(len(texts)), sizes)[: len(low)]
+        inside = starts + LENGTH <= ends[owner]
+        starts, owner, low = starts[inside], owner[inside], low[inside]
+        new = np.concatenate([np.ones(min(1, len(low)), bool), (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])
+        at = np.flatnonzero(new)
+        last = starts[np.append(at[1:], len(starts))[: len(at)] - 1]
+        self.owner, low = owner[new], low[new]
+        self.gram = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.place = self.gram - (ends - sizes)[self.owner]
+        self.hash = (low >> np.uint64(32)).astype(np.uint32)
+        self.first, self.last = self.gram - starts[new], self.gram - last
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Short hashes of the SIDE bytes before and after the gram, 0 where no string holds them."""
+        out = []
+        for a, whole in ((self.gram - SIDE, self.first >= SIDE), (self.gram + GRAM, SPAN - self.last >= SIDE)):
+            a = np.where(whole, a, 0)
+            with np.errstate(over="ignore"):
+                h = (self.grams[a] * MIX) ^ self.grams[a + SIDE - GRAM]
+            out.append(np.where(whole, (h >> np.uint64(48)) | np.uint64(1), 0).astype(np.uint16))
+        return out[0], out[1]
+
+
+def stretches(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
+    """The stretches of the texts whose grams have a hash that is wanted of their text."""
+    runs = Runs(texts)
+    keep = np.zeros(len(runs.hash), bool)
+    cuts = np.searchsorted(runs.owner, np.arange(len(texts) + 1))
+    for a, b, want in zip(cuts, cuts[1:], wanted):
+        keep[a:b] = np.isin(runs.hash[a:b], want)
+    gram, first, last = runs.gram[keep], runs.first[keep], runs.last[keep]
+    out = np.empty(len(gram), STRETCH)
+    out["doc"], out["tie"], out["hash"] = docs[runs.owner[keep]], ties[runs.owner[keep]], runs.hash[keep]
+    out["gram"], out["first"], out["last"] = runs.place[keep], first, last
+    around = sliding_window_view(np.concatenate([np.zeros(SPAN, np.uint8), runs.data]), WIDTH)
     place = np.arange(WIDTH)[None]
-    for at in range(0, len(first), 20_000):
+    for at in range(0, len(gram), 20_000):
         s = slice(at, at + 20_000)
-        f, t = SPAN - out["first"][s].astype(np.int16), SPAN - out["last"][s].astype(np.int16) + LENGTH
-        out["bytes"][s] = around[gram[s]] * ((place >= f[:, None]) & (place < t[:, None]))
+        out["bytes"][s] = around[gram[s]] * ((place >= SPAN - first[s, None]) & (place < SPAN - last[s, None] + LENGTH))
     return out
 
 
+def shared(signs: np.ndarray) -> np.ndarray:
+    """Of a bucket's signs, those of a gram that another sign has with the same bytes before it or
+    with the same bytes after it: no other stretch can hold a string that comes up twice."""
+    out = np.zeros(len(signs), bool)
+    for side in ("left", "right"):
+        key = (signs["hash"].astype(np.uint64) << np.uint64(16)) | signs[side]
+        at = np.flatnonzero(signs[side])
+        _, inverse, count = np.unique(key[at], return_inverse=True, return_counts=True)
+        out[at] |= count[inverse] > 1
+    return signs[out]
+
+
 def _in_order(rows: np.ndarray) -> np.ndarray:
     """Rows in the order of documents and places; a place told twice (equal rows) counts once."""
     rows = rows[np.lexsort((rows["gram"], rows["tie"], rows["doc"]))]
@@ -170,41 +204,56 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = rows.select("*", F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64("text").alias("tie"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    rows = rows.withColumn("key", F.xxhash64("doc", "tie"))
+    facts = checkpointed(rows.select("doc", "tie", "key", F.octet_length("text").alias("size")))
+    buckets = max(1, -(-(facts.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+    # of equal texts all but the first go whole
+    least = facts.where(F.col("size") >= LENGTH).groupBy("tie", "size").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = checkpointed(facts.join(least, ["tie", "size"]).where("doc != least").select("doc", "tie", "key", F.lit(0).cast("long").alias("from"), (F.col("size") - LENGTH + 1).cast("long").alias("to")).distinct())
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for texts, keys in _together(batches, "key"):
+            runs = Runs(texts)
+            signs = np.empty(len(runs.hash), SIGN)
+            signs["hash"], signs["key"] = runs.hash, keys[runs.owner]
+            signs["left"], signs["right"] = runs.sides()
+            signs, times = np.unique(signs[(signs["left"] > 0) | (signs["right"] > 0)], return_counts=True)
+            signs = np.repeat(signs, np.minimum(times, 2))  # two tell of a repeat in one text
+            for b, part in _dealt(signs, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([press.compress(part.tobytes())], pa.binary())], names=["bucket", "blob"])
+
+    def wanted(bucket: pa.Table) -> pa.Table:
+        signs = shared(_unpressed(bucket, SIGN))
+        signs = signs[np.argsort(signs["key"], kind="stable")]
+        keys, at = np.unique(signs["key"], return_index=True)
+        blobs = [x.tobytes() for x in np.split(signs["hash"], at[1:])] if len(keys) else []
+        return pa.table({"key": pa.array(keys, pa.int64()), "want": pa.array(blobs, pa.binary())})
+
+    signs = rows.select("text", "key").where(F.octet_length("text") >= LENGTH).mapInArrow(sign, "bucket long, blob binary")
+    wants = signs.groupBy("bucket").applyInArrow(wanted, "key long, want binary")
+    wants = checkpointed(wants.groupBy("key").agg(F.collect_list("want").alias("want")).join(copies.select("key"), "key", "left_anti"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for texts, doc, tie in _together(batches):
-            found = _in_order(stretches(texts, doc, tie))
-            if not len(found):
-                continue
-            first = _first_of_each(found)
-            gone, found = found[~first], found[first]
-            bucket = ((found["hash"].astype(np.uint64) * MIX) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.lexsort((found["hash"], bucket))
-            found, bucket = found[order], bucket[order].astype(np.int64)
-            ids, at = np.unique(bucket, return_index=True)
-            blobs = [press.compress(x.tobytes()) for x in np.split(found, at[1:])]
-            empty = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary()), empty, empty, empty, empty], names=["bucket", "blob", "doc", "tie", "from", "to"])
-            sure = _covered(gone)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(gone), pa.int64()), pa.nulls(len(gone), pa.binary()), *sure.columns], names=["bucket", "blob", "doc", "tie", "from", "to"])
-
-    ranges = "doc long, tie long, `from` long, `to` long"
-    pieces = checkpointed(rows.select("text", "doc", "tie").where(F.octet_length("text") >= LENGTH).mapInArrow(cut, f"bucket long, blob binary, {ranges}"))
+        for texts, doc, tie, want in _together(batches, "doc", "tie", "want"):
+            hashes = [np.frombuffer(b"".join(w), "<u4") for w in want]
+            found = _in_order(stretches(texts, doc, tie, hashes))
+            for b, part in _dealt(found, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([press.compress(part.tobytes())], pa.binary())], names=["bucket", "blob"])
+
+    # the exchange of the texts by key serves this join and the last one
+    pieces = rows.join(wants, "key").select("doc_id", "text", "doc", "tie", "want").mapInArrow(cut, "bucket long, blob binary")
 
     def search(bucket: pa.Table) -> pa.Table:
-        unpress = zstandard.ZstdDecompressor()
-        parts = [np.frombuffer(unpress.decompress(x.as_py()), STRETCH) for x in bucket.column("blob")]
         kind = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
-        return pa.Table.from_batches(repeated(np.concatenate(parts)), kind)
+        return pa.Table.from_batches(repeated(_unpressed(bucket, STRETCH)), kind)
 
-    met = pieces.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(search, ranges)
-    covered = met.union(pieces.where("bucket is null").select("doc", "tie", "from", "to"))
-    covered = covered.groupBy("doc", "tie").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
-    nth = F.row_number().over(Window.partitionBy("doc", "tie").orderBy("doc"))
-    joined = rows.withColumn("nth", nth).join(covered, ["doc", "tie"], "left").select("doc_id", "text", "nth", "ranges")
+    met = pieces.groupBy("bucket").applyInArrow(search, "doc long, tie long, `from` long, `to` long")
+    covered = met.withColumn("key", F.xxhash64("doc", "tie")).select("key", "from", "to").union(copies.select("key", "from", "to"))
+    covered = covered.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+    joined = rows.withColumn("nth", nth).join(covered, "key", "left").select("doc_id", "text", "nth", "ranges")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,19 +270,34 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", "spans", "kept", *[c.alias(n) for c, n in zip(counts, ("n_bytes", "n_removed", "n_spans"))])
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    texts, doc, tie, size = [], [], [], 0
+def _together(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Texts and the columns ``names``, for portions of about TOGETHER bytes."""
+    texts, others, size = [], [[] for _ in names], 0
     for batch in batches:
-        for t, d, k in zip(batch.column("text"), batch.column("doc").to_pylist(), batch.column("tie").to_pylist()):
+        columns = [batch.column(n).to_pylist() for n in names]
+        for i, t in enumerate(batch.column("text")):
             texts.append(t.as_py())
-            doc.append(d)
-            tie.append(k)
+            for into, column in zip(others, columns):
+                into.append(column[i])
             size += len(texts[-1])
             if size >= TOGETHER:
-                yield texts, np.array(doc), np.array(tie)
-                texts, doc, tie, size = [], [], [], 0
+                yield texts, *[np.array(o) if n != "want" else o for n, o in zip(names, others)]
+                texts, others, size = [], [[] for _ in names], 0
     if texts:
-        yield texts, np.array(doc), np.array(tie)
+        yield texts, *[np.array(o) if n != "want" else o for n, o in zip(names, others)]
+
+
+def _dealt(found: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts of an array by bucket of their grams' hashes."""
+    bucket = ((found["hash"].astype(np.uint64) * MIX) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    ids, at = np.unique(bucket[order], return_index=True)
+    yield from zip(ids.tolist(), np.split(found[order], at[1:]) if len(ids) else [])
+
+
+def _unpressed(bucket: pa.Table, kind: np.dtype) -> np.ndarray:
+    unpress = zstandard.ZstdDecompressor()
+    return np.concatenate([np.frombuffer(unpress.decompress(x.as_py()), kind) for x in bucket.column("blob")])
 
 
 def _removed(text: bytes, nth: int, ranges: list | None) -> list[tuple[int, int]]:
