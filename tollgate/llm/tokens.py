@@ -22,9 +22,9 @@ from tollgate.session import checkpointed, shared_folder
 
 END_ID = 2
 #: Text bytes meant for one shard.
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 8_000_000
 #: Words whose ids a worker remembers before it keeps only those that come up again.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 #: Marks that end words; a run of them is a piece of its own.
 STOPS = ".,;:!?|#$%&*"
 #: Texts encoded together.
@@ -44,7 +44,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.path, self.encode = path, None
         bare = Tokenizer.from_file(path)
         bare.normalizer = normalizers.Sequence([])  # plain words are in normal form
         self.encode_plain = bare.encode_batch_fast
@@ -60,6 +60,11 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
+        """Of a text that is not plain, or of one word."""
+        if self.encode is None:
+            from tokenizers import Tokenizer
+
+            self.encode = Tokenizer.from_file(self.path).encode_batch_fast
         return np.array(self.encode([text], add_special_tokens=False)[0].ids, "<u2")
 
     def join(self, word: str) -> bool:

@@ -29,7 +29,7 @@ DRIFT = 0.2
 EXPECTED = 0.01
 #: Longest beginning of a word that has a weight; words whose weights a worker remembers.
 LONGEST = 6
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 EULER = 0.5772156649
 
 WORDS = re.compile(r"[^\W\d_]+").findall
