@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,9 +28,11 @@ SPAN = LENGTH - GRAM  # a gram starts at most so far into a string
 WIDTH = 2 * SPAN + GRAM
 #: Of any string around a gram, so many bytes lie wholly before or wholly after the gram.
 SIDE = SPAN // 2
-#: Bytes of text cut together, and bytes of text meant for one bucket.
-TOGETHER = 4_000_000
-BUCKET_BYTES = 10_000_000
+#: Bytes of text cut together (their arrays fit a processor's cache), bytes of signs or
+#: stretches that a task deals out at once, and bytes of text meant for one bucket.
+TOGETHER = 300_000
+DEALT = 8_000_000
+BUCKET_BYTES = 6_000_000
 NO_ID = -(2**63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A sign: the gram's hash, hashes of the bytes beside it, the document's key. A stretch: its document, the place of its gram, how far before it the first and the last
@@ -212,16 +215,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     copies = checkpointed(facts.join(least, ["tie", "size"]).where("doc != least").select("doc", "tie", "key", F.lit(0).cast("long").alias("from"), (F.col("size") - LENGTH + 1).cast("long").alias("to")).distinct())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for texts, keys in _together(batches, "key"):
+        def signs_of(texts: list[bytes], keys: np.ndarray) -> np.ndarray:
             runs = Runs(texts)
             signs = np.empty(len(runs.hash), SIGN)
             signs["hash"], signs["key"] = runs.hash, keys[runs.owner]
             signs["left"], signs["right"] = runs.sides()
             signs, times = np.unique(signs[(signs["left"] > 0) | (signs["right"] > 0)], return_counts=True)
-            signs = np.repeat(signs, np.minimum(times, 2))  # two tell of a repeat in one text
-            for b, part in _dealt(signs, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([press.compress(part.tobytes())], pa.binary())], names=["bucket", "blob"])
+            return np.repeat(signs, np.minimum(times, 2))  # two tell of a repeat in one text
+
+        yield from _dealt((signs_of(*x) for x in _together(batches, "key")), buckets)
 
     def wanted(bucket: pa.Table) -> pa.Table:
         signs = shared(_unpressed(bucket, SIGN))
@@ -235,12 +237,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     wants = checkpointed(wants.groupBy("key").agg(F.collect_list("want").alias("want")).join(copies.select("key"), "key", "left_anti"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for texts, doc, tie, want in _together(batches, "doc", "tie", "want"):
-            hashes = [np.frombuffer(b"".join(w), "<u4") for w in want]
-            found = _in_order(stretches(texts, doc, tie, hashes))
-            for b, part in _dealt(found, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([press.compress(part.tobytes())], pa.binary())], names=["bucket", "blob"])
+        parts = _together(batches, "doc", "tie", "want")
+        found = (stretches(t, doc, tie, [np.frombuffer(b"".join(w), "<u4") for w in want]) for t, doc, tie, want in parts)
+        yield from _dealt(map(_in_order, found), buckets)
 
     # the exchange of the texts by key serves this join and the last one
     pieces = rows.join(wants, "key").select("doc_id", "text", "doc", "tie", "want").mapInArrow(cut, "bucket long, blob binary")
@@ -256,13 +255,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     joined = rows.withColumn("nth", nth).join(covered, "key", "left").select("doc_id", "text", "nth", "ranges")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            text = batch.column("text").to_pylist()
-            out = [_removed(t, k, r) for t, k, r in zip(text, batch.column("nth").to_pylist(), batch.column("ranges").to_pylist())]
-            kept = [_rest(t, s) for t, s in zip(text, out)]
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in out], span)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), spans, pa.array(kept, pa.binary())], names=["doc_id", "text", "spans", "kept"])
+            text, nth, ranges = batch.column("text"), batch.column("nth").to_pylist(), batch.column("ranges")
+            spans = [[]] * batch.num_rows
+            some = np.flatnonzero((np.array(nth) > 1) | ranges.is_valid().to_numpy(zero_copy_only=False))
+            rest = []
+            for i in some.tolist():
+                t = text[i].as_py()
+                gone = _removed(t, nth[i], ranges[i].as_py())
+                spans[i] = [{"start": a, "end": b} for a, b in gone]
+                rest.append(_rest(t, gone))
+            mask = np.zeros(batch.num_rows, bool)
+            mask[some] = True
+            kept = pc.replace_with_mask(text, pa.array(mask), pa.array(rest, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(spans, span), kept], names=["doc_id", "text", "spans", "kept"])
 
     kind = dict(docs.dtypes)["doc_id"]
     out = joined.mapInArrow(take, f"doc_id {kind}, text binary, spans array<struct<start:bigint,end:bigint>>, kept binary")
@@ -287,12 +294,26 @@ def _together(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]
         yield texts, *[np.array(o) if n != "want" else o for n, o in zip(names, others)]
 
 
-def _dealt(found: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts of an array by bucket of their grams' hashes."""
-    bucket = ((found["hash"].astype(np.uint64) * MIX) >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    ids, at = np.unique(bucket[order], return_index=True)
-    yield from zip(ids.tolist(), np.split(found[order], at[1:]) if len(ids) else [])
+def _dealt(parts: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, blob): arrays cut up by bucket of their grams' hashes, DEALT bytes at a time."""
+    press = zstandard.ZstdCompressor(level=1)
+
+    def deal(found: np.ndarray) -> pa.RecordBatch:
+        bucket = ((found["hash"].astype(np.uint64) * MIX) >> np.uint64(33)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        ids, at = np.unique(bucket[order], return_index=True)
+        blobs = [press.compress(found[x].tobytes()) for x in np.split(order, at[1:])] if len(ids) else []
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.nbytes
+        if size >= DEALT:
+            yield deal(np.concatenate(held))
+            held, size = [], 0
+    if held:
+        yield deal(np.concatenate(held))
 
 
 def _unpressed(bucket: pa.Table, kind: np.dtype) -> np.ndarray:
