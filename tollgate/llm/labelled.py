@@ -26,7 +26,7 @@ class Logistic:
     """Logistic regression on standardised features; the base rate where a class is missing."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30):
-        x, y = np.asarray(x, float).reshape(len(y), -1), np.asarray(y, float)
+        x, y = np.asarray(x, float), np.asarray(y, float)
         self.mean = x.mean(axis=0) if len(y) else np.zeros(x.shape[1])
         self.scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0) if len(y) else np.ones(x.shape[1])
         rate = (y.sum() + 0.5) / (len(y) + 1)

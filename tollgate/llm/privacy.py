@@ -123,7 +123,7 @@ def private_spans(rows: DataFrame, *keep: str) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(k) for k in BASE]), F.col("kind")).cast("int") - 1
     base = spans.select("row", "start", rank.alias("rank"), "end", "kind", F.lit("remove").alias("action"))
     every = base.union(terms).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "action"))).alias("all"))
-    heads = found.groupBy("row").agg(*[F.first(c).alias(c) for c in keep])
+    heads = found.groupBy("row").agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in keep])
     out = heads.join(every, "row", "left")
     base = F.coalesce(F.filter("all", lambda s: s["kind"] != "term"), F.array())
     clear = F.filter("all", lambda t: (t["kind"] == "term") & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
         sums = {r.word: r for r in counts.where("word in ('', ' ')").collect()}
         if "" not in sums:
             model = Model({}, {})
-            model.logistic = Logistic(np.zeros((0, 3)), np.zeros(0))
+            model.logistic = Logistic(np.zeros((0, 2)), np.zeros(0))
             return model
         n, m = float(sums[""].marked), float(sums[""].plain)
         length = max(float(sums[" "].plain), 1.0)
