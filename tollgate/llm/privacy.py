@@ -146,7 +146,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     single = F.aggregate(
         "spans",
         empty,
-        lambda acc, s: F.when(s["start"] >= F.coalesce(F.element_at(acc, -1)["end"], F.lit(0)), F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put"))))).otherwise(acc),
+        lambda acc, s: F.when(s["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put"))))).otherwise(acc),
     )
     text = F.col("text")
     joined = rows.join(spans, F.col("row") == F.col("row2")).withColumn("single", single)
