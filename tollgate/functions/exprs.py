@@ -58,12 +58,16 @@ def hex_prefix(key: Column, digits: int = 15) -> Column:
 
 
 def text_lanes(*parts: Column | str) -> list[Column]:
-    """Four 32-bit lanes of the md5 of '#'-joined parts.
+    """Four 32-bit lanes of the md5 of '#'-joined parts, each with its length; '~' stands for NULL.
 
     Summed over rows they make a fingerprint that does not depend on row order
     and that combines map-side.
     """
-    digest = F.md5(F.concat_ws("#", *[col(p).cast("string") for p in parts]))
+
+    def marked(part: Column) -> Column:
+        return F.coalesce(F.concat(F.length(part).cast("string"), F.lit(":"), part), F.lit("~"))
+
+    digest = F.md5(F.concat_ws("#", *[marked(col(p).cast("string")) for p in parts]))
     return [
         F.conv(F.substring(digest, 1 + 8 * lane, 8), 16, 10).cast("bigint") for lane in range(4)
     ]

@@ -105,9 +105,9 @@ def local_steps(df: DataFrame, limit: int = MAX_LOCAL_STEPS) -> StepCounts | Non
 
 
 def cumulative_steps(df: DataFrame) -> DataFrame:
-    """Rows and frauds up to each step, and the step's ordinal."""
+    """Rows and frauds up to each step, and the step's ordinal; rows without a step do not count."""
     return running_totals(
-        df,
+        df.where(F.col("step").isNotNull()),
         "step",
         {
             "rows": F.count(F.lit(1)),

@@ -106,10 +106,10 @@ def materialise_events(requests: DataFrame, score: Column, level: Column) -> Dat
 
 
 def stored_results(requests: DataFrame, events: DataFrame) -> DataFrame:
-    """I4: stored predictions per request, ordered by item_index.
+    """I4: stored predictions of complete requests, one row per item, of any number of items.
 
-    Only requests whose events are exactly items 0 .. batch_size - 1 and that hold at most
-    MAX_BATCH items are rebuilt, so no list can grow; the others are in B11's report.
+    A request is complete if its events are exactly items 0 .. batch_size - 1; the others are
+    in B11's report.
     """
     items = events.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("items"),
@@ -118,8 +118,7 @@ def stored_results(requests: DataFrame, events: DataFrame) -> DataFrame:
     )
     size = F.col("batch_size")
     whole = (
-        requests.where(size <= MAX_BATCH)
-        .join(items, "request_id")
+        requests.join(items, "request_id")
         .where(
             (F.col("items") == size)
             & (F.col("first_item") == 0)
@@ -128,11 +127,7 @@ def stored_results(requests: DataFrame, events: DataFrame) -> DataFrame:
         .select("request_id")
     )
     fields = ["item_index", "prediction_id", "fraud_score", "prediction", "risk_level"]
-    return (
-        events.join(whole, "request_id", "left_semi")
-        .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("predictions"))
-    )
+    return events.join(whole, "request_id", "left_semi").select("request_id", *fields)
 
 
 def audit_records(events: DataFrame, requests: DataFrame, outcomes: DataFrame) -> DataFrame:

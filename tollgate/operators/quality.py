@@ -307,12 +307,12 @@ def audit_constraints(requests: DataFrame, events: DataFrame, outcomes: DataFram
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Row count and an md5 fold of the named columns; row order does not matter.
 
-    The fold is kept as a decimal, so it cannot overflow at any table size.
+    All four lanes of the md5 are folded, as decimals that cannot overflow at any table size.
     """
-    lane = text_lanes(*columns)[0]
+    folds = [F.coalesce(F.sum(lane.cast("decimal(20,0)")), F.lit(0)) for lane in text_lanes(*columns)]
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(lane.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("fingerprint"),
+        F.concat_ws("-", *[f.cast("string") for f in folds]).alias("fingerprint"),
     )
 
 

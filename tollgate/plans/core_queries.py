@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tollgate.functions.features import FEATURE_GROUPS, FEATURES, add_features
 from tollgate.operators import chrono, ledger, profile, quality, sampling
 from tollgate.operators.chrono import StepWindow
-from tollgate.plans.registry import query, rounded, txn
+from tollgate.plans.registry import marked_text, query, rounded, txn
 from tollgate.schemas import MODEL_INPUTS, TARGET, TRANSACTION_COLUMNS
 from tollgate.sources import canonical, tables
 
@@ -249,7 +249,8 @@ def b9(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "b10_fingerprint",
-    """SELECT count(*) AS row_count, CAST(sum(CAST(('0x' || substr(md5(concat_ws('#', step, type, amount, oldbalanceOrg, oldbalanceDest)), 1, 8)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM train""",
+    f"""+ h AS (SELECT md5(concat_ws('#', {', '.join(map(marked_text, ["step", "type", "amount", "oldbalanceOrg", "oldbalanceDest"]))})) AS h FROM train)
+       SELECT count(*) AS row_count, concat_ws('-', {', '.join(f"CAST(coalesce(sum(CAST(('0x' || substr(h, {1 + 8 * i}, 8)) AS BIGINT)), 0) AS VARCHAR)" for i in range(4))}) AS fingerprint FROM h""",
 )
 def b10(spark: SparkSession, d: str) -> DataFrame:
     return quality.fingerprint(train_of(txn(spark, d)), MODEL_INPUTS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tollgate.operators import drift, ledger, series, trailing
 from tollgate.plans.core_queries import WINDOW_END, WINDOW_START, train_of
-from tollgate.plans.registry import query, rounded, txn
+from tollgate.plans.registry import marked_text, query, rounded, txn
 from tollgate.sources import canonical
 
 
@@ -31,7 +31,7 @@ _LANES = ", ".join(
 
 @query(
     "i1_payload_hashes",
-    f"""+ h AS (SELECT request_id, md5(concat_ws('#', item_index, step, transaction_type, amount, oldbalance_origin, oldbalance_destination)) AS h FROM predictions),
+    f"""+ h AS (SELECT request_id, md5(concat_ws('#', {', '.join(map(marked_text, ["item_index", "step", "transaction_type", "amount", "oldbalance_origin", "oldbalance_destination"]))})) AS h FROM predictions),
        g AS (SELECT request_id, count(*) AS n, {_LANES} FROM h GROUP BY request_id)
        SELECT g.request_id, sha256(concat_ws('#', r.endpoint, g.n, lane0, lane1, lane2, lane3)) AS payload_hash
        FROM g JOIN requests r ON g.request_id = r.request_id""",
@@ -83,20 +83,15 @@ def i3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "i4_stored_results",
-    """SELECT request_id, string_agg(CAST(prediction_id AS VARCHAR) || ':' || risk_level, ',' ORDER BY item_index) AS predictions
+    """SELECT request_id, item_index, prediction_id, risk_level
        FROM predictions p WHERE EXISTS (SELECT 1 FROM (SELECT request_id, count(*) AS n, max(item_index) AS hi FROM predictions WHERE prediction_id%50<>1 GROUP BY 1) e
-         JOIN requests r ON e.request_id = r.request_id WHERE e.request_id = p.request_id AND e.n = r.batch_size AND e.hi = r.batch_size-1)
-       GROUP BY request_id""",
+         JOIN requests r ON e.request_id = r.request_id WHERE e.request_id = p.request_id AND e.n = r.batch_size AND e.hi = r.batch_size-1)""",
 )
 def i4(spark: SparkSession, d: str) -> DataFrame:
     preds = canonical.predictions(txn(spark, d))
     kept = preds.where(F.col("prediction_id") % 50 != 1)
     made = ledger.stored_results(canonical.requests(preds), kept)
-    parts = F.transform(
-        "predictions",
-        lambda p: F.concat_ws(":", p["prediction_id"].cast("string"), p["risk_level"]),
-    )
-    return made.select("request_id", F.array_join(parts, ",").alias("predictions"))
+    return made.select("request_id", "item_index", "prediction_id", "risk_level")
 
 
 @query(

@@ -29,6 +29,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def marked_text(column: str) -> str:
+    """SQL of a column's text with its length before it, as in a fingerprint; '~' for NULL."""
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(length({text}) || ':' || {text}, '~')"
+
+
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.transactions(spark, sf_dir)
 

@@ -26,10 +26,12 @@ def local_session(cores: int | str = "*", app: str = "tollgate", memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a scratch folder only where none is named, as in
-    tests."""
+    """The cluster's ``spark.checkpoint.dir``; a scratch folder only where none is named and one
+    machine runs everything, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
