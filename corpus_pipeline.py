@@ -37,7 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.token_output(docs)
+    # earlier stages leave less memory than a job of its own has
+    return tokens.token_output(docs, remembered=200_000)
 
 
 STAGES = [

@@ -40,11 +40,11 @@ class Encoder:
     their number of pieces, since the last token of a piece is marked in the vocabulary.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
 
-        self.path, self.encode = path, None
+        self.path, self.encode, self.remembered = path, None, remembered
         bare = Tokenizer.from_file(path)
         bare.normalizer = normalizers.Sequence([])  # plain words are in normal form
         self.encode_plain = bare.encode_batch_fast
@@ -91,7 +91,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of a few texts at a time: their new words are learned together."""
         words = [None if "<|" in x or not self.plain(x) else x.lower().split() for x in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         new = [w for w in set().union(*filter(None, words)) if w not in self.known]
         if again := [w for w in new if w in self.older]:
@@ -107,9 +107,9 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int) -> Encoder:
     """One per Python worker, so that what it remembers serves all its tasks."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -118,7 +118,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, remembered: int = REMEMBERED) -> DataFrame:
     """Write the documents' ids in ascending order of their id and return the manifest:
     (shard, path, n_docs, n_tokens), one row per non-empty shard, in order of shard.
 
@@ -132,7 +132,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     rows = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ids, lengths, data = encoder(tokenizer), [], [], []
+        encode, ids, lengths, data = encoder(tokenizer, remembered), [], [], []
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             ids += batch.column(0).to_pylist()
@@ -191,15 +191,15 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """Write all documents as token shards in the shared folder and describe them from there.
 
     Null and empty texts hold the end id alone; repeated rows are written again; an empty table
-    writes no shard and returns no rows.
+    writes no shard and returns no rows. ``remembered`` trades a worker's memory for time.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    manifest = write_shards(docs, folder, tokenizer or vocabulary(), end_id)
+    manifest = write_shards(docs, folder, tokenizer or vocabulary(), end_id, remembered=remembered)
     return read_shards(spark, folder, manifest)
 
 
