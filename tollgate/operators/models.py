@@ -8,9 +8,8 @@ runs again for another metric and a lost executor costs no refit.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
-import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,7 +30,8 @@ from tollgate.operators.sampling import permuted_labels, positive_weight, weight
 from tollgate.schemas import TARGET, ContractError
 from tollgate.session import checkpointed
 
-# Search spaces.
+# Search spaces. Leaf penalties are left out: Spark ML has none, and trials that
+# differ only there would be the same fit twice.
 LOGISTIC_SPACE = {
     "positive_class_weights": [1.0, 2.0, 5.0, 10.0, 25.0, 50.0],
     "alpha_values": [0.00001, 0.0001, 0.001],
@@ -44,13 +44,12 @@ TREE_SPACE = {
     "min_child_weight": [1, 5, 10],
     "subsample": [0.7, 0.85, 1.0],
     "colsample_bytree": [0.7, 0.85, 1.0],
-    "reg_lambda": [1.0, 5.0, 10.0],
-    "reg_alpha": [0.0, 0.1, 1.0],
 }
 MINIMUM_IMPROVEMENT = 0.001
 
 # An epoch of stochastic steps over all rows does about what five full-gradient steps do.
 ITERATIONS_PER_EPOCH = 5
+GOLDEN = (math.sqrt(5) - 1) / 2
 
 
 @dataclass(frozen=True)
@@ -173,8 +172,12 @@ def fit_trees(
 ):
     """gradient-boosted trees; with ``validation`` rows boosting stops when they stop improving.
 
-    Spark ML has no L1/L2 leaf penalty, so ``reg_lambda`` and ``reg_alpha`` do not apply.
+    Spark ML has no L1/L2 leaf penalty; a setting that names one is refused.
     """
+    unknown = set(params) - set(TREE_SPACE)
+    if unknown:
+        raise ContractError(f"no such tree settings: {sorted(unknown)}")
+
     def prepared(df: DataFrame, held_out: bool) -> DataFrame:
         w = F.col(weight) if weight and weight in df.columns else F.lit(1.0)
         return add_features(
@@ -239,46 +242,53 @@ def tree_rules(model, names: Sequence[str] = tuple(FEATURES)) -> str:
     return text
 
 
+def spread(space: dict, limit: int, offset: int = 0) -> list[dict]:
+    """``limit`` different settings of a grid, spread evenly over it.
+
+    Settings are numbered in the order of the grid and visited in strides of about the golden
+    ratio of their number. The stride shares no factor with the number, so no setting comes twice
+    and any first few are far apart.
+    """
+    names = list(space)
+    sizes = [len(space[n]) for n in names]
+    total = math.prod(sizes)
+    stride = next(k for k in itertools.count(max(1, round(total * GOLDEN))) if math.gcd(k, total) == 1)
+    chosen = []
+    for i in range(min(limit, total)):
+        at, setting = (offset + i * stride) % total, {}
+        for name, size in zip(names, sizes, strict=True):
+            at, digit = divmod(at, size)
+            setting[name] = space[name][digit]
+        chosen.append(setting)
+    return chosen
+
+
 def logistic_trials(space: dict = LOGISTIC_SPACE, limit: int = 12) -> list[dict]:
-    """trials around the anchors first, then the full grid, each setting once."""
-    alphas, epochs, weights = (
-        sorted(set(space[k])) for k in ("alpha_values", "epoch_values", "positive_class_weights")
-    )
-    alpha0 = 1e-4 if 1e-4 in alphas else alphas[len(alphas) // 2]
-    epoch0 = 3 if 3 in epochs else epochs[len(epochs) // 2]
-    moderate = [weights[min(2, len(weights) - 1)]] if len(weights) > 1 else []
-    heavy = [weights[-2]] if len(weights) > 1 else []
-    order = itertools.chain(
-        ((alpha0, epoch0, w) for w in weights),
-        ((a, epoch0, w) for a in alphas for w in [1.0, *moderate]),
-        ((alpha0, e, w) for e in epochs for w in [1.0, *heavy]),
-        itertools.product(alphas, epochs, weights),
-    )
-    unique = dict.fromkeys((float(a), int(e), float(w)) for a, e, w in order)
+    """settings spread over the logistic grid, each named after its values."""
     return [
-        {"trial_id": f"sgd_{i:02d}", "alpha": a, "epochs": e, "positive_class_weight": w}
-        for i, (a, e, w) in enumerate(itertools.islice(unique, limit), start=1)
+        {
+            "trial_id": f"logistic a={s['alpha_values']:g} e={s['epoch_values']} w={s['positive_class_weights']:g}",
+            "alpha": float(s["alpha_values"]),
+            "epochs": int(s["epoch_values"]),
+            "positive_class_weight": float(s["positive_class_weights"]),
+        }
+        for s in spread(space, limit)
     ]
 
 
 def tree_trials(space: dict = TREE_SPACE, seed: int = 42, limit: int = 8) -> list[dict]:
-    """the middle of the grid first, the rest in the order of a seeded hash of the setting."""
-    keys = sorted(space)
-    middle = {k: space[k][len(space[k]) // 2] for k in keys}
-    grid = [dict(zip(keys, v, strict=True)) for v in itertools.product(*(space[k] for k in keys))]
-
-    def place(setting: dict) -> tuple[bool, str]:
-        text = f"{json.dumps(setting, sort_keys=True)}|{seed}"
-        return setting != middle, hashlib.sha256(text.encode()).hexdigest()
-
-    chosen = sorted(grid, key=place)[:limit]
-    return [{"trial_id": f"xgb_{i:02d}", "parameters": p} for i, p in enumerate(chosen, start=1)]
+    """settings spread over the tree grid from a place that ``seed`` chooses."""
+    return [
+        {"trial_id": "trees " + "/".join(f"{v:g}" for v in s.values()), "parameters": s}
+        for s in spread(space, limit, offset=seed)
+    ]
 
 
 def logistic_search(
     fit: DataFrame, tuning: DataFrame, trials: Sequence[dict], id_col: str = "txn_id"
 ) -> tuple[DataFrame, dict[str, LinearModel]]:
     """fit every trial, then score and evaluate all of them in one pass over the tuning rows."""
+    require_both_classes(fit)
     stats = statistics_of(add_features(fit, keep=[TARGET]))
     fitted = {
         t["trial_id"]: fit_logistic(
@@ -308,7 +318,9 @@ def tree_search(
     id_col: str = "txn_id",
 ) -> tuple[DataFrame, dict[str, object]]:
     """fit every trial on the weighted sample with early stopping, evaluate all at once."""
-    sample = weighted_sample(fit, max_negatives, id_col=id_col)
+    require_both_classes(fit)
+    # Drawn and hashed once, then read by every trial.
+    sample = checkpointed(weighted_sample(fit, max_negatives, id_col=id_col))
     fitted, costs, scored = {}, [], None
     for t in trials:
         p = t["parameters"]
@@ -382,7 +394,9 @@ def ablation(
     id_col: str = "txn_id",
 ) -> DataFrame:
     """F16: refit the trees on each feature group and report seven metrics per group."""
-    sample = weighted_sample(fit, max_negatives, id_col=id_col)
+    require_both_classes(fit)
+    # Drawn and hashed once, then read by every group.
+    sample = checkpointed(weighted_sample(fit, max_negatives, id_col=id_col))
     scored = None
     for group, names in FEATURE_GROUPS.items():
         model = fit_trees(sample, params, rounds, names=names)
@@ -404,11 +418,14 @@ def permutation_test(
     fit: DataFrame, tuning: DataFrame, max_negatives: int = 10_000, rounds: int = 50,
     id_col: str = "txn_id",
 ) -> DataFrame:
-    """trees fitted on shuffled labels must rank the tuning sample no better than chance."""
+    """trees fitted on shuffled labels must rank the tuning rows no better than chance.
+
+    ``max_negatives`` bounds the rows of the fit; all tuning rows are evaluated.
+    """
+    require_both_classes(fit)
     shuffled = permuted_labels(weighted_sample(fit, max_negatives, id_col=id_col), id_col=id_col)
-    held_out = weighted_sample(tuning, max_negatives, id_col=id_col).drop("weight")
     model = fit_trees(shuffled, {"max_depth": 3, "learning_rate": 0.1}, rounds)
-    scored = checkpointed(score_model(model, held_out, "permuted", id_col=id_col))
+    scored = checkpointed(score_model(model, tuning, "permuted", id_col=id_col))
     bundle = evaluation_bundle(scored)
     return bundle.select(
         F.col("row_count").alias("evaluation_rows"),

@@ -99,13 +99,12 @@ def zero_balances(df: DataFrame, columns: Sequence[str] = tuple(BALANCE_COLUMNS)
     )
 
 
-def amount_histogram(sample: DataFrame, bins: int = 50) -> DataFrame:
+def amount_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
     """Equal-width bins per class over that class's positive amounts."""
-    rows = sample.where(F.col("amount") > 0).select(F.col(TARGET).alias("label"), "amount")
+    rows = df.where(F.col("amount") > 0).select(F.col(TARGET).alias("label"), "amount")
     spans = rows.groupBy("label").agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"))
-    # Two classes: two rows to broadcast.
     return (
-        rows.join(F.broadcast(spans), "label")
+        rows.join(spans, "label")
         .withColumn("bin", equal_width_bin(F.col("amount"), F.col("lo"), F.col("hi"), bins))
         .groupBy("label", "bin")
         .agg(F.count(F.lit(1)).alias("row_count"))

@@ -561,13 +561,12 @@ def e7(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "e8_amount_histogram",
-    _NEGATIVE_SAMPLE.format(source="train", n=2000)
-    + """, s AS (SELECT isFraud AS label, min(amount) AS lo, max(amount) AS hi FROM smp WHERE amount > 0 GROUP BY 1)
+    """+ s AS (SELECT isFraud AS label, min(amount) AS lo, max(amount) AS hi FROM train WHERE amount > 0 GROUP BY 1)
        SELECT x.isFraud AS label, CAST(least(floor((x.amount-s.lo)/((s.hi-s.lo)/CAST(50 AS DOUBLE))), 49) AS INT) AS bin, count(*) AS row_count
-       FROM smp x JOIN s ON x.isFraud = s.label WHERE x.amount > 0 GROUP BY 1, 2""",
+       FROM train x JOIN s ON x.isFraud = s.label WHERE x.amount > 0 GROUP BY 1, 2""",
 )
 def e8(spark: SparkSession, d: str) -> DataFrame:
-    return profile.amount_histogram(sampling.profile_sample(train_of(txn(spark, d)), 2000))
+    return profile.amount_histogram(train_of(txn(spark, d)))
 
 
 @query(

@@ -110,8 +110,9 @@ def f6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f7_shallow_tree")
 def f7(spark: SparkSession, d: str) -> DataFrame:
-    fit, tuning = (models.weighted_sample(part, 25_000) for part in _inner(spark, d))
-    tree = models.fit_shallow_tree(fit)
+    """The fit is bounded to 25 000 negatives; all tuning rows are evaluated."""
+    fit, tuning = _inner(spark, d)
+    tree = models.fit_shallow_tree(models.weighted_sample(fit, 25_000))
     made = evaluate.evaluation_bundle(
         checkpointed(models.score_model(tree, tuning, "shallow_tree"))
     )
