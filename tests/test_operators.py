@@ -307,16 +307,21 @@ def test_histogram_closes_its_right_edge(spark):
 
 
 def test_metrics_by_hand(spark):
-    df = scored(spark, [0, 0, 1, 1], [0.1, 0.7, 0.8, 0.2], [10, 20, 100, 300])
+    # From the top: 0.95 fraud, 0.6 (fraud, clean), 0.4 clean, 0.15 fraud; then two clean rows.
+    df = scored(
+        spark, [1, 1, 0, 0, 1, 0, 0], [0.95, 0.6, 0.6, 0.4, 0.15, 0.05, 0.02], [8, 24, 5, 7, 32, 9, 4]
+    )
     curve = evaluate.score_curve(df)
     ranking = one(evaluate.ranking_metrics(curve))
-    assert ranking["average_precision"] == pytest.approx(0.8333333333)
-    assert ranking["roc_auc"] == pytest.approx(0.75)
-    at = one(evaluate.threshold_metrics(df, [0.5]))
-    assert [at[k] for k in ("true_positive", "false_positive", "false_negative", "true_negative")] == [1, 1, 1, 1]
-    assert at["fraud_amount_recall"] == pytest.approx(0.25)
-    assert evaluate.precision_recall_curve(curve).count() == 5
-    assert one(evaluate.threshold_metrics(df, [7.0]))["threshold"] == 1.0
+    assert ranking["average_precision"] == pytest.approx((1 + 2 / 3 + 3 / 5) / 3)
+    # Of 12 fraud-clean pairs 4 + 3.5 + 2 stand the right way round, the tie as a half.
+    assert ranking["roc_auc"] == pytest.approx(9.5 / 12)
+    at = one(evaluate.threshold_metrics(df, [0.3]))
+    counts = [at[k] for k in ("true_positive", "false_positive", "false_negative", "true_negative")]
+    assert counts == [2, 2, 1, 2]
+    assert at["fraud_amount_recall"] == pytest.approx(32 / 64)
+    assert evaluate.precision_recall_curve(curve).count() == 7
+    assert one(evaluate.threshold_metrics(df, [1.25]))["threshold"] == 1.0
 
 
 def test_ties_are_cut_by_id(spark):
@@ -342,16 +347,15 @@ def test_top_k_against_brute_force(spark):
 
 
 def test_no_positives_and_no_rows(spark):
-    df = scored(spark, [0, 0, 0], [0.1, 0.2, 0.3])
-    got = one(evaluate.ranking_metrics(evaluate.score_curve(df)))
-    assert got == {"average_precision": 0.0, "roc_auc": 0.0}
-    assert one(evaluate.top_k(df, evaluate.score_curve(df), [50.0]))["recall"] == 0.0
-    best = evaluate.best_thresholds(evaluate.score_curve(df)).collect()
-    assert [r["threshold"] for r in best] == [0.1, 0.1]
-    empty = scored(spark, [], [])
-    got = one(evaluate.ranking_metrics(evaluate.score_curve(empty)))
-    assert got == {"average_precision": 0.0, "roc_auc": 0.0}
-    assert one(evaluate.score_summary(evaluate.score_curve(empty)))["median"] == 0.0
+    nothing = {"average_precision": 0.0, "roc_auc": 0.0}
+    clean = evaluate.score_curve(df := scored(spark, [0] * 5, [0.45, 0.35, 0.45, 0.85, 0.65]))
+    assert one(evaluate.ranking_metrics(clean)) == nothing
+    review = one(evaluate.top_k(df, clean, [40.0]))
+    assert (review["reviewed_transactions"], review["frauds_captured"], review["recall"]) == (2, 0, 0.0)
+    assert {r["threshold"] for r in evaluate.best_thresholds(clean).collect()} == {0.35}
+    empty = evaluate.score_curve(scored(spark, [], []))
+    assert one(evaluate.ranking_metrics(empty)) == nothing
+    assert one(evaluate.score_summary(empty))["maximum"] == 0.0
 
 
 def test_best_threshold_prefers_the_lowest(spark):
@@ -442,6 +446,33 @@ def test_outcome_batches(spark):
     assert {r["position"]: r["replayed"] for r in merged.collect()} == {1: False, 2: True, 3: True}
 
 
+def test_refused_batches_leave_no_trace(spark):
+    known = spark.createDataFrame([(c,) for c in "abcde"], "prediction_id string")
+    stored = spark.createDataFrame([], "prediction_id string, actual_fraud int")
+    sent = [
+        ("r", "a", 0), ("r", "no such id", 0),  # refused
+        ("s", "a", 1), ("s", "b", 1),  # sound; clashes with refused r only
+        ("t", "b", 0), ("t", "c", 0),  # clashes with s
+        ("u", "c", 1),  # clashes with refused t only
+        ("v", "c", 0), ("v", "b", 0), ("v", "b", 0),  # clashes with u and twice with s
+        *[("w", "d", 1)] * 4,  # too large
+        ("x", "d", 0), ("x", "e", 0),
+    ]
+    sent = spark.createDataFrame(
+        [(b, i, p, y) for i, (b, p, y) in enumerate(sent)],
+        "batch_id string, position int, prediction_id string, actual_fraud int",
+    )
+    verdict = ledger.admit_batches(sent, known, stored, max_submissions=3)
+    got = {r["batch_id"]: (r["admitted"], r["unknown_ids"], r["earlier_conflicts"], r["oversize"]) for r in verdict.collect()}
+    assert got == {
+        "r": (False, 1, 0, False), "s": (True, 0, 0, False), "t": (False, 0, 1, False),
+        "u": (True, 0, 0, False), "v": (False, 0, 3, False), "w": (False, 0, 0, True),
+        "x": (True, 0, 0, False),
+    }
+    merged = ledger.merge_outcomes(sent, verdict, stored).where("NOT replayed")
+    assert {r["prediction_id"]: r["actual_fraud"] for r in merged.collect()} == {"a": 1, "b": 1, "c": 1, "d": 0, "e": 0}
+
+
 def test_window_edges(spark):
     end = datetime(2026, 1, 3, tzinfo=timezone.utc)
     start = end - timedelta(hours=24)
@@ -456,26 +487,40 @@ def test_window_edges(spark):
 # Drift
 
 
-def numeric(spark, values, edges=(0.0, 1.0, 2.0), transformation="identity", minimum=10):
-    p = drift.NumericProfile("x", "x", transformation, list(edges), [5, 5])
-    reference = drift.ReferenceProfile("v", [p], [])
-    df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    config = drift.MonitoringConfig(minimum_events=minimum)
-    return one(drift.feature_drift(df, reference, config))
-
-
-def test_numeric_psi(spark):
-    same = numeric(spark, [0.5] * 5 + [1.5] * 5)
-    assert same["psi"] == pytest.approx(0.0) and same["severity"] == "stable"
-    assert numeric(spark, [0.5] * 7 + [1.5] * 3)["severity"] == "moderate"
-    assert numeric(spark, [0.5] * 9 + [1.5])["severity"] == "significant"
-    assert numeric(spark, [-100.0] * 5 + [100.0] * 5)["psi"] == pytest.approx(0.0)
-    logs = (0.0, math.log1p(10.0), math.log1p(100.0))
-    assert numeric(spark, [0.0] * 5 + [1000.0] * 5, logs, "log1p")["psi"] == pytest.approx(0.0)
+def numeric_drift(spark, counts, reference, transformation="identity", least=1):
+    """Drift of a feature with ``counts[v]`` rows of value v against ``reference`` rows per bin [2i, 2i+2)."""
+    edges = [2.0 * i for i in range(len(reference) + 1)]
+    if transformation == "log1p":
+        edges = [math.log1p(e) for e in edges]
+    p = drift.NumericProfile("load", "load", transformation, edges, list(reference))
+    df = spark.createDataFrame([(float(v),) for v, n in counts.items() for _ in range(n)], "load double")
+    config = drift.MonitoringConfig(minimum_events=least)
+    return one(drift.feature_drift(df, drift.ReferenceProfile("v", [p], []), config))
+
+
+@pytest.mark.parametrize("transformation", ["identity", "log1p"])
+def test_numeric_psi(spark, transformation):
+    def psi(shares, reference):
+        return sum((c - r) * math.log(c / r) for c, r in zip(shares, reference, strict=True))
+
+    got = numeric_drift(spark, {1: 6, 3: 8, 5: 6}, [30, 40, 30], transformation)
+    assert got["psi"] == pytest.approx(0.0, abs=1e-12) and got["severity"] == "stable"
+    got = numeric_drift(spark, {1: 5, 3: 6, 5: 9}, [30, 40, 30], transformation)
+    assert got["psi"] == pytest.approx(psi([0.25, 0.3, 0.45], [0.3, 0.4, 0.3])) and got["severity"] == "stable"
+    got = numeric_drift(spark, {1: 3, 3: 7, 5: 10}, [30, 40, 30], transformation)
+    assert got["psi"] == pytest.approx(psi([0.15, 0.35, 0.5], [0.3, 0.4, 0.3])) and got["severity"] == "moderate"
+    got = numeric_drift(spark, {1: 16, 3: 2, 5: 2}, [30, 40, 30], transformation)
+    assert got["psi"] == pytest.approx(psi([0.8, 0.1, 0.1], [0.3, 0.4, 0.3])) and got["severity"] == "significant"
+    # Values beyond the last edge belong to the last bin.
+    got = numeric_drift(spark, {0: 6, 3: 8, 777: 6}, [30, 40, 30], transformation)
+    assert got["psi"] == pytest.approx(0.0, abs=1e-12)
+    got = numeric_drift(spark, {1: 4, 5: 2}, [30, 40, 30], transformation, least=7)
+    assert (got["psi"], got["severity"], got["sample_size"]) == (None, "insufficient_data", 6)
+
+
+def test_log_of_a_negative_value_fails(spark):
     with pytest.raises(Exception, match="non-negative"):
-        numeric(spark, [-1.0] * 10, logs, "log1p")
-    few = numeric(spark, [0.5] * 3)
-    assert few["psi"] is None and few["severity"] == "insufficient_data" and few["sample_size"] == 3
+        numeric_drift(spark, {-3: 4, 1: 4}, [1, 1], "log1p")
 
 
 def test_categorical_psi(spark):
@@ -539,6 +584,29 @@ def test_alert_needs_an_unbroken_stretch(spark):
     assert got["points"] == 3 and got["firing_since"] == got["pending_since"] + timedelta(minutes=5)
 
 
+def test_stale_intervals_open_and_without_success(spark):
+    at = datetime(2024, 3, 1, tzinfo=timezone.utc)
+    calls = [("/ok", m, True) for m in range(0, 61, 5)]
+    calls += [("/down", 0, True), ("/down", 20, False), ("/down", 40, False)]
+    calls += [("/never", 10, False), ("/never", 30, False)]
+    calls += [("/slow_start", 5, False), ("/slow_start", 45, True), ("/slow_start", 60, True)]
+    df = spark.createDataFrame(
+        [(r, at + timedelta(minutes=m), ok) for r, m, ok in calls], "route string, ts timestamp, ok boolean"
+    )
+    made = series.stale_intervals(df, F.col("ok"), ["route"], limit_seconds=900, hold_seconds=60)
+
+    def minute(t):
+        return None if t is None else (t.timestamp() - at.timestamp()) / 60
+
+    got = {
+        (r["route"], minute(r["last_success"]), minute(r["firing_since"]), minute(r["resolved_at"]))
+        for r in made.select(
+            "route", *[F.col(c) for c in ("last_success", "firing_since", "resolved_at")]
+        ).collect()
+    }
+    assert got == {("/down", 0, 16, None), ("/never", None, 26, None), ("/slow_start", None, 21, 45)}
+
+
 def test_latency_quantile_interpolates(spark):
     at = datetime(2024, 1, 1, tzinfo=timezone.utc)
     df = spark.createDataFrame([(at, "/x", d) for d in [0.3] * 10 + [9.0] * 10], "ts timestamp, route string, duration_seconds double")
@@ -551,13 +619,16 @@ def test_latency_quantile_interpolates(spark):
 
 def test_trials():
     trials = models.logistic_trials()
-    assert len(trials) == 12 and trials[0] == {
-        "trial_id": "sgd_01", "alpha": 1e-4, "epochs": 3, "positive_class_weight": 1.0,
-    }
-    assert len({(t["alpha"], t["epochs"], t["positive_class_weight"]) for t in trials}) == 12
+    assert len(trials) == 12 == len({t["trial_id"] for t in trials})
+    for key in ("alpha", "epochs", "positive_class_weight"):
+        assert len({t[key] for t in trials}) >= 3
+    every = models.logistic_trials(limit=1000)
+    assert len(every) == 3 * 3 * 6 == len({t["trial_id"] for t in every})
     trees = models.tree_trials()
-    assert len(trees) == 8 and trees[0]["parameters"]["max_depth"] == 5
-    assert trees == models.tree_trials()
+    assert len(trees) == 8 == len({t["trial_id"] for t in trees}) and trees == models.tree_trials()
+    assert trees != models.tree_trials(seed=7)
+    with pytest.raises(ContractError, match="reg_alpha"):
+        models.fit_trees(None, {"max_depth": 3, "learning_rate": 0.1, "reg_alpha": 1.0}, 5)
 
 
 def test_logistic_model_beats_the_prior(spark, small_dir):

@@ -156,8 +156,8 @@ def test_outcome_stream_merges_and_refuses(spark):
     write(label_rows(spark, [("2", 1, "c", 1, "x"), ("2", 2, "zz", 1, "x"), ("3", 3, "a", 0, "x"), ("4", 4, "a", 1, "z")]), 1)
     assert labels.read().count() == 2
     got = rows(refusals.read(), "batch_id", "unknown_ids", "label_conflicts", "stored_conflicts")
-    # Batch 4 repeats the stored label but differs from batch 3's earlier one in the same call.
-    assert got == [("2", 1, 0, 0), ("3", 0, 0, 1), ("4", 0, 1, 0)]
+    # Batch 4 repeats the stored label; that refused batch 3 says otherwise does not matter.
+    assert got == [("2", 1, 0, 0), ("3", 0, 0, 1)]
     write(label_rows(spark, [("5", 1, "c", 1, "x")]), 2)
     assert labels.read().count() == 3
 

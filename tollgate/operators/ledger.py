@@ -141,54 +141,127 @@ def audit_records(events: DataFrame, requests: DataFrame, outcomes: DataFrame) -
 
 
 def admit_batches(
-    submissions: DataFrame, events: DataFrame, stored: DataFrame
+    submissions: DataFrame, events: DataFrame, stored: DataFrame, max_submissions: int = MAX_BATCH
 ) -> DataFrame:
     """One row per label batch with its faults; a batch with any fault is refused whole.
 
-    Faults: prediction ids that do not exist, labels that differ from an earlier label for the
-    same prediction in this call, labels that differ from the stored one, more than MAX_BATCH
-    submissions. ``submissions`` has batch_id, position, prediction_id, actual_fraud; positions
-    are unique and give the order.
+    Batches come in the order of their first position. Each is judged on its own, against the
+    stored labels, and against the batches of this call that were admitted before it; a refused
+    batch leaves no trace. Faults: ids that do not exist (``unknown_ids``), labels that differ from
+    the batch's first one for the same id (``label_conflicts``), from the stored one
+    (``stored_conflicts``), from one admitted earlier in this call (``earlier_conflicts``, counted
+    for batches without another fault), and more than ``max_submissions`` rows (``oversize``).
+    ``submissions`` has batch_id, position, prediction_id, actual_fraud (0 or 1); positions are
+    unique.
     """
-    first = submissions.groupBy("prediction_id").agg(
+    label = F.col("actual_fraud")
+    pairs = submissions.groupBy("batch_id", "prediction_id").agg(
         F.min(F.struct("position", "actual_fraud")).alias("_first"),
         F.count(F.lit(1)).alias("_n"),
+        F.count_if(label == 1).alias("_ones"),
+    )
+    # Read for the facts, for the join with them and for the clashes.
+    pairs = checkpointed(
+        pairs.select(
+            "batch_id", "prediction_id", "_n", "_ones",
+            F.col("_first.position").alias("_at"), F.col("_first.actual_fraud").alias("_label"),
+        )
     )
+
+    def differing(other: Column) -> Column:
+        """Rows of a pair whose label is not ``other``; none where that is NULL."""
+        return F.coalesce(F.when(other == 1, F.col("_n") - F.col("_ones")).when(other == 0, F.col("_ones")), F.lit(0))
+
     facts = (
-        first.join(events.select("prediction_id", F.lit(True).alias("_known")), "prediction_id", "left")
+        pairs.groupBy("prediction_id").agg(F.count(F.lit(1)).alias("_batches"))
+        .join(events.select("prediction_id", F.lit(True).alias("_known")), "prediction_id", "left")
         .join(
             stored.select("prediction_id", F.col("actual_fraud").alias("_stored")),
             "prediction_id",
             "left",
         )
-        .select(
-            "prediction_id",
-            "_n",
-            F.col("_first.actual_fraud").alias("_label"),
-            F.coalesce("_known", F.lit(False)).alias("_known"),
-            "_stored",
-        )
     )
-    rows = attach(submissions, facts, "prediction_id", "_n")
-    label = F.col("actual_fraud")
-    return (
-        rows.groupBy("batch_id")
+    faults = checkpointed(
+        attach(pairs, facts, "prediction_id", "_batches")
+        .groupBy("batch_id")
         .agg(
-            F.count(F.lit(1)).alias("submissions"),
-            F.count_if(~F.col("_known")).alias("unknown_ids"),
-            F.count_if(label != F.col("_label")).alias("label_conflicts"),
-            F.count_if(F.coalesce(label != F.col("_stored"), F.lit(False))).alias(
-                "stored_conflicts"
-            ),
+            F.sum("_n").alias("submissions"),
+            F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)).alias("unknown_ids"),
+            F.sum(differing(F.col("_label"))).alias("label_conflicts"),
+            F.sum(differing(F.col("_stored"))).alias("stored_conflicts"),
+            F.min("_at").alias("_order"),
         )
-        .withColumn(
-            "admitted",
+        .withColumn("oversize", F.col("submissions") > max_submissions)
+    )
+    sound = faults.where(
+        "unknown_ids = 0 AND label_conflicts = 0 AND stored_conflicts = 0 AND NOT oversize"
+    ).select("batch_id", "_order")
+    late = _later_clashes(pairs.join(sound, "batch_id"))
+    verdict = faults.join(late, "batch_id", "left").withColumn(
+        "earlier_conflicts", F.coalesce("earlier_conflicts", F.lit(0))
+    )
+    return verdict.select(
+        "batch_id", "submissions", "unknown_ids", "label_conflicts", "stored_conflicts",
+        "earlier_conflicts", "oversize",
+        (
             (F.col("unknown_ids") == 0)
             & (F.col("label_conflicts") == 0)
             & (F.col("stored_conflicts") == 0)
-            & (F.col("submissions") <= MAX_BATCH),
+            & (F.col("earlier_conflicts") == 0)
+            & ~F.col("oversize")
+        ).alias("admitted"),
+    )
+
+
+def _later_clashes(pairs: DataFrame) -> DataFrame:
+    """Rows per sound batch (batch_id, earlier_conflicts) that differ from a label admitted before.
+
+    Only ids that have both labels matter. A batch is decided once no open batch before it holds
+    another label for one of its ids, so every round decides the first open batch at least; the
+    rounds are as many as the longest chain of clashes. No pair of batches is ever formed.
+    """
+    torn = (
+        pairs.groupBy("prediction_id")
+        .agg(F.min("_label").alias("lo"), F.max("_label").alias("hi"))
+        .where("lo <> hi")
+        .select("prediction_id")
+    )
+    rows = checkpointed(
+        pairs.join(torn, "prediction_id", "left_semi").select(
+            "batch_id", "prediction_id", "_n", "_label", "_order"
         )
     )
+    state = rows.select("batch_id").distinct().withColumn("_state", F.lit("open"))
+    state = state.withColumn("earlier_conflicts", F.lit(0).cast("bigint"))
+    while not state.where("_state = 'open'").isEmpty():
+        now = rows.join(state.select("batch_id", "_state"), "batch_id")
+        first = {
+            f"_{name}{v}": F.min(F.when((F.col("_state") == name) & (F.col("_label") == v), F.col("_order")))
+            for name in ("open", "admitted")
+            for v in (0, 1)
+        }
+        facts = now.groupBy("prediction_id").agg(
+            F.count(F.lit(1)).alias("_batches"), *[c.alias(n) for n, c in first.items()]
+        )
+
+        def other(name: str) -> Column:
+            """The first batch in that state with the other label stands before this one."""
+            at = F.when(F.col("_label") == 1, F.col(f"_{name}0")).otherwise(F.col(f"_{name}1"))
+            return F.coalesce(at < F.col("_order"), F.lit(False))
+
+        hits = F.sum(F.when(other("admitted"), F.col("_n")).otherwise(0))
+        waits = F.bool_or(other("open"))
+        judged = (
+            attach(now.where("_state = 'open'"), facts, "prediction_id", "_batches")
+            .groupBy("batch_id")
+            .agg(
+                # A batch that an open one may still clash with waits, so that all its clashes count.
+                F.when(waits, "open").when(hits > 0, "refused").otherwise("admitted").alias("_state"),
+                F.when(~waits, hits).otherwise(0).cast("bigint").alias("earlier_conflicts"),
+            )
+        )
+        state = checkpointed(state.where("_state <> 'open'").unionByName(judged))
+    return state.select("batch_id", "earlier_conflicts")
 
 
 def merge_outcomes(

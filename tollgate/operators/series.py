@@ -229,30 +229,45 @@ def stale_intervals(
     hold_seconds: int = STALENESS_HOLD,
     ts: str = "ts",
 ) -> DataFrame:
-    """Spans between two successes so long that the staleness alert fired in between.
+    """Spans without a success so long that the staleness alert fired.
 
-    Successes are folded to their first and last instant per minute, so order is needed only
-    over minutes. A gap inside one minute can never reach the limit.
+    A span runs from one success to the next. One that has not ended when the log ends has no
+    ``resolved_at``; before the first success a series counts as stale since its first entry, with
+    no ``last_success``. A series without any success gives one row with neither.
+
+    Entries are folded to a few instants per minute, so order is needed only over minutes. A gap
+    inside one minute can never reach the limit.
     """
     by = list(by)
     if limit_seconds < 60:
         raise ValueError("the limit must be at least one minute")
-    minutes = (
-        log.where(ok)
-        .groupBy(*by, F.window(ts, "1 minute").alias("_w"))
-        .agg(F.min(ts).alias("first_ok"), F.max(ts).alias("last_ok"))
+    minutes = log.groupBy(*by, F.window(ts, "1 minute").alias("_w")).agg(
+        F.min(ts).alias("first_any"),
+        F.max(ts).alias("last_any"),
+        F.min(F.when(ok, F.col(ts))).alias("first_ok"),
+        F.max(F.when(ok, F.col(ts))).alias("last_ok"),
+    )
+    before = (
+        Window.partitionBy(*by).orderBy("first_any").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ended = (
+        minutes.withColumn("last_success", F.max("last_ok").over(before))
+        .withColumn("_seen", F.coalesce(F.min("first_any").over(before), F.col("first_any")))
+        .where(F.col("first_ok").isNotNull())
+        .select(*by, "last_success", "_seen", F.col("first_ok").alias("resolved_at"))
+    )
+    end = minutes.agg(F.max("last_any")).scalar()
+    still_open = (
+        minutes.groupBy(*by)
+        .agg(F.max("last_ok").alias("last_success"), F.min("first_any").alias("_seen"))
+        .withColumn("resolved_at", F.lit(None).cast(log.schema[ts].dataType))
     )
-    order = Window.partitionBy(*by).orderBy("first_ok")
     gap = F.expr(f"INTERVAL '{limit_seconds + hold_seconds}' SECOND")
+    since = F.coalesce("last_success", "_seen")
     return (
-        minutes.withColumn("stale_after", F.lag("last_ok").over(order))
-        .where(F.col("first_ok") - F.col("stale_after") > gap)
-        .select(
-            *by,
-            F.col("stale_after").alias("last_success"),
-            (F.col("stale_after") + gap).alias("firing_since"),
-            F.col("first_ok").alias("resolved_at"),
-        )
+        ended.unionByName(still_open)
+        .where(F.coalesce(F.col("resolved_at"), end) - since > gap)
+        .select(*by, "last_success", (since + gap).alias("firing_since"), "resolved_at")
     )
 
 

@@ -112,12 +112,24 @@ def i5(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_ADMIT = """+ fl AS (SELECT prediction_id, arg_min(actual_fraud, "position") AS lab FROM submissions GROUP BY 1),
-  j AS (SELECT s.*, fl.lab, p.prediction_id IS NOT NULL AS known, st.actual_fraud AS had FROM submissions s JOIN fl ON s.prediction_id = fl.prediction_id
+# Batches are walked in order: one that clashes with an earlier sound batch is refused unless all
+# of those were refused themselves.
+_ADMIT = """+ fl AS (SELECT batch_id, prediction_id, arg_min(actual_fraud, "position") AS lab FROM submissions GROUP BY 1, 2),
+  j AS (SELECT s.*, fl.lab, p.prediction_id IS NOT NULL AS known, st.actual_fraud AS had FROM submissions s
+        JOIN fl ON s.batch_id = fl.batch_id AND s.prediction_id = fl.prediction_id
         LEFT JOIN predictions p ON s.prediction_id = p.prediction_id LEFT JOIN stored st ON s.prediction_id = st.prediction_id),
   ad AS (SELECT batch_id, count(*) AS submissions, count(*) FILTER (WHERE NOT known) AS unknown_ids, count(*) FILTER (WHERE actual_fraud <> lab) AS label_conflicts,
-           count(*) FILTER (WHERE had IS NOT NULL AND actual_fraud <> had) AS stored_conflicts FROM j GROUP BY batch_id),
-  adm AS (SELECT *, unknown_ids = 0 AND label_conflicts = 0 AND stored_conflicts = 0 AS admitted FROM ad)
+           count(*) FILTER (WHERE had IS NOT NULL AND actual_fraud <> had) AS stored_conflicts, count(*) > 1000 AS oversize, min("position") AS o FROM j GROUP BY batch_id),
+  so AS (SELECT batch_id, row_number() OVER (ORDER BY o) AS k FROM ad WHERE unknown_ids = 0 AND label_conflicts = 0 AND stored_conflicts = 0 AND NOT oversize),
+  sl AS (SELECT so.k, s.prediction_id, s.actual_fraud, count(*) AS n FROM submissions s JOIN so ON s.batch_id = so.batch_id GROUP BY 1, 2, 3),
+  cl AS (SELECT b.k AS b, a.k AS a, b.prediction_id, b.n FROM sl a JOIN sl b ON a.prediction_id = b.prediction_id AND a.actual_fraud <> b.actual_fraud AND a.k < b.k),
+  bl AS (SELECT b, list(DISTINCT a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM cl GROUP BY b),
+  wk AS (WITH RECURSIVE w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS refused
+           UNION ALL SELECT bl.i, CASE WHEN list_has_all(w.refused, bl.earlier) THEN w.refused ELSE list_append(w.refused, bl.b) END FROM w JOIN bl ON bl.i = w.i + 1)
+         SELECT refused FROM w ORDER BY i DESC LIMIT 1),
+  ec AS (SELECT b, sum(n) AS late FROM (SELECT DISTINCT b, prediction_id, n FROM cl WHERE NOT list_contains((SELECT refused FROM wk), a)) GROUP BY b),
+  adm AS (SELECT ad.batch_id, submissions, unknown_ids, label_conflicts, stored_conflicts, CAST(coalesce(ec.late, 0) AS BIGINT) AS earlier_conflicts, oversize,
+            so.k IS NOT NULL AND ec.late IS NULL AS admitted FROM ad LEFT JOIN so ON ad.batch_id = so.batch_id LEFT JOIN ec ON so.k = ec.b)
 """
 
 
@@ -613,9 +625,12 @@ def l9(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "l10_stale_intervals",
-    """+ o AS (SELECT route, ts, lag(ts) OVER (PARTITION BY route ORDER BY ts) AS prev FROM log WHERE status < 500)
-       SELECT route, strftime(prev, '%Y-%m-%d %H:%M:%S') AS last_success, strftime(prev + INTERVAL 420 SECOND, '%Y-%m-%d %H:%M:%S') AS firing_since,
-              strftime(ts, '%Y-%m-%d %H:%M:%S') AS resolved_at FROM o WHERE ts - prev > INTERVAL 420 SECOND""",
+    """+ o AS (SELECT route, ts, lag(ts) OVER (PARTITION BY route ORDER BY ts) AS prev FROM log WHERE status < 500),
+       f AS (SELECT route, min(ts) AS seen, max(ts) FILTER (WHERE status < 500) AS lastok FROM log GROUP BY route),
+       sp AS (SELECT o.route, prev AS ok, coalesce(prev, seen) AS since, ts AS until FROM o JOIN f ON o.route = f.route
+              UNION ALL SELECT route, lastok, coalesce(lastok, seen), NULL FROM f)
+       SELECT route, strftime(ok, '%Y-%m-%d %H:%M:%S') AS last_success, strftime(since + INTERVAL 420 SECOND, '%Y-%m-%d %H:%M:%S') AS firing_since,
+              strftime(until, '%Y-%m-%d %H:%M:%S') AS resolved_at FROM sp WHERE coalesce(until, (SELECT max(ts) FROM log)) - since > INTERVAL 420 SECOND""",
 )
 def l10(spark: SparkSession, d: str) -> DataFrame:
     log = canonical.request_log(txn(spark, d))

@@ -40,14 +40,18 @@ attempts AS (
   UNION ALL SELECT txn_id, 2, amount FROM txn WHERE txn_id%10=0
   UNION ALL SELECT txn_id, 3, amount+1 FROM txn WHERE txn_id%25=0),
 submissions AS (
-  SELECT CAST(txn_id//50 AS BIGINT) AS batch_id, txn_id*2 AS "position",
+  SELECT CAST(txn_id//50 AS BIGINT) AS batch_id, txn_id*4 AS "position",
          CASE WHEN txn_id%997=0 THEN -txn_id-1 ELSE txn_id END AS prediction_id,
          CASE WHEN txn_id%1009=0 THEN 1-isFraud ELSE isFraud END AS actual_fraud,
          'desk' || CAST(txn_id%3 AS VARCHAR) AS source FROM txn
   UNION ALL
-  SELECT CAST(txn_id//50 AS BIGINT), txn_id*2+1, txn_id,
+  SELECT CAST(txn_id//50 AS BIGINT), txn_id*4+1, txn_id,
          CASE WHEN txn_id%1013=0 THEN 1-isFraud ELSE isFraud END,
-         'desk' || CAST(txn_id%3 AS VARCHAR) FROM txn WHERE txn_id%7=0),
+         'desk' || CAST(txn_id%3 AS VARCHAR) FROM txn WHERE txn_id%7=0
+  UNION ALL
+  SELECT CAST((txn_id+50)//50 AS BIGINT), (txn_id+50)*4+2, txn_id,
+         CASE WHEN txn_id%143=0 THEN 1-isFraud ELSE isFraud END,
+         'desk' || CAST(txn_id%3 AS VARCHAR) FROM txn WHERE txn_id%11=0),
 stored AS (SELECT txn_id AS prediction_id, isFraud AS actual_fraud FROM txn WHERE txn_id%9=0),
 log AS (
   SELECT txn_id, ts, 'POST' AS method, concat('/', type) AS route, amount/100 AS duration_seconds,

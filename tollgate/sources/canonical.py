@@ -152,7 +152,8 @@ def intake_attempts(txn: DataFrame) -> DataFrame:
 
 
 def outcome_submissions(txn: DataFrame) -> DataFrame:
-    """Label batches of about 50 with unknown ids, inner conflicts, stored conflicts and repeats.
+    """Label batches of about 50 with unknown ids, inner conflicts, stored conflicts and repeats,
+    in the same batch and, some with another label, in the next one.
 
     ``stored_outcomes`` holds the labels that are already known before these arrive.
     """
@@ -171,14 +172,20 @@ def outcome_submissions(txn: DataFrame) -> DataFrame:
         .otherwise(F.col("isFraud"))
         .alias("actual_fraud"),
     )
-    rows = F.array_compact(F.array(plain, F.when(i % 7 == 0, again)))
-    return txn.select(
-        F.floor(i / 50).cast("bigint").alias("batch_id"),
-        i.alias("txn_id"),
-        F.inline(rows),
-    ).select(
-        "batch_id",
-        (F.col("txn_id") * 2 + F.col("copy")).alias("position"),
+    next_batch = F.struct(
+        F.lit(2).alias("copy"),
+        i.alias("prediction_id"),
+        F.when(i % 143 == 0, 1 - F.col("isFraud"))
+        .otherwise(F.col("isFraud"))
+        .alias("actual_fraud"),
+    )
+    rows = F.array_compact(
+        F.array(plain, F.when(i % 7 == 0, again), F.when(i % 11 == 0, next_batch))
+    )
+    at = F.col("txn_id") + F.when(F.col("copy") == 2, 50).otherwise(0)
+    return txn.select(i.alias("txn_id"), F.inline(rows)).select(
+        F.floor(at / 50).cast("bigint").alias("batch_id"),
+        (at * 4 + F.col("copy")).alias("position"),
         "prediction_id",
         "actual_fraud",
         F.concat(F.lit("desk"), (F.col("txn_id") % 3).cast("string")).alias("source"),

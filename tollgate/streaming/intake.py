@@ -43,6 +43,8 @@ REFUSAL_SCHEMA = T.StructType(
         T.StructField("unknown_ids", T.LongType()),
         T.StructField("label_conflicts", T.LongType()),
         T.StructField("stored_conflicts", T.LongType()),
+        T.StructField("earlier_conflicts", T.LongType()),
+        T.StructField("oversize", T.BooleanType()),
     ]
 )
 
