@@ -669,17 +669,44 @@ def test_champions(spark):
     assert one(models.baseline_champion(low))["champion"] == "prior_probability"
 
 
-def test_boundaries_on_the_cluster_equal_local_ones(spark, small_dir):
-    rows = canonical.transactions(spark, small_dir)
-    assert chrono.local_steps(rows, limit=10) is None
-    for shares in ((0.7, 0.15), (0.5, 0.25), (0.9, 0.05)):
-        assert chrono.cluster_boundaries(rows, *shares) == chrono.choose_boundaries(rows, *shares)
-    train = rows.where("step <= 481")
-    assert chrono.cluster_inner_windows(train) == chrono.inner_windows(train)
-    heavy = steps(spark, 5, range(1, 6))
-    assert chrono.cluster_boundaries(heavy, 0.5, 0.01) == chrono.choose_boundaries(heavy, 0.5, 0.01)
+def plain_cut(counts, target, places):
+    """Of the chosen places the step whose cumulative rows are nearest the target."""
+    order, seen, best = sorted(counts), 0, None
+    for i, step in enumerate(order):
+        seen += counts[step]
+        if i in places and (best is None or abs(seen - target) < best[0]):
+            best = (abs(seen - target), step)
+    return best[1]
+
+
+@pytest.mark.parametrize("spread, nulls", [(1, 0), (1, 90), (5000, 40)])
+def test_boundaries_against_brute_force(spark, spread, nulls):
+    counts = {3 + s * spread: 1 + (s * 7) % 11 + 30 * (s == 12) for s in range(25)}
+    data = [(i, s, "PAYMENT", 1.0, 1.0, 1.0, int(i % 5 == 0)) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    data += [(10_000 + i, None, "PAYMENT", 1.0, 1.0, 1.0, 1) for i in range(nulls)]
+    df, total = transactions(spark, data), sum(counts.values())
+    for train, validation in ((0.7, 0.15), (0.5, 0.25), (0.93, 0.05)):
+        got = chrono.choose_boundaries(df, train, validation)
+        assert got.train == plain_cut(counts, total * train, range(23))
+        later = [i for i, s in enumerate(sorted(counts)) if 1 <= i < 24 and s > got.train]
+        assert got.validation == plain_cut(counts, total * (train + validation), later)
+    bounds = chrono.choose_boundaries(df)
+    kept = {s: n for s, n in counts.items() if s <= bounds.train}
+    cut = plain_cut(kept, sum(kept.values()) * 0.8, range(len(kept) - 1))
+    want = (chrono.StepWindow(3, cut), chrono.StepWindow(min(s for s in kept if s > cut), bounds.train))
+    periods = chrono.audit_periods(df)
+    assert (periods["inner_fit"], periods["inner_tuning"]) == want
+    assert tuple(chrono.inner_windows(df.where(F.col("step") <= bounds.train)).values()) == want
     with pytest.raises(ContractError):
-        chrono.choose_boundaries(rows, 0.8, 0.2)
+        chrono.choose_boundaries(df, 0.8, 0.2)
+
+
+def test_nth_smallest_with_an_id_that_repeats(spark):
+    df = spark.range(90).select((F.when(F.col("id") < 60, 7).otherwise(F.col("id"))).alias("key"))
+    df = df.withColumn("id", F.col("key") * 10)
+    for n in (1, 30, 60, 61):
+        want = (7, 70) if n <= 60 else (60, 600)
+        assert ordered.nth_smallest(df, n, "key", "id", 4096.0, few=5) == want
 
 
 def test_nth_smallest_narrows_to_a_tied_key(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tollgate.functions.exprs import safe_ratio
 from tollgate.operators.ordered import running_totals
 from tollgate.schemas import TARGET, ContractError
+from tollgate.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -48,62 +48,6 @@ def step_histogram(df: DataFrame) -> DataFrame:
     )
 
 
-# Time steps are hours; a century has fewer than a million. Beyond this many the boundary
-# search stays on the cluster.
-MAX_LOCAL_STEPS = 200_000
-
-
-@dataclass(frozen=True)
-class StepCounts:
-    """The step histogram as (step, rows, frauds), in step order."""
-
-    rows: list[tuple[int, int, int]]
-
-    def up_to(self, step: int) -> StepCounts:
-        return StepCounts([r for r in self.rows if r[0] <= step])
-
-    def nearest(self, target: float, first: int, last: int, after: int | None = None) -> int | None:
-        """Step among ordinals first .. last - 1 whose cumulative rows are nearest the target."""
-        best, seen = None, 0
-        for place, (step, count, _) in enumerate(self.rows):
-            seen += count
-            if first <= place < last and (after is None or step > after):
-                best = min(best or (math.inf, step), (abs(seen - target), step))
-        return best[1] if best else None
-
-    def boundaries(self, train_fraction: float, validation_fraction: float) -> Boundaries:
-        if len(self.rows) < 3:
-            raise ContractError("at least three time steps are required for three splits")
-        total, n = sum(r[1] for r in self.rows), len(self.rows)
-        train = self.nearest(total * train_fraction, 0, n - 2)
-        both = total * (train_fraction + validation_fraction)
-        validation = self.nearest(both, 1, n - 1, after=train)
-        if validation is None:
-            raise ContractError("no step is left for a validation split")
-        return Boundaries(train, validation)
-
-    def inner(self, fit_fraction: float) -> dict[str, StepWindow]:
-        if len(self.rows) < 2:
-            raise ContractError("at least two time steps are required for inner tuning")
-        total = sum(r[1] for r in self.rows)
-        cut = self.nearest(total * fit_fraction, 0, len(self.rows) - 1)
-        late = [r for r in self.rows if r[0] > cut]
-        if not sum(r[2] for r in late) or not sum(r[2] for r in self.up_to(cut).rows):
-            raise ContractError("fit and tuning periods must both hold frauds")
-        return {
-            "inner_fit": StepWindow(self.rows[0][0], cut),
-            "inner_tuning": StepWindow(late[0][0], late[-1][0]),
-        }
-
-
-def local_steps(df: DataFrame, limit: int = MAX_LOCAL_STEPS) -> StepCounts | None:
-    """The histogram on the driver if it has at most ``limit`` steps, else None."""
-    found = step_histogram(df.where(F.col("step").isNotNull())).limit(limit + 1).collect()
-    if len(found) > limit:
-        return None
-    return StepCounts(sorted((r["step"], r["row_count"], r["fraud_count"] or 0) for r in found))
-
-
 def cumulative_steps(df: DataFrame) -> DataFrame:
     """Rows and frauds up to each step, and the step's ordinal; rows without a step do not count."""
     return running_totals(
@@ -111,7 +55,7 @@ def cumulative_steps(df: DataFrame) -> DataFrame:
         "step",
         {
             "rows": F.count(F.lit(1)),
-            "frauds": F.sum(TARGET).cast("bigint"),
+            "frauds": F.coalesce(F.sum(TARGET), F.lit(0)).cast("bigint"),
             "steps": F.max(F.lit(1)),
         },
         slab=F.floor(F.col("step") / 1024),
@@ -128,20 +72,17 @@ def _nearest(target: Column, eligible: Column) -> Column:
 def choose_boundaries(
     df: DataFrame, train_fraction: float = 0.70, validation_fraction: float = 0.15
 ) -> Boundaries:
-    """Whole-step boundaries nearest the wanted fractions."""
-    if min(train_fraction, validation_fraction) <= 0 or train_fraction + validation_fraction >= 1:
-        raise ContractError("split fractions must be positive and leave a test split")
-    local = local_steps(df)
-    if local is not None:
-        return local.boundaries(train_fraction, validation_fraction)
-    return cluster_boundaries(df, train_fraction, validation_fraction)
+    """Whole-step boundaries nearest the wanted fractions.
 
+    The rows are read once, for a table with one row per step; only chosen steps reach the driver.
+    """
+    return _boundaries(checkpointed(cumulative_steps(df)), train_fraction, validation_fraction)
 
-def cluster_boundaries(
-    df: DataFrame, train_fraction: float = 0.70, validation_fraction: float = 0.15
-) -> Boundaries:
-    """D2, D3 for any number of steps: only the chosen steps reach the driver."""
-    steps = cumulative_steps(df)
+
+def _boundaries(steps: DataFrame, train_fraction: float, validation_fraction: float) -> Boundaries:
+    """D3 from D2's table."""
+    if min(train_fraction, validation_fraction) <= 0 or train_fraction + validation_fraction >= 1:
+        raise ContractError("split fractions must be positive and leave a test split")
     train_target = F.col("rows_total") * F.lit(train_fraction)
     both_target = F.col("rows_total") * F.lit(train_fraction + validation_fraction)
     inner = (F.col("steps_upto") > 1) & (F.col("steps_upto") < F.col("steps_total"))
@@ -236,14 +177,10 @@ def audit_periods(
     df: DataFrame, train_fraction: float = 0.70, validation_fraction: float = 0.15,
     fit_fraction: float = 0.80,
 ) -> dict[str, StepWindow]:
-    """Step windows of train, inner tuning and validation, from one histogram where it is small."""
-    local = local_steps(df)
-    if local is not None:
-        bounds = local.boundaries(train_fraction, validation_fraction)
-        inner = local.up_to(bounds.train).inner(fit_fraction)
-    else:
-        bounds = cluster_boundaries(df, train_fraction, validation_fraction)
-        inner = cluster_inner_windows(df.where(F.col("step") <= bounds.train), fit_fraction)
+    """Step windows of train, inner tuning and validation, from one table of steps."""
+    steps = checkpointed(cumulative_steps(df))
+    bounds = _boundaries(steps, train_fraction, validation_fraction)
+    inner = _inner(steps.where(F.col("step") <= bounds.train), fit_fraction)
     return {
         "train": StepWindow(inner["inner_fit"].low, bounds.train),
         "inner_fit": inner["inner_fit"],
@@ -276,36 +213,32 @@ def period_counts(df: DataFrame, windows: dict[str, StepWindow]) -> DataFrame:
 
 def inner_windows(train: DataFrame, fit_fraction: float = 0.80) -> dict[str, StepWindow]:
     """Fit and tuning step windows inside the training split."""
-    if not 0 < fit_fraction < 1:
-        raise ContractError("fit fraction must lie between 0 and 1")
-    local = local_steps(train)
-    if local is not None:
-        return local.inner(fit_fraction)
-    return cluster_inner_windows(train, fit_fraction)
+    return _inner(checkpointed(cumulative_steps(train)), fit_fraction)
 
 
-def cluster_inner_windows(train: DataFrame, fit_fraction: float = 0.80) -> dict[str, StepWindow]:
-    """D6 for any number of steps."""
-    steps = cumulative_steps(train)
-    target = F.col("rows_total") * F.lit(fit_fraction)
-    not_last = F.col("steps_upto") < F.col("steps_total")
-    row = steps.agg(
-        _nearest(target, not_last).alias("boundary"),
+def _inner(steps: DataFrame, fit_fraction: float) -> dict[str, StepWindow]:
+    """D6 from D2's table, or its first steps."""
+    if not 0 < fit_fraction < 1:
+        raise ContractError("fit fraction must lie between 0 and 1")
+    whole = steps.agg(
+        F.max("steps_upto").alias("n"),
+        F.max("rows_upto").alias("rows"),
         F.min("step").alias("first"),
         F.max("step").alias("last"),
-        F.max("steps_total").alias("n"),
     ).first()
-    if row["n"] is None or row["n"] < 2:
+    if whole["n"] is None or whole["n"] < 2:
         raise ContractError("at least two time steps are required for inner tuning")
-    late = F.col("step") > row["boundary"]
-    sides = train.agg(
+    target = F.lit(whole["rows"] * fit_fraction)
+    cut = steps.agg(_nearest(target, F.col("step") < whole["last"]).alias("cut")).first()["cut"]
+    late = F.col("step") > cut
+    sides = steps.agg(
         F.min(F.when(late, F.col("step"))).alias("next"),
-        F.count_if(~late & (F.col(TARGET) == 1)).alias("fit_frauds"),
-        F.count_if(late & (F.col(TARGET) == 1)).alias("tuning_frauds"),
+        F.sum(F.when(~late, F.col("frauds"))).alias("fit_frauds"),
+        F.sum(F.when(late, F.col("frauds"))).alias("tuning_frauds"),
     ).first()
     if not sides["fit_frauds"] or not sides["tuning_frauds"]:
         raise ContractError("fit and tuning periods must both hold frauds")
     return {
-        "inner_fit": StepWindow(row["first"], row["boundary"]),
-        "inner_tuning": StepWindow(sides["next"], row["last"]),
+        "inner_fit": StepWindow(whole["first"], cut),
+        "inner_tuning": StepWindow(sides["next"], whole["last"]),
     }

@@ -152,7 +152,8 @@ def nth_smallest(
     ``key`` is a whole number spread evenly over [0, key_limit). A histogram of 4096 equal
     cells, folded map-side, tells which cell holds the n-th row; that cell is cut again until
     it holds ``few`` rows, which are sorted on the driver. A hash needs a scan or three, and no
-    row is ever shuffled.
+    row is ever shuffled. A single key beyond ``few`` rows is an id that repeats; its rows fold to
+    one per id before they are ranked.
     """
     low, width, wanted = 0.0, float(key_limit), n
     rows = df.select(key, id_col)
@@ -174,9 +175,9 @@ def nth_smallest(
             edge = sorted((r[0], r[1]) for r in rows.collect())[wanted - 1]
             return edge
         if width <= 1.0:
-            # One key with many ids: rank the ids instead.
             ranked = running_totals(rows, key, {"n": F.count(F.lit(1))}, then_by=[id_col], cuts=[])
-            edge = ranked.where(F.col("n_upto") == wanted).select(key, id_col).first()
+            reached = ranked.where(F.col("n_upto") >= wanted)
+            edge = reached.agg(F.min(F.struct(key, id_col)).alias("e")).first()["e"]
             return (edge[0], edge[1])
 
 
