@@ -330,6 +330,16 @@ def test_ties_are_cut_by_id(spark):
     assert (got["reviewed_transactions"], got["frauds_captured"]) == (2, 1)
 
 
+def test_top_k_with_text_ids_and_nothing_to_review(spark):
+    df = scored(spark, [1, 0] * 20, [0.25] * 36 + [0.75] * 4).withColumn("id", F.concat(F.lit("tx-"), "id"))
+    made = evaluate.top_k(df, evaluate.score_curve(df), [0.0, 25.0, 100.0])
+    got = {r["top_k_percentage"]: r for r in made.collect()}
+    assert (got[0.0]["reviewed_transactions"], got[0.0]["frauds_captured"], got[0.0]["precision"]) == (0, 0, 0.0)
+    tied = df.where("score = 0.25").orderBy(F.xxhash64("id"), "id").limit(6)
+    assert got[25.0]["frauds_captured"] == 2 + tied.agg(F.sum("label")).first()[0]
+    assert got[100.0]["frauds_captured"] == 20
+
+
 def test_top_k_against_brute_force(spark):
     n = 500
     labels = [int(i % 11 == 0) for i in range(n)]

@@ -219,11 +219,12 @@ def test_monitoring_run_is_idempotent_and_records_failures(spark, txn, events):
     config = drift.MonitoringConfig(minimum_events=5, minimum_labeled_events=5)
     labels = canonical.outcomes(txn)
     end = datetime(2024, 1, 31, tzinfo=timezone.utc)
+    ticks = iter([end])
     write = monitor.monitoring_writer(
-        lambda: events, lambda: labels, profile, out, config, clock=lambda: end
+        lambda: events, lambda: labels, profile, out, config, clock=lambda: next(ticks)
     )
     write(None, 0)
-    write(None, 1)
+    write(None, 0)  # tried again: the same window, whatever the clock says
     runs, metrics = monitor.read_runs(spark, out)
     assert [r["status"] for r in runs.collect()] == ["completed"]
     assert metrics.count() == 26

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.functions.exprs import equal_width_bin, f_beta, safe_ratio, sum_if
 from tollgate.operators.ordered import cut_points, running_totals
@@ -251,7 +252,8 @@ def top_k(
     by: Sequence[str] = (),
     id_cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """What a review of the top-k % finds; order is score descending, then id ascending.
+    """What a review of the top-k % finds; order is score descending, then id ascending (ids
+    that are no numbers: their hash, then the id). A review of 0 % finds nothing.
 
     The curve tells the score where the k-th row falls and everything above it. Only rows
     tied at that score are ranked by id, slab by slab, so that even a score held by a third
@@ -289,8 +291,10 @@ def top_k(
             "money_total",
         )
     )
+    numbers = isinstance(scored.schema["id"].dataType, T.NumericType)
+    scored = scored.withColumn("_place", F.col("id") if numbers else F.xxhash64("id"))
     if id_cuts is None:
-        id_cuts = cut_points(scored, "id")
+        id_cuts = cut_points(scored, "_place")
     # The broadcast side has len(percentages) rows per group.
     tied = scored.join(
         F.broadcast(cutoff.select(*by, "score", "top_k_percentage")), [*by, "score"]
@@ -298,17 +302,18 @@ def top_k(
     # Only ids are ranked; where the wanted number of them is reached gives the last id to take.
     groups = [*by, "top_k_percentage"]
     ranked = running_totals(
-        tied.select(*groups, "id"), "id", {"n": F.count(F.lit(1))}, by=groups, cuts=id_cuts
+        tied.select(*groups, "_place", "id"), "_place", {"n": F.count(F.lit(1))}, by=groups,
+        then_by=["id"], cuts=id_cuts,
     )
     last = (
         ranked.join(F.broadcast(cutoff.select(*groups, "take")), groups)
         .where(F.col("n_upto") <= F.col("take"))
         .groupBy(*groups)
-        .agg(F.max("id").alias("last_id"))
+        .agg(F.max(F.struct("_place", "id")).alias("last_id"))
     )
     inside = (
         tied.join(F.broadcast(last), groups)
-        .where(F.col("id") <= F.col("last_id"))
+        .where(F.struct("_place", "id") <= F.col("last_id"))
         .groupBy(*groups)
         .agg(
             F.sum("label").cast("bigint").alias("pos_tied"),
@@ -317,7 +322,7 @@ def top_k(
     )
     frauds = F.col("pos_above") + F.col("pos_tied")
     money = F.col("money_above") + F.col("money_tied")
-    return cutoff.join(inside, [*by, "top_k_percentage"]).select(
+    made = cutoff.join(inside, [*by, "top_k_percentage"]).select(
         *by,
         "top_k_percentage",
         F.col("reviewed").alias("reviewed_transactions"),
@@ -327,6 +332,14 @@ def top_k(
         money.alias("fraud_amount_captured"),
         safe_ratio(money, F.col("money_total")).alias("fraud_amount_recall"),
     )
+    if 0 not in percentages:
+        return made
+    fixed = {"top_k_percentage": 0.0, "recall": 0.0, "precision": 0.0, "fraud_amount_captured": 0.0, "fraud_amount_recall": 0.0}
+    nothing = curve.select(
+        *by,
+        *[F.lit(fixed.get(f.name, 0)).cast(f.dataType).alias(f.name) for f in made.schema if f.name not in by],
+    )
+    return made.unionByName(nothing.distinct())
 
 
 def _descending_quantile(q: float) -> Column:

@@ -16,17 +16,22 @@ class BatchTable:
         self.spark, self.path, self.schema = spark, path, schema
         try:
             spark.read.parquet(path)
-        except AnalysisException:
+        except AnalysisException as error:
+            # Only a table that is not there yet is made; any other fault is the caller's to see.
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             self.write(spark.createDataFrame([], schema), -1)
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         names = self.schema.fieldNames()
         df.select(*names).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """All rows, or those of batches before the given one (partition pruning)."""
+    def read(self, before: int | None = None, since: int | None = None) -> DataFrame:
+        """All rows, or those of batches before one and from one on (partition pruning)."""
         schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
         rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
         if before is not None:
             rows = rows.where(F.col("batch") < before)
+        if since is not None:
+            rows = rows.where(F.col("batch") >= since)
         return rows.drop("batch")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tollgate.functions.exprs import status_class
@@ -20,6 +22,10 @@ from tollgate.operators.drift import (
 )
 from tollgate.operators.trailing import event_bins, minute_items
 from tollgate.schemas import MONITORING_METRIC_SCHEMA, MONITORING_RUN_SCHEMA
+from tollgate.sources.batches import BatchTable
+
+# ISO text with its offset.
+END_SCHEMA = T.StructType([T.StructField("window_end", T.StringType())])
 
 
 def minute_stream(
@@ -67,7 +73,8 @@ def run_monitoring(
 
     A run is keyed by window and reference version. Its metric rows are written first and its
     run row last, each by overwriting the key's own folder, so a run that is visible is whole
-    and a retry changes nothing. A failed calculation leaves a failed run without metrics.
+    and a retry changes nothing. A failed calculation leaves a failed run without metrics, and its
+    reason in the log.
     """
     spark = events.sparkSession
     _, start, end = window_bounds(end, config.window_hours)
@@ -89,6 +96,7 @@ def run_monitoring(
         counts = (summary["event_count"], summary["labeled_count"])
         status, overall = summary["status"], summary["overall_drift_status"]
     except Exception:
+        logging.getLogger(__name__).exception("monitoring run %s failed", key)
         rows, counts, status, overall = [], (0, 0), "failed", "failed"
     metrics = spark.createDataFrame(rows, MONITORING_METRIC_SCHEMA)
     metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics/run={key}")
@@ -108,10 +116,20 @@ def monitoring_writer(
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
 ) -> Callable[[DataFrame, int], None]:
     """K7: foreachBatch function; each trigger recomputes the trailing window from the ledger, so
-    late labels are always picked up."""
+    late labels are always picked up.
+
+    A batch's window end is the clock at its first attempt. It is kept with the batch, so a batch
+    that is tried again computes the same run.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        run_monitoring(events(), outcomes(), profile, clock(), path, config)
+        rows = events()
+        ends = BatchTable(rows.sparkSession, f"{path}/ends", END_SCHEMA)
+        known = ends.read(before=batch_id + 1, since=batch_id).first()
+        if known is None:
+            ends.write(rows.sparkSession.createDataFrame([(clock().isoformat(),)], END_SCHEMA), batch_id)
+            known = ends.read(before=batch_id + 1, since=batch_id).first()
+        run_monitoring(rows, outcomes(), profile, datetime.fromisoformat(known["window_end"]), path, config)
 
     return write
 
