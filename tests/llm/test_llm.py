@@ -264,6 +264,23 @@ def test_terms_that_disclose(spark):
         assert out[i] == (t.replace("Zebulon", "").replace("ann@b.org", "[email]") if i < 10 else t)
 
 
+def test_terms_far_away_and_of_rare_entities(spark):
+    # every address stands once; the term stands far from it, twice, and beside no other document's address
+    rows = [(i, f"Quillon {words(i, 60)} p{i}@host{i}.org {words(50 + i, 60)} quillon", "a") for i in range(12)]
+    rows += [(20 + i, f"{words(80 + i, 60)} nobody {words(200 + i, 5)}", "a") for i in range(120)]
+    out = {r.doc_id: r.text for r in privacy.sanitised(frame(spark, rows)).collect()}
+    for i, t, _ in rows:
+        assert out[i] == (re.sub("[Qq]uillon", "", t).replace(f"p{i}@host{i}.org", "[email]") if i < 12 else t)
+
+
+def test_terms_within_addresses_and_in_copies(spark):
+    # ten copies are one piece of evidence; words of an address are no terms
+    copies = [(i, f"{words(1, 30)} ann@examplehost.org", "a") for i in range(10)]
+    rows = [*copies, *[(20 + i, f"{words(80 + i, 30)} examplehost", "a") for i in range(5)], *[(40 + i, words(140 + i, 30), "a") for i in range(80)]]
+    out = {r.doc_id: r.text for r in privacy.sanitised(frame(spark, rows)).collect()}
+    assert all(out[i] == t.replace("ann@examplehost.org", "[email]") for i, t, _ in rows)
+
+
 # repeats ----------------------------------------------------------------------------
 
 

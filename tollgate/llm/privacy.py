@@ -6,6 +6,8 @@ pieces and of the matches add up to every start.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,16 @@ KINDS = {
     "term": r"\p{L}{4,}",
 }
 BASE = ("email", "ip", "card", "phone")
-#: Characters on either side of an entity in which terms are looked for.
-AROUND = 60
-#: A term discloses an entity if it stands by it in so many different surroundings, if so large
-#: a share of the documents with the term hold the entity, and if the two share so many bits.
-SUPPORT = 3
+#: A term discloses a target, an entity or a class of entities, if so large a share of the documents
+#: with the term hold the target, if the two share so many bits, and if the different texts that hold
+#: both save more bits than it takes to name one of all pairs that stand together.
 GENERALISE = 0.5
 REMOVE = 0.9
 BITS = 3.0
 
 
 def _matches(kind: str, text: Column, may: Column) -> Column:
-    """Array of (kind, i, gap, match, before, after) of all matches; ``may``: a match is possible."""
+    """Array of (kind, i, gap, match) of all matches; ``may``: a match is possible."""
     pattern = F.lit(KINDS[kind])
     pieces = F.split(text, KINDS[kind], -1)
     found = F.transform(
@@ -43,11 +43,9 @@ def _matches(kind: str, text: Column, may: Column) -> Column:
             i.alias("i"),
             F.length(F.get(pieces, i)).alias("gap"),
             x.alias("match"),
-            F.right(F.get(pieces, i), F.lit(AROUND)).alias("before"),
-            F.left(F.get(pieces, i + 1), F.lit(AROUND)).alias("after"),
         ),
     )
-    kind_of = "array<struct<kind:string,i:int,gap:int,match:string,before:string,after:string>>"
+    kind_of = "array<struct<kind:string,i:int,gap:int,match:string>>"
     return F.when(may, found.cast(kind_of)).otherwise(F.array().cast(kind_of))
 
 
@@ -72,17 +70,63 @@ def _valid(kind: Column, match: Column) -> Column:
     return F.when(kind == "email", True).when(kind == "ip", part).when(kind == "card", card).otherwise(F.length(digits).between(10, 15))
 
 
-def _terms(context: Column, start: Column, cut_first: Column, cut_last: Column) -> Column:
-    """Array of (term, start, end) of the words of a piece of text that begins at ``start``; words
-    that the piece cuts off are left out."""
-    words, pieces = F.regexp_extract_all(context, F.lit(KINDS["term"]), F.lit(0)), F.split(context, KINDS["term"], -1)
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text outside its entities; of these only e-mail addresses hold letters."""
+    outside = F.when(text.contains("@"), F.regexp_replace(text, KINDS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(KINDS["term"]), F.lit(0)), F.lower))
+
+
+def _targets(kind: Column, match: Column) -> Column:
+    """What a term can disclose of an entity: its value, what it shares with others (domain, network,
+    issuer, leading digits) and its kind."""
+    plain = F.when(kind == "email", F.lower(match)).otherwise(F.regexp_replace(match, "[^0-9.]", ""))
+    parts = F.split(plain, r"\.")
+    shared = F.when(kind == "email", F.substring_index(plain, "@", -1)).when(kind == "ip", F.concat_ws(".", F.slice(parts, 1, 2)))
+    shared = shared.when(kind == "card", F.left(plain, F.lit(6))).otherwise(F.left(_digits(match), F.lit(4)))
+    return F.array(F.concat_ws(":", kind, plain), F.concat_ws(":", F.lit("class"), kind, shared), F.concat_ws(":", F.lit("kind"), kind))
 
-    def place(i: Column) -> Column:
-        gaps = F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda acc, p: acc + F.length(p))
-        return gaps + F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda acc, w: acc + F.length(w))
 
-    found = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("term"), (start + place(i)).cast("long").alias("start"), (start + place(i) + F.length(w)).cast("long").alias("end")))
-    return F.filter(found, lambda x: ~(cut_first & (x["start"] == start)) & ~(cut_last & (x["end"] == start + F.length(context))))
+def disclosing(rows: DataFrame, holders: DataFrame, targets: DataFrame) -> DataFrame:
+    """(row, term, action) of the terms of a document that disclose a target of the same document.
+
+    ``rows``, ``holders``: (row, text) of all and of those with entities; ``targets``: distinct
+    (row, target). Terms count wherever they stand in a document. Documents are counted by row;
+    as evidence copies of a text count once.
+    """
+    n = max(rows.count(), 1)
+    sizes = targets.groupBy("row").agg(F.count("*").alias("n_targets"))
+    held = checkpointed(holders.join(sizes, "row").select("row", F.xxhash64("text").alias("mixed"), "n_targets", _terms(F.col("text")).alias("terms")))
+    tested = held.agg(F.sum(F.col("n_targets") * F.size("terms"))).first()[0] or 0
+    name_bits = math.log2(max(tested, 1))
+    words = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
+    # no pair is lost: a term stands with a target in no more documents than hold any, and a text saves log2(n) bits at most
+    within = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("held_docs")).where(F.col("held_docs") * math.log2(n) >= name_bits)
+    likely = within.join(words, "term").where(F.col("held_docs") >= GENERALISE * F.col("term_docs"))
+    stands = held.select("row", "mixed", F.explode("terms").alias("term")).join(likely.select("term", "term_docs"), "term")
+    seen = checkpointed(stands).join(targets, "row")
+    pairs = seen.groupBy("target", "term", "mixed").agg(F.count("*").alias("copies"), F.max("term_docs").alias("term_docs"))
+    pairs = pairs.groupBy("target", "term").agg(F.sum("copies").alias("together"), F.count("*").alias("texts"), F.max("term_docs").alias("term_docs"))
+    counts = targets.groupBy("target").agg(F.count("*").alias("target_docs"))
+    share, base = F.col("together") / F.col("term_docs"), F.col("target_docs") / F.lit(float(n))
+    apart = F.col("term_docs") - F.col("together")
+    saved = F.col("texts") * F.log2(share / base) + F.when(apart > 0, apart * F.log2((1 - share) / (1 - base))).otherwise(0.0)
+    told = pairs.join(counts, "target")
+    told = told.where((share >= GENERALISE) & (F.log2(share / base) >= BITS) & (saved >= name_bits))
+    told = checkpointed(told.select("target", "term", (share >= REMOVE).alias("whole")))
+    found = seen.join(told, ["target", "term"]).groupBy("row", "term").agg(F.max("whole").alias("whole"))
+    return found.select("row", "term", F.when(F.col("whole"), "remove").otherwise("generalise").alias("action"))
+
+
+def _places(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, start, rank, end, kind, action) of every place of the terms ``found`` in their rows."""
+    told = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("told"))
+    words = rows.join(told, "row").select("row", "told", F.regexp_extract_all("text", F.lit(KINDS["term"]), F.lit(0)).alias("word"), F.split("text", KINDS["term"], -1).alias("gap"))
+    words = words.select("row", "told", F.posexplode(F.arrays_zip("word", "gap")).alias("i", "at"))
+    words = words.select("row", "i", F.col("at.gap").alias("gap"), F.col("at.word").alias("word"), F.try_element_at("told", F.lower("at.word")).alias("action"))
+    before = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.length("gap") + F.length("word")).over(before)
+    words = words.where("word is not null").withColumn("end", end).where("action is not null")
+    return words.select("row", (F.col("end") - F.length("word")).alias("start"), F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), "action")
 
 
 def private_spans(rows: DataFrame, *keep: str) -> DataFrame:
@@ -94,36 +138,22 @@ def private_spans(rows: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     digit = text.rlike("[0-9]")
     may = {"email": text.contains("@"), "ip": digit, "card": digit, "phone": text.contains("+")}
-    found = rows.select("row", *keep, F.explode_outer(F.concat(*[_matches(k, text, may[k]) for k in BASE])).alias("m"))
-    found = checkpointed(found.select("row", *keep, "m.*"))
+    found = rows.select("row", *keep, "text", F.concat(*[_matches(k, text, may[k]) for k in BASE]).alias("m"))
+    # only texts with an entity go on: they alone are shuffled later
+    holds = F.exists("m", lambda x: F.coalesce(_valid(x["kind"], x["match"]), F.lit(False)))
+    found = checkpointed(found.select("row", *keep, F.when(holds, F.col("text")).alias("text"), "m"))
+    heads, holders = found.select("row", *keep), found.where("text is not null").select("row", "text")
     places = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("match")).over(places)
-    spans = found.where("kind is not null").withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
-    spans = checkpointed(spans.where(_valid(F.col("kind"), F.col("match"))).drop(*keep))
-
-    # terms around entities, and how many documents hold either
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("match")).otherwise(F.regexp_replace("match", "[^0-9.]", "")))
-    left = _terms(F.col("before"), F.col("start") - F.length("before"), F.length("before") < F.col("gap"), F.lit(False))
-    right = _terms(F.col("after"), F.col("end"), F.lit(False), F.length("after") == AROUND)
-    spot = spans.select("row", entity.alias("entity"), F.xxhash64("before", "after").alias("where"), F.explode(F.concat(left, right)).alias("t"))
-    spot = checkpointed(spot.select("row", "entity", "where", "t.*"))
-    pairs = spot.select("entity", "term", "where").distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    both = spot.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    pairs = pairs.join(both, ["entity", "term"])
-    entities = spans.select("row", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(KINDS["term"]), F.lit(0)))).alias("term"))
-    words = words.groupBy("term").agg(F.count("*").alias("term_docs"))
-    n = rows.count()
-    share = F.col("together") / F.col("term_docs")
-    told = pairs.join(words, "term").join(entities, "entity")
-    told = told.where((share >= GENERALISE) & (F.log2(F.lit(float(max(n, 1))) * share / F.col("entity_docs")) >= BITS))
-    told = told.select("entity", "term", F.when(share >= REMOVE, "remove").otherwise("generalise").alias("action"))
-    terms = spot.join(told, ["entity", "term"]).select("row", "start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), "action").distinct()
+    spans = found.select("row", F.explode("m").alias("m")).select("row", "m.*").withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
+    spans = checkpointed(spans.where(_valid(F.col("kind"), F.col("match"))))
+
+    targets = checkpointed(spans.select("row", F.explode(_targets(F.col("kind"), F.col("match"))).alias("target")).distinct())
+    terms = _places(holders, disclosing(rows, holders, targets))
 
     rank = F.array_position(F.array(*[F.lit(k) for k in BASE]), F.col("kind")).cast("int") - 1
     base = spans.select("row", "start", rank.alias("rank"), "end", "kind", F.lit("remove").alias("action"))
     every = base.union(terms).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "action"))).alias("all"))
-    heads = found.groupBy("row").agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in keep])
     out = heads.join(every, "row", "left")
     base = F.coalesce(F.filter("all", lambda s: s["kind"] != "term"), F.array())
     clear = F.filter("all", lambda t: (t["kind"] == "term") & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
