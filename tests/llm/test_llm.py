@@ -222,6 +222,15 @@ def test_sharding(spark, odd_rows):
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in out) == want
 
 
+def test_small_groups_stay_whole(spark):
+    rows = [(i, words(i, 50), "a") for i in range(600)] + [(1000 + i, words(900 + i // 3, 50), "a") for i in range(60)] + [(None, "without ids", "a")] * 400
+    out = packing.sharded(frame(spark, rows)).collect()
+    where = {}
+    for r in out:
+        where.setdefault(r.doc_id if r.doc_id is None or r.doc_id < 1000 else 1000 + (r.doc_id - 1000) // 3, set()).add(r.shard)
+    assert all(len(where[g]) == 1 for g in range(1000, 1020)) and len(where[None]) == 8
+
+
 # personal data --------------------------------------------------------------------
 
 PLAIN = {

@@ -12,8 +12,9 @@ from tollgate.session import checkpointed
 
 SHARDS = 8
 #: Small groups are placed in so many bundles by hash; a group that holds more than that share
-#: of all bytes is placed by itself, in slices of about that share.
+#: of all bytes is placed by itself: whole up to the share WHOLE of a shard, else in slices of about 1/BUNDLES.
 BUNDLES = 4096
+WHOLE = 0.05
 #: Rows meant for one range of slots.
 SLOT_ROWS = 4_000
 
@@ -36,8 +37,8 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per row of (doc_id, text): (doc_id, size, text_crc32, law, shard, slot, grown_shard).
 
-    The law is ``bytes``. Equal texts stay in one shard unless they hold more than 1/BUNDLES of
-    all bytes; then they are cut by hash of the id into slices. A null text counts as an empty
+    The law is ``bytes``. Equal texts stay in one shard unless they hold more than WHOLE of
+    a shard; then they are cut by hash of id and row into slices. A null text counts as an empty
     one (1 byte, crc 0, equal to the empty text); null and repeated ids are ordinary; an empty
     table gives no rows. The driver places at most about 3 BUNDLES items, whatever the size.
     """
@@ -45,6 +46,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = checkpointed(
         docs.select(
             "doc_id",
+            F.monotonically_increasing_id().alias("row"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             word_count(F.col("text")).alias("tokens"),
@@ -52,11 +54,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         )
     )
     key = ["mixed", "size", "text_crc32"]
-    most = (rows.agg(F.sum("size")).first()[0] or 0) / BUNDLES
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    most, whole = total / BUNDLES, total / shards * WHOLE
     # fewer than BUNDLES groups can be above the mean of so many
     large = rows.groupBy(*key).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
-    large = checkpointed(large.select(*key, F.ceil(F.col("bytes") / max(most, 1)).alias("slices")))
-    spot = F.when(F.col("slices").isNull(), F.pmod("mixed", F.lit(BUNDLES))).otherwise(F.pmod(F.xxhash64("doc_id"), "slices"))
+    large = checkpointed(large.select(*key, F.when(F.col("bytes") <= whole, 1).otherwise(F.ceil(F.col("bytes") / max(most, 1))).alias("slices")))
+    spot = F.when(F.col("slices").isNull(), F.pmod("mixed", F.lit(BUNDLES))).otherwise(F.pmod(F.xxhash64("doc_id", "row"), "slices"))
     rows = rows.join(F.broadcast(large), key, "left").withColumn("own", F.when(F.col("slices").isNotNull(), F.col("mixed"))).withColumn("spot", spot)
     items = rows.groupBy("own", "spot").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).collect()
     items.sort(key=lambda x: (x.own is not None, x.own or 0, x.spot))
