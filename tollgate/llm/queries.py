@@ -10,6 +10,7 @@ from tollgate.llm import (  # noqa: F401
     privacy,
     repeats,
     simhash,
+    spelling,
     tokens,
     toxicity,
 )
