@@ -31,7 +31,7 @@ class Codebooks:
     def __init__(self, sample: np.ndarray, words: int, rounds: int = 8):
         half = sample.shape[1] // 2
         self.half = half
-        self.books = [_kmeans(sample[:, :half], words, rounds), _kmeans(sample[:, half:], words, rounds)]
+        self.books = [kmeans(sample[:, :half], words, rounds), kmeans(sample[:, half:], words, rounds)]
 
     def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -47,7 +47,7 @@ class Codebooks:
         return own, np.maximum(gap / np.maximum(2 * apart[own], 1e-12) - 1e-9, 0)
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     k = max(1, min(k, len(x)))
     book = x[np.linspace(0, len(x) - 1, k).astype(int)].copy() if len(x) else np.zeros((1, x.shape[1]))
     for _ in range(rounds if len(x) else 0):

@@ -6,6 +6,7 @@ from tollgate.llm import (  # noqa: F401
     decontam,
     mixing,
     multiindex,
+    nearest,
     packing,
     privacy,
     repeats,
