@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from tollgate.llm import (  # noqa: F401
+    alignment,
     compression,
     decontam,
     mixing,
