@@ -23,7 +23,7 @@ from tollgate.session import checkpointed
 
 NEIGHBOURS = 20
 #: Share of the probes' true neighbours that the candidates must hold, and most probes.
-RECALL = 0.97
+RECALL = 0.95
 PROBES = 96
 #: Most vectors on which codebooks are fitted; vectors meant for a cell; most codewords of a half;
 #: most lengths of vectors with codebooks of their own (the vectors of a rarer length are one cell).
@@ -31,51 +31,59 @@ FIT_ROWS = 8_192
 CELL_SIZE = 8
 MOST_WORDS = 256
 MOST_LENGTHS = 8
-#: Most vectors stored or asked in one task, and asked at once in a cell.
+#: Most vectors stored or asked in one task, and asked at once there.
 CHUNK = 16_000
-BLOCK = 1_024
+BLOCK = 256
 
 
 class Grid:
-    """Codebooks of both halves and, once counted, the number of vectors in each cell."""
+    """Codebooks of both halves, the number of vectors in each cell once they are counted, and the
+    shards, each of which holds the cells of every ``shards``-th codeword of the first half."""
 
-    def __init__(self, sample: np.ndarray, words: int):
+    def __init__(self, sample: np.ndarray, words: int, shards: int = 1):
         self.half = sample.shape[1] // 2
         self.books = [kmeans(part, words) for part in self.parts(sample)]
         self.counts = np.zeros((len(self.books[0]), len(self.books[1])), np.int64)
+        self.shards = min(shards, len(self.books[0]))
         self.enough = 0
 
     def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
 
-    def cells(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        return tuple(((b**2).sum(axis=1)[None] - 2 * part @ b.T).argmin(axis=1) for part, b in zip(self.parts(x), self.books))
-
-    def visit(self, vector: np.ndarray) -> Iterator[tuple[int, int]]:
-        """All cells, by falling sum of the inner products with their two codewords."""
-        first, second = (b @ part for part, b in zip((vector[: self.half], vector[self.half :]), self.books))
-        one, two = np.argsort(-first, kind="stable").tolist(), np.argsort(-second, kind="stable").tolist()
-        first, second = (-np.sort(-first)).tolist(), (-np.sort(-second)).tolist()
-        heap = [(-first[0] - second[0], 0, 0)]
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two = (((b**2).sum(axis=1)[None] - 2 * part @ b.T).argmin(axis=1) for part, b in zip(self.parts(x), self.books))
+        return one, two
+
+    def visit(self, vector: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(i, j, vectors) of all cells, by falling sum of the inner products with their codewords."""
+        first, second = (-(b @ part) for part, b in zip((vector[: self.half], vector[self.half :]), self.books))
+        one, two = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
+        counts = self.counts[one][:, two].tolist()
+        first, second = first[one].tolist(), second[two].tolist()
+        one, two = one.tolist(), two.tolist()
+        heap = [(first[0] + second[0], 0, 0)]
         while heap:
-            _, a, b = heapq.heappop(heap)
-            yield one[a], two[b]
+            _, a, b = heap[0]
+            yield one[a], two[b], counts[a][b]
             if b + 1 < len(two):
-                heapq.heappush(heap, (-first[a] - second[b + 1], a, b + 1))
+                heapq.heapreplace(heap, (first[a] + second[b + 1], a, b + 1))
+            else:
+                heapq.heappop(heap)
+            # a row of cells is begun once the row before it is
             if b == 0 and a + 1 < len(one):
-                heapq.heappush(heap, (-first[a + 1] - second[0], a + 1, 0))
-
-    def reach(self, vector: np.ndarray) -> dict[int, list[int]]:
-        """Cells visited until they hold enough vectors: second codewords by the first."""
-        found: dict[int, list[int]] = {}
-        held = 0
-        for i, j in self.visit(vector):
-            if self.counts[i, j]:
-                found.setdefault(i, []).append(j)
-                held += self.counts[i, j]
-                if held >= self.enough:
-                    break
-        return found
+                heapq.heappush(heap, (first[a + 1] + second[0], a + 1, 0))
+
+    def reach(self, vector: np.ndarray) -> np.ndarray:
+        """Which cells are visited until they hold enough vectors."""
+        seen, held = np.zeros(self.counts.size, bool), 0
+        width, cells = self.counts.shape[1], []
+        for i, j, n in self.visit(vector):
+            cells.append(i * width + j)
+            held += n
+            if held >= self.enough:
+                break
+        seen[cells] = True
+        return (seen & (self.counts.ravel() > 0)).reshape(self.counts.shape)
 
 
 def _same_length(batches: Iterator[pa.RecordBatch], column: str = "v") -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -94,11 +102,11 @@ def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(x: np.ndarray, name: np.ndarray, row: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, entry, score): the ``k`` largest exact inner products of every query with entries of
-    another name; of equal ones the smaller name, then the smaller row."""
+def best(x: np.ndarray, name: np.ndarray, row: np.ndarray, q: np.ndarray, own: np.ndarray, may: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, score): the ``k`` largest exact inner products of every query with entries it
+    may meet and that have another name; of equal ones the smaller name, then the smaller row."""
     rough = q @ x.T
-    rough[own[:, None] == name[None]] = -np.inf
+    rough[~may | (own[:, None] == name[None])] = -np.inf
     if len(x) > k:
         margin = 1e-10 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
         least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] - margin
@@ -120,7 +128,7 @@ def _fitted(entries: DataFrame) -> dict[int, Grid]:
     for r in sizes:
         sample = entries.where(F.size("v") == r["size"]).orderBy(F.xxhash64("v"), "row").limit(FIT_ROWS).select("v").collect()
         words = min(MOST_WORDS, max(1, math.ceil(math.sqrt(r["count"] / CELL_SIZE))))
-        grids[r["size"]] = Grid(np.array([s.v for s in sample]), words)
+        grids[r["size"]] = Grid(np.array([s.v for s in sample]), words, math.ceil(r["count"] / CHUNK))
     return grids
 
 
@@ -137,7 +145,8 @@ def _measure(grids: dict[int, Grid], placed: DataFrame, asked: DataFrame, k: int
             if n not in sets:
                 continue
             name, row, i, j = (batch.column(c).to_numpy() for c in ("vec_id", "row", "i", "j"))
-            at, entry, score = best(matrix(batch.column("v")), name, row, *sets[n], k)
+            q, own = sets[n]
+            at, entry, score = best(matrix(batch.column("v")), name, row, q, own, np.ones((len(q), 1), bool), k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c) for c in (np.full(len(at), n, np.int32), at.astype(np.int32), name[entry], row[entry], score, i[entry], j[entry])],
                 names=["size", "probe", "vec_id", "row", "score", "i", "j"],
@@ -151,11 +160,11 @@ def _measure(grids: dict[int, Grid], placed: DataFrame, asked: DataFrame, k: int
         cells.setdefault((r["size"], r.probe), []).append((r.i, r.j))
     for (n, probe), wanted in cells.items():
         held, left = 0, set(wanted)
-        for cell in grids[n].visit(sets[n][0][probe]):
-            held += int(grids[n].counts[cell])
-            if cell in left:
-                needs[n] += [held] * wanted.count(cell)
-                left.remove(cell)
+        for i, j, count in grids[n].visit(sets[n][0][probe]):
+            held += count
+            if (i, j) in left:
+                needs[n] += [held] * wanted.count((i, j))
+                left.remove((i, j))
                 if not left:
                     break
     for n, grid in grids.items():
@@ -198,54 +207,49 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, batch in _same_length(batches):
-            reached = [grids[n].reach(v) if n in grids else {0: [0]} for v in matrix(batch.column("v"))]
-            at = np.repeat(np.arange(batch.num_rows), [len(r) for r in reached])
-            took = batch.take(pa.array(at))
-            cells = [(i, js) for r in reached for i, js in r.items()]
+            at, shard, cells = [], [], []
+            for place, v in enumerate(matrix(batch.column("v"))):
+                seen = grids[n].reach(v) if n in grids else np.ones((1, 1), bool)
+                shards = grids[n].shards if n in grids else 1
+                for part in range(shards):
+                    if (own := seen[part::shards]).any():
+                        at.append(place)
+                        shard.append(part)
+                        cells.append(np.packbits(own).tobytes())
+            took = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), n, np.int32)), pa.array([i for i, _ in cells], pa.int32()), pa.array([js for _, js in cells], pa.list_(pa.int32())), *took.columns],
-                names=["size", "i", "js", *took.schema.names],
+                [pa.array(np.full(len(at), n, np.int32)), pa.array(shard, pa.int32()), pa.array(cells, pa.binary()), *took.columns], names=["size", "shard", "cells", *took.schema.names]
             )
 
-    routed = checkpointed(asked.mapInArrow(ask, "size int, i int, js array<int>, vec_id long, row long, v array<double>"))
-    stored = placed.groupBy("size", "i").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("stored"))
-    sizes = routed.groupBy("size", "i").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("asked")).join(stored, ["size", "i"])
+    routed = checkpointed(asked.mapInArrow(ask, "size int, shard int, cells binary, vec_id long, row long, v array<double>"))
+    shards = F.coalesce(F.create_map(*[F.lit(x) for n, g in grids.items() for x in (n, g.shards)])[F.col("size")], F.lit(1)) if grids else F.lit(1)
+    width = F.coalesce(F.create_map(*[F.lit(x) for n, g in grids.items() for x in (n, g.counts.shape[1])])[F.col("size")], F.lit(1)) if grids else F.lit(1)
+    entry_of = placed.withColumns({"shard": F.col("i") % shards, "cell": F.floor(F.col("i") / shards).cast("int") * width + F.col("j")})
+    stored = entry_of.groupBy("size", "shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("stored"))
+    sizes = routed.groupBy("size", "shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("asked")).join(stored, ["size", "shard"])
     mixed = F.xxhash64("row")
-    none = F.lit(None).cast("array<int>")
     a, b = F.pmod(mixed, F.col("stored")).cast("int"), F.pmod(mixed, F.col("asked")).cast("int")
-    columns = ["size", "i", "a", "b", "j", "js", "vec_id", "row", "v"]
-    as_stored = placed.join(sizes, ["size", "i"]).withColumns({"a": a, "b": F.explode(F.sequence(F.lit(0), F.col("asked") - 1)), "js": none})
-    as_asked = routed.join(sizes, ["size", "i"]).withColumns({"b": b, "a": F.explode(F.sequence(F.lit(0), F.col("stored") - 1)), "j": F.lit(None).cast("int")})
+    columns = ["size", "shard", "a", "b", "cell", "cells", "vec_id", "row", "v"]
+    as_stored = entry_of.join(sizes, ["size", "shard"]).withColumns({"a": a, "b": F.explode(F.sequence(F.lit(0), F.col("asked") - 1)), "cells": F.lit(None).cast("binary")})
+    as_asked = routed.join(sizes, ["size", "shard"]).withColumns({"b": b, "a": F.explode(F.sequence(F.lit(0), F.col("stored") - 1)), "cell": F.lit(None).cast("int")})
 
     def rerank(unit: pa.Table) -> pa.Table:
         unit = unit.combine_chunks()
-        j, name, row = unit.column("j"), unit.column("vec_id").to_numpy(), unit.column("row").to_numpy()
+        cell, name, row = unit.column("cell"), unit.column("vec_id").to_numpy(), unit.column("row").to_numpy()
         x = matrix(unit.column("v").combine_chunks())
-        s, q = np.flatnonzero(j.is_valid().to_numpy()), np.flatnonzero(j.is_null().to_numpy())
-        cell = j.to_numpy()[s]
-        s = s[np.argsort(cell, kind="stable")]
-        edges = np.flatnonzero(np.diff(np.sort(cell), prepend=-1, append=-1))
-        held = {int(j[int(s[lo])].as_py()): s[lo:hi] for lo, hi in zip(edges, edges[1:])}
-        wanted: dict[int, list[int]] = {}
-        for place, js in zip(q.tolist(), unit.column("js").combine_chunks().take(pa.array(q)).to_pylist()):
-            for c in js:
-                wanted.setdefault(c, []).append(place)
+        s, q = np.flatnonzero(cell.is_valid().to_numpy()), np.flatnonzero(cell.is_null().to_numpy())
+        of, cells = cell.drop_null().to_numpy(), unit.column("cells").combine_chunks().take(pa.array(q))
         out = []
-        for c, asking in wanted.items():
-            for lo in range(0, len(asking) if c in held else 0, BLOCK):
-                some = np.array(asking[lo : lo + BLOCK])
-                for to in range(0, len(held[c]), BLOCK):
-                    e = held[c][to : to + BLOCK]
-                    at, entry, score = best(x[e], name[e], row[e], x[some], name[some], k)
-                    out.append((some[at], e[entry], score))
+        for lo in range(0, len(q) if len(s) else 0, BLOCK):
+            some = q[lo : lo + BLOCK]
+            bits = np.stack([np.frombuffer(c.as_buffer(), np.uint8) for c in cells[lo : lo + BLOCK]])
+            may = np.unpackbits(bits, axis=1).view(bool)[:, of]
+            at, entry, score = best(x[s], name[s], row[s], x[some], name[some], may, k)
+            out.append((some[at], s[entry], score))
         at, entry, score = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
-        order = np.lexsort((row[entry], name[entry], -score, at))
-        at, entry, score = at[order], entry[order], score[order]
-        first = np.arange(len(at)) - np.searchsorted(at, at) < k
-        at, entry, score = at[first], entry[first], score[first]
         return pa.table({"query_row": row[at], "query_id": name[at], "row": row[entry], "vec_id": name[entry], "score": score})
 
-    units = as_stored.select(*columns).union(as_asked.select(*columns)).groupBy("size", "i", "a", "b")
+    units = as_stored.select(*columns).union(as_asked.select(*columns)).groupBy("size", "shard", "a", "b")
     found = units.applyInArrow(rerank, "query_row long, query_id long, row long, vec_id long, score double")
     top = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
