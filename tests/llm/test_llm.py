@@ -9,20 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tollgate.llm import bwt, components, compression, decontam, mixing, multiindex, packing, privacy, repeats, simhash, tokens, toxicity, wavelet
-
-DOCS = "doc_id long, text string, source string, lang string, size long, label int, fp long, row long"
-
-
-def frame(spark, rows):
-    """Documents with columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, s, "en", 7, 1, 3, 4) for i, t, s in rows], DOCS)
-
-
-def words(seed, n):
-    r = random.Random(seed)
-    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
-
+from fixtures import frame, words
+from tollgate.llm import bwt, components, compression, decontam, mixing, multiindex, near_copies, packing, privacy, repeats, simhash, tokens, toxicity, wavelet
 
 @pytest.fixture(scope="module")
 def odd_rows():
@@ -79,7 +67,7 @@ def test_near_duplicates(spark, odd_rows):
 
 
 def test_one_of_each(spark, odd_rows):
-    kept = simhash.one_of_each(frame(spark, odd_rows))
+    kept = near_copies.one_of_each(frame(spark, odd_rows))
     assert kept.columns == frame(spark, odd_rows).columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 1 in ids and not {3, 5} & set(ids)
@@ -113,7 +101,7 @@ def test_encoder_equals_tokenizer():
     plain, own = Tokenizer.from_file(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary())
     texts = ["", "Don't STOP, it's 42%!!", "a<|endoftext|>b", "ÀÉ ß µª² ½x", "中文 and\x1ctext", "é   z", "''s '' 's, we'll.", "!!! ... ,", words(3, 200)]
     for _ in range(2):
-        assert [np.frombuffer(x, "<u2").tolist() for x in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_output(spark, odd_rows):
@@ -390,7 +378,7 @@ def test_empty_tables(spark):
     docs = frame(spark, [(1, "a", "b")]).where("false")
     for out in (
         simhash.near_duplicates(docs),
-        simhash.one_of_each(docs),
+        near_copies.one_of_each(docs),
         tokens.token_output(docs),
         mixing.mixed(docs),
         mixing.mixed_texts(docs),
@@ -416,3 +404,29 @@ def test_pipeline_on_small_table(spark, small_dir):
         docs = out
     # so few labels may teach nothing toxic
     assert steps[0][1] <= 200 and steps[1][1] < steps[0][1] and steps[2][1] < steps[1][1] and steps[3][1] == steps[4][1] > 0
+
+
+def test_pieces_of_the_vocabulary_spell_themselves():
+    """Then no two parts of a token other than those of its own merge can ever stand side by side,
+    and ids may serve as ranks."""
+    from tokenizers import Tokenizer
+
+    own, plain = tokens.Encoder(tokens.vocabulary()), Tokenizer.from_file(tokens.vocabulary())
+    of = {i: t for t, i in plain.get_vocab().items()}
+    spelt = {i: s for s, i in own.quick._mergeable_ranks.items()}
+    assert len(spelt) > 40_000
+    pieces = [s for i, s in spelt.items() if of.get(i, "").endswith("</w>")]
+    assert [own.quick._encode_single_piece(s) for s in pieces] == [[i] for i in spelt if of.get(i, "").endswith("</w>")]
+    words = [t[:-4] for t in of.values() if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha()]
+    assert [x.tolist() for x in own(words)] == [e.ids for e in plain.encode_batch(words, add_special_tokens=False)]
+
+
+def test_encoder_on_random_texts():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary())
+    r = random.Random(5)
+    some = "abcdeghilmnoprstuvwxyzABCXYZ019 \n\t'''.,!?-\"#@éèñöüßÀÉÑÖÞþ" + "sttdmrevell"
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 50))) for _ in range(8000)] + ["x\x7fy", "ÿ × ÷", "\x0bx", "á", "'s's", "''s", "1's", "!'s"]
+    got = [y for i in range(0, len(texts), 50) for y in own(texts[i : i + 50])]
+    assert [x.tolist() for x in got] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]

@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.llm.registry import query, table
+from tollgate.session import checkpointed
 
 #: Edits allowed per character of an item.
 EDIT_RATE = 0.1
@@ -146,19 +148,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame
     items give a row each; without items or documents there are none.
     """
     chosen = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    schema = ", ".join([*fields, f"item_id {dict(benchmark.dtypes)['item_id']}, edits int, item_chars int, start long, end long"])
+    more = T._parse_datatype_string(f"item_id {dict(benchmark.dtypes)['item_id']}, edits int, item_chars int, start long, end long")
+    schema = T.StructType([*chosen.schema.fields[1:], *more.fields])
     out = docs.sparkSession.createDataFrame([], schema)
-    for indexes in _blocks(benchmark):
-        out = out.union(_search(chosen, indexes, schema))
+    for n, indexes in enumerate(_blocks(benchmark)):
+        # a finished block's index need not stay on the driver
+        out = (checkpointed(out) if n else out).union(_search(chosen, indexes, schema))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, in one pass per block and no shuffle."""
-    for indexes in _blocks(benchmark):
-        docs = _filter(docs, indexes)
-    return docs
+    """The rows of ``docs`` that hold no benchmark item, in one pass per block and no shuffle. Null
+    and empty texts hold none; repeated rows stay or go together; an empty table stays empty."""
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    for n, indexes in enumerate(_blocks(benchmark)):
+        rows = _filter(checkpointed(rows) if n else rows, indexes)
+    return rows.select("row.*")
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[Items]]:
@@ -203,7 +208,7 @@ def _filter(docs: DataFrame, indexes: list[Items]) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _search(chosen: DataFrame, indexes: list[Items], schema: str) -> DataFrame:
+def _search(chosen: DataFrame, indexes: list[Items], schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _portions(batch.column(0)):

@@ -8,12 +8,12 @@ the triangle inequality. In a shard the tree goes on to small leaves.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.llm.components import Forest, components
@@ -32,30 +32,39 @@ LEAF = 256
 MAX_DEPTH = 12
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """SimHash of all ``width``-word shingles of a text, repeats included; 0 without words.
+def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all ``width``-word shingles of a text, repeats included; none without words.
 
     A-Z are lower-cased, words end at ASCII white space, a shorter text is one shingle.
     """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())]
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 without any."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
-        block = np.array(hashes[at : at + 65_536], dtype="<u8")
+        block = hashes[at : at + 65_536].astype("<u8")
         set_bits += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * set_bits > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """SimHash of all shingles of a text; 0 without words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The columns ``keep`` of every row and ``fp``, its fingerprint as a signed long."""
 
@@ -73,6 +82,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 class Tree:
     """Upper levels of a vantage-point tree as flat arrays; node i has the children 2i+1, 2i+2."""
 
@@ -102,31 +114,32 @@ class Tree:
         return at, node - (2**self.depth - 1)
 
 
-def best_vantage(points: np.ndarray) -> tuple[np.uint64, int]:
+def best_vantage(points: np.ndarray, apart: Distance = distances) -> tuple[np.uint64, int]:
     """Of a few points, the one whose distances spread most, and the median distance from it."""
     probe = points[:: max(1, len(points) // 2048)]
-    best = max(points[:: max(1, len(points) // 8)][:8], key=lambda p: distances(probe, p).std())
-    d = np.sort(distances(probe, best).astype(np.int64))
+    best = max(points[:: max(1, len(points) // 8)][:8], key=lambda p: apart(probe, p).std())
+    d = np.sort(apart(probe, best).astype(np.int64))
     mu = int(d[len(d) // 2])
     return best, mu - 1 if mu == d[-1] and d[0] < mu else mu
 
 
-def near_pairs(stored: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (in ``stored``, in ``asked``) of all pairs within ``radius``, leaf by leaf."""
+def near_pairs(stored: np.ndarray, asked: np.ndarray, radius: int, apart: Distance = distances) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (in ``stored``, in ``asked``) of all pairs within ``radius``, leaf by leaf. Points are
+    rows of whatever ``apart`` measures."""
     work = [(np.arange(len(stored)), np.arange(len(asked)))]
     while work:
         s, q = work.pop()
         if not len(s) or not len(q):
             continue
-        vantage, mu = best_vantage(stored[s]) if len(s) > LEAF else (None, 0)
-        near = distances(stored[s], vantage) <= mu if vantage is not None else None
+        vantage, mu = best_vantage(stored[s], apart) if len(s) > LEAF else (None, 0)
+        near = apart(stored[s], vantage) <= mu if vantage is not None else None
         if near is None or near.all() or not near.any():
             for at in range(0, len(s), LEAF):
                 for to in range(0, len(q), 4096):
-                    i, j = np.nonzero(distances(stored[s[at : at + LEAF], None], asked[None, q[to : to + 4096]]) <= radius)
+                    i, j = np.nonzero(apart(stored[s[at : at + LEAF], None], asked[None, q[to : to + 4096]]) <= radius)
                     yield s[at + i], q[to + j]
             continue
-        d = distances(asked[q], vantage).astype(np.int64)
+        d = apart(asked[q], vantage).astype(np.int64)
         work.append((s[near], q[d - radius <= mu]))
         work.append((s[~near], q[d + radius > mu]))
 
@@ -204,20 +217,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return prints.join(classes.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of every component: of the smallest id, then of the smallest hash of
-    the text; of equal rows with that id and text one stays. A null id counts as the largest."""
-    key = [F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long").alias("key"), F.xxhash64("text").alias("mixed")]
-    prints = checkpointed(fingerprints(docs.select("text", *key), "key", "mixed"))
-    found = components(near_links(prints, radius), "a", "b")
-    classes = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
-    kept = classes.agg(F.min(F.struct("key", "mixed")).alias("kept")).select("kept.*").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(*key, row).join(kept, ["key", "mixed"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("key", "mixed").orderBy("key"))
-    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
-
-
 @query("op1_simhash_vp_tree")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -11,13 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.llm.labelled import Logistic, held_out, training_rows
 from tollgate.llm.registry import query, table
 
-#: Most labelled rows used for the fit, and most pieces of words kept with a weight of their own.
+#: Most labelled rows used for the fit.
 FIT_ROWS = 20_000
-FIT_WORDS = 20_000
 #: Strength of the Dirichlet prior, in documents; pieces count from so many standard errors and
 #: such log-odds on, for common words that merely differ by language carry little and are many.
 PRIOR = 100.0
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
     """Fit from labelled rows that are not held out; only words, labels and lengths are used.
 
     Words are counted once per distinct text. Their log-odds between the classes have a
-    Dirichlet prior in proportion to the words' overall frequency.
+    Dirichlet prior in proportion to the words' overall frequency. Null texts, ids and labels teach
+    nothing, repeated rows no more than one; without rows, or with one class, every text has the base rate.
     """
     rows = training_rows(docs, labels, label, most).groupBy(F.xxhash64("text").alias("mixed")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
 
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
         odds = F.log(a / F.greatest(n + PRIOR - a, F.lit(0.5))) - F.log(b / F.greatest(m + PRIOR - b, F.lit(0.5)))
         z = odds / F.sqrt(1 / a + 1 / b)
         chosen = counts.where("word not in ('', ' ')").select("word", odds.alias("odds"), z.alias("z"), (b / length).alias("rate"))
-        chosen = chosen.where((F.abs("z") >= SIGNIFICANT) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "word").limit(FIT_WORDS).collect()
+        chosen = chosen.where((F.abs("z") >= SIGNIFICANT) & (F.abs("odds") >= LEAST_ODDS)).orderBy("word").collect()
     finally:
         counts.unpersist()
     model = Model({r.word: (r.odds, r.z) for r in chosen}, {r.word: r.rate for r in chosen})
@@ -206,8 +207,8 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array(spans, kind)], names=[*batch.schema.names[1:], "score", "passages"])
 
     chosen = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    out = chosen.mapInArrow(run, ", ".join([*fields, "score double", "passages array<struct<first:bigint,last:bigint,excess:double>>"]))
+    more = T._parse_datatype_string("score double, passages array<struct<first:bigint,last:bigint,excess:double>>")
+    out = chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[1:], *more.fields]))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).withColumn("n_passages", F.size("passages"))
 
 
