@@ -1,7 +1,8 @@
 """Streams give what the same operators give on the whole input at once."""
 
 import tempfile
-from datetime import datetime, timezone
+import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 from tollgate.functions.exprs import logistic_score
 from tollgate.operators import drift, ledger, trailing
 from tollgate.operators.evaluate import check_scores
+from tollgate.plans import stream_queries
 from tollgate.plans.core_queries import train_of
 from tollgate.schemas import MONITORING_RUN_SCHEMA, OUTCOME_SCHEMA
 from tollgate.sources import canonical
 from tollgate.sources.batches import BatchTable
 from tollgate.sources.streams import clean_outcomes, file_stream, request_stream
-from tollgate.streaming import intake, monitor, scoring
+from tollgate.streaming import intake, late, monitor, scoring, states
 
 
 def scratch() -> str:
@@ -238,10 +240,85 @@ def test_monitoring_run_is_idempotent_and_records_failures(spark, txn, events):
     assert runs.schema.fieldNames() == MONITORING_RUN_SCHEMA.fieldNames()
 
 
-def test_late_rows(spark):
-    at = lambda h: datetime(2024, 1, 1, h, tzinfo=timezone.utc)
-    batch = spark.createDataFrame([(at(1),), (at(5),)], "created_at timestamp")
-    assert monitor.late_rows(batch, at(5), 3600).count() == 1
+def in_files(spark, batches, schema):
+    """Every batch as one file; a stream that takes a file at a time sees them in this order."""
+    src = scratch()
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken by their time of writing
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def minute(n):
+    return datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=n)
+
+
+def test_late_rows_are_those_a_stateful_twin_drops(spark):
+    times = [[0, 10, 20], [30, 5], [40, 19, 25, 9], [29, 35, 8, 10], [60], [39, 20, 49, 50, 51]]
+    batches = [[(100 * b + n, minute(m)) for n, m in enumerate(ms)] for b, ms in enumerate(times)]
+    stream = in_files(spark, batches, "id long, created_at timestamp")
+    twin = scratch()
+    query = drain(start(stream.withWatermark("created_at", "10 minutes").dropDuplicates(["id", "created_at"]), twin))
+    out = scratch()
+    kept = {n: BatchTable(spark, f"{out}/{n}", stream.schema) for n in ("in_time", "late")}
+    marks = BatchTable(spark, f"{out}/marks", late.MARK_SCHEMA)
+    write = late.late_splitter(kept["in_time"].write, kept["late"], marks, 600)
+    drain(start_batches(stream, out, write))
+    want = rows(spark.read.parquet(f"{twin}/data"), "id")
+    assert rows(kept["in_time"].read(), "id") == want
+    dropped = rows(kept["late"].read(), "id")
+    assert len(dropped) == monitor.dropped_late_rows(query) > 0
+    assert sorted(want + dropped) == sorted((i,) for b in batches for i, _ in b)
+    # a batch that is tried again is split as before
+    write(spark.createDataFrame(batches[3], stream.schema), 3)
+    assert rows(kept["late"].read(), "id") == dropped and rows(kept["in_time"].read(), "id") == want
+
+
+def test_label_stream_equals_batch_after_restarts(spark, txn):
+    verdicts, merged = stream_queries.admitted_by_stream(spark, txn)
+    sent, events, stored = canonical.outcome_submissions(txn), canonical.predictions(txn), canonical.stored_outcomes(txn)
+    admitted = ledger.admit_batches(sent, events, stored)
+    assert rows(verdicts, *verdicts.columns) == rows(admitted, *verdicts.columns)
+    columns = ("batch_id", "position", "prediction_id", "actual_fraud", "source", "replayed")
+    assert rows(merged, *columns) == rows(ledger.merge_outcomes(sent, admitted, stored), *columns)
+
+
+def test_alerts_fire_and_end_without_further_input(spark):
+    intake.use_rocksdb(spark)
+    def points(name, bad):
+        return [(minute(5 * n), name, b) for n, b in bad.items()]
+
+    # one falls silent while it fires, one before; one ends by a false point, one misses a point
+    first = points("silent", {0: True, 1: True}) + points("short", {0: True}) + points("ends", {0: False, 1: True})
+    second = points("ends", {2: True, 3: True, 4: False}) + points("gap", {2: True, 4: True, 5: True})
+    third = points("ends", {9: False})
+    stream = in_files(spark, [first, second, third], "window_start timestamp, alert string, bad boolean")
+    out = scratch()
+    drain(start(states.alert_stream(stream, 300), out))
+    got = spark.read.parquet(f"{out}/data").where("status <> 'pending'")
+    of = [(r.alert, r.status, r.pending_since, r["at"], r.points) for r in got.collect()]
+    local = lambda n: minute(n).astimezone().replace(tzinfo=None)
+    assert sorted(of) == sorted(
+        [
+            ("silent", "firing", local(0), local(5), 2), ("silent", "resolved", local(0), local(10), 2),
+            ("ends", "firing", local(5), local(10), 2), ("ends", "resolved", local(5), local(20), 3),
+            ("gap", "firing", local(20), local(25), 2), ("gap", "resolved", local(20), local(30), 2),
+        ]
+    )
+
+
+def test_windows_of_a_silent_series_come_in_time(spark):
+    intake.use_rocksdb(spark)
+    first = [(minute(0), "a", "x", 2, 0.1), (minute(3), "a", "x", 1, 0.2), (minute(3), "b", "y", 5, 1.0)]
+    second = [(minute(n), "b", "y", 1, 0.1) for n in (8, 9, 25)]
+    third = [(minute(40), "b", "y", 1, 0.5)]
+    stream = in_files(spark, [first, second, third], "minute timestamp, series string, bucket string, n long, total double")
+    out = scratch()
+    start_ms = int(minute(5).timestamp() * 1000)
+    drain(start(states.trailing_stream(stream, 600, 300, start_ms), out))
+    got = [(r.series, round((r.window_end.astimezone(timezone.utc) - minute(0)).total_seconds() / 60), r.n, float(r.total)) for r in spark.read.parquet(f"{out}/data").collect()]
+    want = [("a", 5, 3, 0.3), ("a", 10, 3, 0.3), ("b", 5, 5, 1.0), ("b", 10, 7, 1.2), ("b", 15, 2, 0.2), ("b", 30, 1, 0.1), ("b", 35, 1, 0.1)]
+    assert sorted(got) == want
 
 
 def test_bad_scores_fail(spark):

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tollgate.plans import core_queries, model_queries, ops_queries  # noqa: F401
+from tollgate.plans import core_queries, model_queries, ops_queries, stream_queries  # noqa: F401
 from tollgate.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

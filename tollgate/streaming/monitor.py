@@ -148,9 +148,3 @@ def dropped_late_rows(query: StreamingQuery) -> int:
         for op in progress["stateOperators"]:
             total += int(op.get("numRowsDroppedByWatermark", 0))
     return total
-
-
-def late_rows(batch: DataFrame, seen_until: datetime, delay_seconds: int, ts: str = "created_at") -> DataFrame:
-    """K8: rows of a micro-batch that a watermark would refuse, for a side table."""
-    limit = F.lit(seen_until) - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS")
-    return batch.where(F.col(ts) < limit)
