@@ -1,6 +1,8 @@
 """Hand-computed numbers, edge cases and invariants."""
 
 import math
+import random
+import struct
 import tempfile
 from datetime import datetime, timedelta, timezone
 
@@ -90,7 +92,7 @@ def test_exact_quantiles_interpolate(spark):
 def test_smallest_is_exact(spark, n):
     df = sampling.keyed(spark.range(500), 7, "id")
     rows = sorted((r["_sample_key"], r["id"]) for r in df.collect())
-    got = ordered.smallest(df, n, "_sample_key", "id", float(16**15)).collect()
+    got = ordered.smallest(df, n, "_sample_key", "id").collect()
     assert sorted((r["_sample_key"], r["id"]) for r in got) == rows[:n]
 
 
@@ -594,6 +596,44 @@ def test_alert_needs_an_unbroken_stretch(spark):
     assert got["points"] == 3 and got["firing_since"] == got["pending_since"] + timedelta(minutes=5)
 
 
+GAUGES = {
+    # seconds of the samples and their values: one that fires, one that just does not
+    "not_ready": ("ready", [(0, 0), (45, 0), (60, 1)], [(0, 0), (45, 0), (59, 1)]),
+    "target_down": ("up", [(0, 1), (10, 0), (70, 1)], [(0, 1), (11, 0), (70, 1)]),
+    # the second goes stale before it has lasted: a sample counts for 300 seconds
+    "significant_drift": ("drift_severity", [(0, 2), (240, 2)], [(0, 1), (1, 2), (300, 1)]),
+}
+
+
+@pytest.mark.parametrize("alert", sorted(GAUGES))
+def test_gauge_rules_fire_and_just_do_not(spark, alert):
+    gauge, fires, rests = GAUGES[alert]
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    samples = [(at + timedelta(seconds=s), gauge, name, v) for name, vs in (("fires", fires), ("rests", rests)) for s, v in vs]
+    got = one(series.gauge_alerts(spark.createDataFrame(samples, "ts timestamp, gauge string, instance string, value int")))
+    first = next(s for s, v in fires if v == (2 if gauge == "drift_severity" else 0))
+    assert (got["alert"], got["instance"]) == (alert, "fires")
+    assert got["pending_since"].timestamp() == (at + timedelta(seconds=first)).timestamp()
+
+
+def test_stale_gauges_break_a_stretch(spark):
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    samples = [(at + timedelta(seconds=s), s, True) for s in (0, 50, 400, 700, 1000)]
+    df = spark.createDataFrame(samples, "ts timestamp, s int, bad boolean")
+    got = series.gauge_intervals(df, F.col("bad"), 360, 300).collect()
+    seconds = sorted((r["pending_since"].timestamp() - at.timestamp(), r["ended_at"].timestamp() - at.timestamp()) for r in got)
+    assert seconds == [(400, 1300)]
+
+
+@pytest.mark.parametrize("bad,fires", [({0: 600, 5: 600}, True), ({0: 600, 10: 600}, False), ({0: 40, 5: 600}, False)])
+def test_window_rules_fire_and_just_do_not(spark, bad, fires):
+    """Error rate and latency: a window counts from more than 5 % failures and 1 s."""
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    log = [(at + timedelta(minutes=m, milliseconds=200 * i), "/x", 2.0 if i < n else 0.01, 503 if i < n else 200) for m, n in bad.items() for i in range(1000)]
+    df = spark.createDataFrame(log, "ts timestamp, route string, duration_seconds double, status int")
+    assert {r["alert"] for r in series.operational_alerts(df).collect()} == ({"high_error_rate", "high_p95_latency"} if fires else set())
+
+
 def test_stale_intervals_open_and_without_success(spark):
     at = datetime(2024, 3, 1, tzinfo=timezone.utc)
     calls = [("/ok", m, True) for m in range(0, 61, 5)]
@@ -716,12 +756,54 @@ def test_nth_smallest_with_an_id_that_repeats(spark):
     df = df.withColumn("id", F.col("key") * 10)
     for n in (1, 30, 60, 61):
         want = (7, 70) if n <= 60 else (60, 600)
-        assert ordered.nth_smallest(df, n, "key", "id", 4096.0, few=5) == want
+        assert ordered.nth_smallest(df, n, "key", "id") == want
 
 
 def test_nth_smallest_narrows_to_a_tied_key(spark):
     df = spark.range(300).select((F.col("id") % 2 * 5).alias("key"), "id")
     want = sorted((i % 2 * 5, i) for i in range(300))
     for n in (1, 100, 150, 151, 299):
-        assert ordered.nth_smallest(df, n, "key", "id", 4096.0, few=10) == want[n - 1]
-    assert ordered.nth_smallest(df, 300, "key", "id", 4096.0) is None
+        assert ordered.nth_smallest(df, n, "key", "id") == want[n - 1]
+    assert ordered.nth_smallest(df, 300, "key", "id") is None
+
+
+ODD_DOUBLES = [0.0, -0.0, 1.0, -1.0, 0.1, -0.3, 2.0**60, 2.0**-60, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf")]
+
+
+def test_order_bits_are_those_of_the_double(spark):
+    r = random.Random(1)
+    values = ODD_DOUBLES + [struct.unpack("<d", struct.pack("<q", r.getrandbits(63)))[0] for _ in range(2000)]
+    values += [2.0**e * (1 + d) for e in range(-40, 40) for d in (0, 2.0**-52, -(2.0**-53))]
+    values = [v for v in values if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("b", ordered.order_bits(F.col("v")))
+    for row in df.collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(row["v"])))[0]
+        assert row["b"] == (-bits if row["v"] < 0 else bits) and ordered.of_bits(row["b"]) == row["v"]
+
+
+def test_quantiles_by_radix_selection(spark):
+    r = random.Random(2)
+    groups = {"ties": [1.5] * 300 + [2.5] * 300, "one": [7.0], "odd": ODD_DOUBLES[:13], None: [r.gauss(0, 1e3) for _ in range(500)] + [0.25] * 250, "spread": [r.random() * 10.0 ** r.randint(-9, 9) for _ in range(400)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None)], "g string, v double")
+    points = {f"q{i}": q for i, q in enumerate([0.0, 0.1, 0.25, 0.5, 0.95, 0.999, 1.0])}
+    got = {row["g"]: row for row in ordered.exact_quantiles(df.repartition(7), "v", points, by=["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        s = sorted(vs)
+        for name, q in points.items():
+            h = (len(s) - 1) * q
+            low, high = s[math.floor(h)], s[math.ceil(h)]
+            assert got[g][name] == (low if low == high else low + (high - low) * (h - math.floor(h)))
+        assert got[g]["n"] == len(s)
+
+
+def test_selection_shuffles_no_rows(spark):
+    df = spark.range(200_000).select((F.col("id") % 50).cast("double").alias("v"))
+    bits = df.select(ordered.order_bits(F.col("v")).alias("b"))
+    counts = bits.groupBy(F.shiftright("b", 52)).count()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.rindex("partial_count")  # folded before the exchange
+    nan = df.unionByName(spark.createDataFrame([(float("nan"),)] * 3, "v double"))
+    got = one(ordered.exact_quantiles(nan, "v", {"a": 0.0, "z": 1.0}))
+    assert got["a"] == 0.0 and math.isnan(got["z"]) and got["n"] == 200_003
+

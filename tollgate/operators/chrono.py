@@ -74,9 +74,10 @@ def choose_boundaries(
 ) -> Boundaries:
     """Whole-step boundaries nearest the wanted fractions.
 
-    The rows are read once, for a table with one row per step; only chosen steps reach the driver.
+    The rows are read once, and folded to one per step; only chosen steps reach the driver. A second
+    time they are read only where both boundaries fall on one step.
     """
-    return _boundaries(checkpointed(cumulative_steps(df)), train_fraction, validation_fraction)
+    return _boundaries(cumulative_steps(df), train_fraction, validation_fraction)
 
 
 def _boundaries(steps: DataFrame, train_fraction: float, validation_fraction: float) -> Boundaries:
@@ -213,7 +214,7 @@ def period_counts(df: DataFrame, windows: dict[str, StepWindow]) -> DataFrame:
 
 def inner_windows(train: DataFrame, fit_fraction: float = 0.80) -> dict[str, StepWindow]:
     """Fit and tuning step windows inside the training split."""
-    return _inner(checkpointed(cumulative_steps(train)), fit_fraction)
+    return _inner(cumulative_steps(train), fit_fraction)
 
 
 def _inner(steps: DataFrame, fit_fraction: float) -> dict[str, StepWindow]:

@@ -10,11 +10,14 @@ a fixed function of the key and a recomputed task puts every row where it was be
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # Hash classes of keys of which one decides the cut points.
@@ -113,72 +116,135 @@ def running_totals(
     )
 
 
-def _position(q: float) -> str:
-    return f"((n_total - 1) * {float(q)!r}D)"
+def order_bits(value: Column) -> Column:
+    """A double's 64 bits as a long that sorts like the double: NaN last, negative zero as zero.
 
+    There is no cast for it, so they are put together from exponent and mantissa; all steps are
+    multiplications by powers of two, which are exact.
+    """
+    x = F.abs(value)
+    guess = F.floor(F.log2(x))
+    # the logarithm may round across a power of two
+    exponent = guess + F.when(x >= F.pow(F.lit(2.0), guess + 1), 1).when(x < F.pow(F.lit(2.0), guess), -1).otherwise(0)
+    part = ((x / F.pow(F.lit(2.0), exponent) - 1) * 2.0**52).cast("bigint")
+    normal = (exponent + 1023).cast("bigint") * (1 << 52) + part
+    tiny = (x * 2.0**600 * 2.0**474).cast("bigint")
+    size = F.when(x == 0, F.lit(0)).when(x < 2.0**-1022, tiny).when(x > 1.7976931348623157e308, F.lit(2047 << 52)).otherwise(normal)
+    signed = F.when(value < 0, -size).otherwise(size)
+    return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(signed).cast("bigint")
 
-def exact_quantiles(
-    df: DataFrame,
-    key: str,
-    quantiles: dict[str, float],
-    by: Sequence[str] = (),
-    cuts: Sequence[float] | None = None,
-) -> DataFrame:
-    """Exact linear-interpolation quantiles, one output column per named quantile.
 
-    Of the ranked distinct values only the few that cover a wanted position go on to the
-    final aggregation.
+def of_bits(bits: int) -> float:
+    """The double of ``order_bits``."""
+    if bits == 2**63 - 1:
+        return float("nan")
+    size = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
+    return -size if bits < 0 else size
+
+
+# Bits that are settled after each scan of a radix selection: twelve more at a time.
+_SHIFTS = (52, 40, 28, 16, 4, 0)
+
+
+def select_ranks(
+    rows: DataFrame, bits: Column, ranks: dict[tuple, list[int]], by: Sequence[str]
+) -> dict[tuple, dict[int, tuple[int, int]]]:
+    """Radix selection: per group and wanted place, counted from 0, the bits that stand there and the
+    number of rows with smaller ones.
+
+    Every scan counts rows by their next twelve bits, in the cells that hold a wanted place; counts
+    are folded map-side, so no row is ever shuffled. At most six scans, fewer where a cell
+    holds one value only. ``ranks`` has few groups and places; only they reach the driver.
     """
-    ranks = running_totals(
-        df.where(F.col(key).isNotNull()), key, {"n": F.count(F.lit(1))}, by=by, cuts=cuts
-    )
-    ranks = ranks.withColumn("_from", F.col("n_upto") - F.col("n"))
-    covers, picks = [], []
-    for name, q in quantiles.items():
-        h = _position(q)
-        low, high = f"(n_upto > floor({h}) AND _from <= floor({h}))", f"(n_upto > ceil({h}) AND _from <= ceil({h}))"
-        covers += [low, high]
-        lo, hi = f"max(CASE WHEN {low} THEN `{key}` END)", f"max(CASE WHEN {high} THEN `{key}` END)"
-        picks.append(F.expr(f"{lo} + ({hi} - {lo}) * max({h} - floor({h}))").alias(name))
-    needed = ranks.where(F.expr(" OR ".join(dict.fromkeys(covers))))
-    return needed.groupBy(*by).agg(*picks, F.max("n_total").alias("n"))
-
-
-def nth_smallest(
-    df: DataFrame, n: int, key: str, id_col: str, key_limit: float, few: int = 10_000
-) -> tuple[int, object] | None:
-    """The n-th smallest (key, id), or None if there are at most ``n`` rows.
-
-    ``key`` is a whole number spread evenly over [0, key_limit). A histogram of 4096 equal
-    cells, folded map-side, tells which cell holds the n-th row; that cell is cut again until
-    it holds ``few`` rows, which are sorted on the driver. A hash needs a scan or three, and no
-    row is ever shuffled. A single key beyond ``few`` rows is an id that repeats; its rows fold to
-    one per id before they are ranked.
+    by = list(by)
+    spark = rows.sparkSession
+    found: dict[tuple, dict[int, tuple[int, int]]] = {g: {} for g in ranks}
+    rows = rows.select(*by, bits.alias("_bits"))
+    kinds = [rows.schema[c] for c in by]
+    # group, cell, rows of the group before the cell, place
+    open_ = [(g, None, 0, r) for g, places in ranks.items() for r in sorted(set(places))]
+    wider = None
+    for shift in _SHIFTS:
+        if not open_:
+            break
+        source = rows
+        if wider is not None:
+            cells = [T.StructField("_cell", T.LongType())]
+            inside = spark.createDataFrame(sorted({(*g, c) for g, c, _, _ in open_}, key=str), T.StructType([*kinds, *cells]))
+            inside = inside.select(*[F.col(c).alias(f"_in_{c}") for c in by], "_cell")
+            same = F.shiftright("_bits", wider) == F.col("_cell")
+            for c in by:
+                same = same & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+            source = rows.join(F.broadcast(inside), same, "left_semi")
+        counts = source.groupBy(*by, F.shiftright("_bits", shift).alias("_at")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_bits").alias("_low"), F.max("_bits").alias("_high")
+        )
+        # cells of one twelve-bit step: at most 4 096 rows
+        outer = F.shiftright("_at", wider - shift) if wider is not None else F.lit(0)
+        counts = counts.withColumn("_outer", outer)
+        running = Window.partitionBy(*by, "_outer").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumn("_upto", F.sum("_n").over(running))
+        places = spark.createDataFrame(
+            [(*g, 0 if c is None else c, before, r) for g, c, before, r in open_],
+            T.StructType([*kinds, *[T.StructField(n, T.LongType()) for n in ("_cell", "_before", "_place")]]),
+        )
+        places = places.select(*[F.col(c).alias(f"_in_{c}") for c in by], "_cell", "_before", "_place")
+        holds = (F.col("_outer") == F.col("_cell")) & (F.col("_before") + F.col("_upto") > F.col("_place"))
+        holds = holds & (F.col("_before") + F.col("_upto") - F.col("_n") <= F.col("_place"))
+        for c in by:
+            holds = holds & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+        hits = counts.join(F.broadcast(places), holds).select(
+            *by, "_at", (F.col("_before") + F.col("_upto") - F.col("_n")).alias("_less"), "_place", "_low", "_high"
+        )
+        open_ = []
+        for r in hits.collect():
+            group = tuple(r[: len(by)])
+            if r["_low"] == r["_high"]:
+                found[group][r["_place"]] = (r["_low"], r["_less"])
+            else:
+                open_.append((group, r["_at"], r["_less"], r["_place"]))
+        wider = shift
+    return found
+
+
+def exact_quantiles(df: DataFrame, key: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles, one row per group and one column per named quantile,
+    and ``n``, the group's values; NULLs do not count. ``by`` must be a handful of groups.
+    """
+    by = list(by)
+    rows = df.where(F.col(key).isNotNull())
+    bits = order_bits(F.col(key).cast("double"))
+    sizes = {tuple(r[: len(by)]): r["_n"] for r in rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).collect() if r["_n"]}
+    places = {g: sorted({p for q in quantiles.values() for p in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}) for g, n in sizes.items()}
+    found = select_ranks(rows, bits, places, by)
+    out = []
+    for group, n in sizes.items():
+        values = []
+        for q in quantiles.values():
+            h = (n - 1) * q
+            low, high = (of_bits(found[group][p][0]) for p in (math.floor(h), math.ceil(h)))
+            values.append(low + (high - low) * (h - math.floor(h)) if high != low else low)
+        out.append((*group, *values, n))
+    fields = [df.schema[c] for c in by] + [T.StructField(q, T.DoubleType()) for q in quantiles] + [T.StructField("n", T.LongType())]
+    return df.sparkSession.createDataFrame(out, T.StructType(fields))
+
+
+def nth_smallest(df: DataFrame, n: int, key: str, id_col: str) -> tuple[int, object] | None:
+    """The n-th smallest (key, id), or None if there are at most ``n`` rows; ``key`` is a whole
+    number that is hardly ever shared by different ids, such as a hash.
+
+    Only the ids of one key are ordered, and they are folded to one row each, so an id that repeats
+    is no matter.
     """
-    low, width, wanted = 0.0, float(key_limit), n
-    rows = df.select(key, id_col)
-    first = True
-    while True:
-        step = width / 4096
-        cell = F.floor((F.col(key) - F.lit(low)) / F.lit(step)).cast("int")
-        counts = rows.groupBy(cell.alias("cell")).count().orderBy("cell").collect()
-        if first and sum(r["count"] for r in counts) <= n:
-            return None
-        first = False
-        for row in counts:
-            if wanted <= row["count"]:
-                break
-            wanted -= row["count"]
-        low, width = low + row["cell"] * step, step
-        rows = rows.where((F.col(key) >= F.lit(low)) & (F.col(key) < F.lit(low + width)))
-        if row["count"] <= few:
-            edge = sorted((r[0], r[1]) for r in rows.collect())[wanted - 1]
-            return edge
-        if width <= 1.0:
-            ranked = running_totals(rows, key, {"n": F.count(F.lit(1))}, then_by=[id_col], cuts=[])
-            reached = ranked.where(F.col("n_upto") >= wanted)
-            edge = reached.agg(F.min(F.struct(key, id_col)).alias("e")).first()["e"]
-            return (edge[0], edge[1])
+    rows = df.select(F.col(key).cast("bigint").alias(key), id_col)
+    if rows.count() <= n:
+        return None
+    found, at = select_ranks(rows, F.col(key), {(): [n - 1]}, [])[()][n - 1]
+    for r in rows.where(F.col(key) == found).groupBy(id_col).count().orderBy(id_col).collect():
+        at += r["count"]
+        if at >= n:
+            return (found, r[id_col])
+    raise AssertionError("the rows changed between two scans")
 
 
 def up_to(edge: tuple[int, object], key: str, id_col: str) -> Column:
@@ -187,9 +253,9 @@ def up_to(edge: tuple[int, object], key: str, id_col: str) -> Column:
     return (F.col(key) < k) | ((F.col(key) == k) & (F.col(id_col) <= i))
 
 
-def smallest(df: DataFrame, n: int, key: str, id_col: str, key_limit: float) -> DataFrame:
+def smallest(df: DataFrame, n: int, key: str, id_col: str) -> DataFrame:
     """Rows with the ``n`` smallest (key, id): a plain filter once the n-th is known."""
     if n <= 0:
         return df.where(F.lit(False))
-    edge = nth_smallest(df, n, key, id_col, key_limit)
+    edge = nth_smallest(df, n, key, id_col)
     return df if edge is None else df.where(up_to(edge, key, id_col))

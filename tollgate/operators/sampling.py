@@ -10,8 +10,6 @@ from tollgate.operators.ordered import nth_smallest, smallest, up_to
 from tollgate.schemas import TARGET
 
 _KEY = "_sample_key"
-# hex_prefix keeps 15 hex digits.
-_KEY_LIMIT = float(16**15)
 
 
 def keyed(df: DataFrame, seed: int, id_col: str) -> DataFrame:
@@ -20,7 +18,7 @@ def keyed(df: DataFrame, seed: int, id_col: str) -> DataFrame:
 
 def hash_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     """The ``n`` rows with the smallest seeded hash of their id (all rows if there are fewer)."""
-    return smallest(keyed(df, seed, id_col), n, _KEY, id_col, _KEY_LIMIT).drop(_KEY)
+    return smallest(keyed(df, seed, id_col), n, _KEY, id_col).drop(_KEY)
 
 
 def profile_sample(
@@ -122,6 +120,6 @@ def permuted_labels(df: DataFrame, seed: int = 42, id_col: str = "txn_id") -> Da
     if not frauds:
         return df
     rows = keyed(df, seed + 1_000_003, id_col)
-    edge = nth_smallest(rows, frauds, _KEY, id_col, _KEY_LIMIT)
+    edge = nth_smallest(rows, frauds, _KEY, id_col)
     chosen = F.lit(True) if edge is None else up_to(edge, _KEY, id_col)
     return rows.withColumn(TARGET, chosen.cast("int")).drop(_KEY)

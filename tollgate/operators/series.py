@@ -21,6 +21,7 @@ SCORE_BOUNDS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.995, 1.0]
 ERROR_RATE_ALERT = (0.05, 300)
 LATENCY_ALERT = (1.0, 300)
 READINESS_HOLD = 60
+TARGET_HOLD = 60
 STALENESS_LIMIT, STALENESS_HOLD = 300, 120
 DRIFT_HOLD = 300
 
@@ -221,6 +222,62 @@ def operational_alerts(log: DataFrame) -> DataFrame:
     return sustained(errors.unionByName(slow), F.col("bad"), rate_hold, by=["alert"])
 
 
+def gauge_intervals(
+    samples: DataFrame,
+    condition: Column,
+    hold_seconds: int,
+    stale_seconds: int = STALENESS_LIMIT,
+    by: Sequence[str] = (),
+    ts: str = "ts",
+) -> DataFrame:
+    """L9 for gauges: stretches over which a condition on a gauge's last value holds for
+    ``hold_seconds`` at least.
+
+    ``samples`` come at any times. A sample counts until the next one, but no longer than
+    ``stale_seconds``: after that the gauge has no value, which holds for nothing. Samples of one
+    instant count as true if all are. One row per stretch: pending_since, firing_since, and
+    ended_at, when the value changed or went stale.
+    """
+    by = list(by)
+    moments = samples.groupBy(*by, F.col(ts).alias("t")).agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("_true"))
+    order = Window.partitionBy(*by).orderBy("t")
+    until = F.least(
+        F.coalesce(F.lead("t").over(order), F.col("t") + F.expr(f"INTERVAL '{stale_seconds}' SECOND")),
+        F.col("t") + F.expr(f"INTERVAL '{stale_seconds}' SECOND"),
+    )
+    # a stretch goes on where the sample before was true and counted up to this one
+    goes_on = F.lag("_true").over(order) & (F.lag("_until").over(order) == F.col("t"))
+    starts = F.col("_true") & ~F.coalesce(goes_on, F.lit(False))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hold = F.expr(f"INTERVAL '{hold_seconds}' SECOND")
+    return (
+        moments.withColumn("_until", until)
+        .withColumn("_starts", starts.cast("int"))
+        .withColumn("_stretch", F.sum("_starts").over(upto))
+        .where("_true")
+        .groupBy(*by, "_stretch")
+        .agg(F.min("t").alias("pending_since"), F.max("_until").alias("ended_at"))
+        .where(F.col("ended_at") - F.col("pending_since") >= hold)
+        .select(*by, "pending_since", (F.col("pending_since") + hold).alias("firing_since"), "ended_at")
+    )
+
+
+def gauge_alerts(gauges: DataFrame) -> DataFrame:
+    """L9 for the rules on gauges (gauge, instance, ts, value): not ready and target down for a
+    minute, significant drift (value 2 of ``drift_severity``) for five."""
+    rules = {
+        "not_ready": ("ready", F.col("value") == 0, READINESS_HOLD),
+        "target_down": ("up", F.col("value") == 0, TARGET_HOLD),
+        "significant_drift": ("drift_severity", F.col("value") == 2, DRIFT_HOLD),
+    }
+    found = None
+    for alert, (gauge, condition, hold) in rules.items():
+        part = gauge_intervals(gauges.where(F.col("gauge") == gauge), condition, hold, by=["instance"])
+        part = part.select(F.lit(alert).alias("alert"), "instance", "pending_since", "firing_since", "ended_at")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def stale_intervals(
     log: DataFrame,
     ok: Column,

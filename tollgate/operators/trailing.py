@@ -11,9 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.operators.drift import EVENT_COLUMN, ReferenceProfile, with_bins
-
-
+from tollgate.operators.drift import (
+    EVENT_COLUMN,
+    CategoricalProfile,
+    NumericProfile,
+    ReferenceProfile,
+    with_bins,
+)
+
+# The levels of a decision.
+RISK_LEVELS = ("low", "medium", "high")
 _OUTPUTS = ["prediction", "risk_level", "fraud_score"]
 
 
@@ -45,23 +52,32 @@ def minute_items(profile: ReferenceProfile, count: Column, score: Column) -> Col
 def minute_totals(events: DataFrame, profile: ReferenceProfile, minute: Column) -> DataFrame:
     """K5: one row per (minute, series, bucket).
 
-    Events are folded per minute and bin tuple first, one hash update each; the long form is
-    made from the tuples.
+    All buckets are known from the profile and the decision's domain, so one aggregate by minute
+    counts them side by side; events are folded map-side, and only minutes go long.
     """
     bins = event_bins(events.withColumn("_minute", minute), profile, "_minute")
-    keys = [f"b{i}" for i in range(len(profile.parts))] + ["prediction", "risk_level"]
-    folded = bins.groupBy(F.col("_minute").alias("minute"), *keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("fraud_score").alias("_score")
-    )
-    rows = folded.select(
-        "minute", F.inline(minute_items(profile, F.col("_n"), F.col("_score")))
-    )
-    return (
-        rows.where(F.col("bucket").isNotNull())
-        .groupBy("minute", "series", "bucket")
-        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    places = [(p.feature, f"b{i}", n) for i, p in enumerate(profile.parts) for n in range(_buckets(p))]
+    places += [("prediction", "prediction", n) for n in (0, 1)]
+    places += [("risk_level", "risk_level", level) for level in RISK_LEVELS]
+    counts = [F.count_if(F.col(c) == F.lit(value)).alias(f"n{i}") for i, (_, c, value) in enumerate(places)]
+    wide = bins.groupBy(F.col("_minute").alias("minute")).agg(
+        F.count("fraud_score").alias("scored"), F.sum("fraud_score").alias("score"), *counts
     )
 
+    def item(series: str, bucket: object, n: Column, total: Column) -> Column:
+        return F.struct(
+            F.lit(series).alias("series"), F.lit(str(bucket)).alias("bucket"), n.alias("n"), total.cast("double").alias("total")
+        )
+
+    items = [item(name, value, F.col(f"n{i}"), F.col(f"n{i}")) for i, (name, _, value) in enumerate(places)]
+    items.append(item("fraud_score", "sum", F.col("scored"), F.col("score")))
+    return wide.select("minute", F.inline(F.array(*items))).where("n > 0")
+
+
+def _buckets(part: NumericProfile | CategoricalProfile) -> int:
+    """Bins of a numeric feature; categories and the unknown bucket of another."""
+    return len(part.edges) - 1 if isinstance(part, NumericProfile) else len(part.categories) + 1
+
 
 def trailing_totals(
     minutes: DataFrame,

@@ -623,6 +623,25 @@ def l9(spark: SparkSession, d: str) -> DataFrame:
     return stamped(series.operational_alerts(canonical.request_log(txn(spark, d))))
 
 
+_RULES = "(VALUES ('not_ready', 'ready', 0, 60), ('target_down', 'up', 0, 60), ('significant_drift', 'drift_severity', 2, 300)) AS r(alert, gauge, bad, hold)"
+
+
+@query(
+    "l9_gauge_alerts",
+    f"""+ g AS (SELECT ts, 'ready' AS gauge, 'api' AS instance, CASE WHEN txn_id%4=0 THEN 0 ELSE 1 END AS value FROM txn
+         UNION ALL SELECT ts, 'up', type, CASE WHEN txn_id%7<2 THEN 0 ELSE 1 END FROM txn
+         UNION ALL SELECT ts, 'drift_severity', 'log_amount', CASE WHEN txn_id%5<3 THEN 2 ELSE txn_id%2 END FROM txn),
+       m AS (SELECT alert, hold, instance, ts AS t, bool_and(value = bad) AS good FROM g JOIN {_RULES} ON g.gauge = r.gauge GROUP BY ALL),
+       u AS (SELECT *, least(coalesce(lead(t) OVER w, t + INTERVAL 300 SECOND), t + INTERVAL 300 SECOND) AS til FROM m WINDOW w AS (PARTITION BY alert, instance ORDER BY t)),
+       s AS (SELECT *, CASE WHEN good AND NOT coalesce(lag(good) OVER w AND lag(til) OVER w = t, FALSE) THEN 1 ELSE 0 END AS st FROM u WINDOW w AS (PARTITION BY alert, instance ORDER BY t)),
+       k AS (SELECT *, sum(st) OVER (PARTITION BY alert, instance ORDER BY t) AS island FROM s)
+       SELECT alert, instance, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS pending_since, strftime(min(t) + to_seconds(hold), '%Y-%m-%d %H:%M:%S') AS firing_since,
+         strftime(max(til), '%Y-%m-%d %H:%M:%S') AS ended_at FROM k WHERE good GROUP BY alert, instance, hold, island HAVING max(til) - min(t) >= to_seconds(hold)""",
+)
+def l9_gauges(spark: SparkSession, d: str) -> DataFrame:
+    return stamped(series.gauge_alerts(canonical.gauges(txn(spark, d))))
+
+
 @query(
     "l10_stale_intervals",
     """+ o AS (SELECT route, ts, lag(ts) OVER (PARTITION BY route ORDER BY ts) AS prev FROM log WHERE status < 500),

@@ -209,3 +209,15 @@ def request_log(txn: DataFrame) -> DataFrame:
         .otherwise(200)
         .alias("status"),
     )
+
+
+def gauges(txn: DataFrame) -> DataFrame:
+    """Samples of three gauges at irregular times: readiness of the service, whether the target of
+    a transaction type is up, and a feature's drift severity (0 stable, 1 moderate, 2 significant)."""
+    i = F.col("txn_id")
+    rows = F.array(
+        F.struct(F.lit("ready").alias("gauge"), F.lit("api").alias("instance"), F.when(i % 4 == 0, 0).otherwise(1).alias("value")),
+        F.struct(F.lit("up").alias("gauge"), F.col("type").alias("instance"), F.when(i % 7 < 2, 0).otherwise(1).alias("value")),
+        F.struct(F.lit("drift_severity").alias("gauge"), F.lit("log_amount").alias("instance"), F.when(i % 5 < 3, 2).otherwise(i % 2).cast("int").alias("value")),
+    )
+    return txn.select("ts", F.inline(rows))
