@@ -485,6 +485,43 @@ def test_refused_batches_leave_no_trace(spark):
     assert {r["prediction_id"]: r["actual_fraud"] for r in merged.collect()} == {"a": 1, "b": 1, "c": 1, "d": 0, "e": 0}
 
 
+def plain_walk(rows):
+    """Batches one after the other: {batch: clashing rows}."""
+    labels, out = {}, {}
+    for order in sorted({o for _, _, _, _, o in rows}):
+        mine = [r for r in rows if r[4] == order]
+        clash = sum(n for _, p, n, y, _ in mine if labels.get(p, y) != y)
+        out[mine[0][0]] = clash
+        if not clash:
+            labels.update((p, y) for _, p, _, y, _ in mine)
+    return {b: n for b, n in out.items() if n}
+
+
+CLASHES = "batch_id string, prediction_id string, _n bigint, _label int, _order bigint"
+
+
+@pytest.mark.parametrize("slab_rows", [200_000, 100])
+def test_label_clashes_walked_in_slabs(spark, slab_rows):
+    r = random.Random(4)
+    rows = [(f"b{b}", f"p{p}", r.randint(1, 3), int(r.random() < 0.15), b * 7) for b in range(200) for p in r.sample(range(150), 4)]
+    got = ledger._later_clashes(spark.createDataFrame(rows, CLASHES), slab_rows).where("earlier_conflicts > 0").collect()
+    assert {x["batch_id"]: x["earlier_conflicts"] for x in got} == plain_walk(rows)
+
+
+def test_a_long_chain_of_clashes_needs_no_more_jobs(spark):
+    jobs = {}
+    for length in (10, 1000):
+        # every batch clashes with the one before it: each second one is refused
+        rows = [(f"b{b}", f"p{p}", 1, b % 2, b) for b in range(length) for p in (b, b + 1)]
+        df = spark.createDataFrame(rows, CLASHES)
+        spark.sparkContext.setJobGroup(f"chain-{length}", "")
+        got = {x["batch_id"]: x["earlier_conflicts"] for x in ledger._later_clashes(df).collect()}
+        jobs[length] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{length}"))
+        assert {b for b, n in got.items() if n} == {f"b{b}" for b in range(1, length, 2)}
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs[10] == jobs[1000]
+
+
 def test_window_edges(spark):
     end = datetime(2026, 1, 3, tzinfo=timezone.utc)
     start = end - timedelta(hours=24)

@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate.functions.exprs import text_lanes
 from tollgate.operators.keyed import attach
+from tollgate.operators.ordered import assign_slab, cut_points
 from tollgate.session import checkpointed
 
 # Fixed value: most items a request may carry.
 MAX_BATCH = 1000
+# Contradicting label rows that one task walks in order.
+SLAB_ROWS = 200_000
 
 
 def payload_hash(endpoint: Column, transactions: Column) -> Column:
@@ -160,35 +164,34 @@ def admit_batches(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(label == 1).alias("_ones"),
     )
-    # Read for the facts, for the join with them and for the clashes.
-    pairs = checkpointed(
-        pairs.select(
-            "batch_id", "prediction_id", "_n", "_ones",
-            F.col("_first.position").alias("_at"), F.col("_first.actual_fraud").alias("_label"),
-        )
-    )
 
     def differing(other: Column) -> Column:
         """Rows of a pair whose label is not ``other``; none where that is NULL."""
         return F.coalesce(F.when(other == 1, F.col("_n") - F.col("_ones")).when(other == 0, F.col("_ones")), F.lit(0))
 
-    facts = (
-        pairs.groupBy("prediction_id").agg(F.count(F.lit(1)).alias("_batches"))
-        .join(events.select("prediction_id", F.lit(True).alias("_known")), "prediction_id", "left")
-        .join(
-            stored.select("prediction_id", F.col("actual_fraud").alias("_stored")),
+    # A prediction in very many batches makes one large partition, which AQE splits.
+    known = events.select("prediction_id", F.lit(True).alias("_known"))
+    had = stored.select("prediction_id", F.col("actual_fraud").alias("_stored"))
+    judged = pairs.join(known, "prediction_id", "left").join(had, "prediction_id", "left")
+    judged = checkpointed(
+        judged.select(
+            "batch_id",
             "prediction_id",
-            "left",
+            "_n",
+            F.col("_first.actual_fraud").alias("_label"),
+            F.col("_first.position").alias("_at"),
+            F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0).alias("_unknown"),
+            differing(F.col("_first.actual_fraud")).alias("_own"),
+            differing(F.col("_stored")).alias("_other"),
         )
     )
-    faults = checkpointed(
-        attach(pairs, facts, "prediction_id", "_batches")
-        .groupBy("batch_id")
+    faults = (
+        judged.groupBy("batch_id")
         .agg(
             F.sum("_n").alias("submissions"),
-            F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)).alias("unknown_ids"),
-            F.sum(differing(F.col("_label"))).alias("label_conflicts"),
-            F.sum(differing(F.col("_stored"))).alias("stored_conflicts"),
+            F.sum("_unknown").alias("unknown_ids"),
+            F.sum("_own").alias("label_conflicts"),
+            F.sum("_other").alias("stored_conflicts"),
             F.min("_at").alias("_order"),
         )
         .withColumn("oversize", F.col("submissions") > max_submissions)
@@ -196,7 +199,7 @@ def admit_batches(
     sound = faults.where(
         "unknown_ids = 0 AND label_conflicts = 0 AND stored_conflicts = 0 AND NOT oversize"
     ).select("batch_id", "_order")
-    late = _later_clashes(pairs.join(sound, "batch_id"))
+    late = _later_clashes(judged.select("batch_id", "prediction_id", "_n", "_label").join(sound, "batch_id"))
     verdict = faults.join(late, "batch_id", "left").withColumn(
         "earlier_conflicts", F.coalesce("earlier_conflicts", F.lit(0))
     )
@@ -213,12 +216,13 @@ def admit_batches(
     )
 
 
-def _later_clashes(pairs: DataFrame) -> DataFrame:
+def _later_clashes(pairs: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
     """Rows per sound batch (batch_id, earlier_conflicts) that differ from a label admitted before.
 
-    Only ids that have both labels matter. A batch is decided once no open batch before it holds
-    another label for one of its ids, so every round decides the first open batch at least; the
-    rounds are as many as the longest chain of clashes. No pair of batches is ever formed.
+    Only ids that have both labels matter; their rows are walked in the order of their batches. A
+    task walks a slab of consecutive batches and hands the labels that it admitted to the next
+    slab. So the number of jobs depends on the number of contradicting rows, of which
+    a slab holds ``slab_rows``, never on how batches hang together. No pair of batches is ever formed.
     """
     torn = (
         pairs.groupBy("prediction_id")
@@ -231,37 +235,43 @@ def _later_clashes(pairs: DataFrame) -> DataFrame:
             "batch_id", "prediction_id", "_n", "_label", "_order"
         )
     )
-    state = rows.select("batch_id").distinct().withColumn("_state", F.lit("open"))
-    state = state.withColumn("earlier_conflicts", F.lit(0).cast("bigint"))
-    while not state.where("_state = 'open'").isEmpty():
-        now = rows.join(state.select("batch_id", "_state"), "batch_id")
-        first = {
-            f"_{name}{v}": F.min(F.when((F.col("_state") == name) & (F.col("_label") == v), F.col("_order")))
-            for name in ("open", "admitted")
-            for v in (0, 1)
-        }
-        facts = now.groupBy("prediction_id").agg(
-            F.count(F.lit(1)).alias("_batches"), *[c.alias(n) for n, c in first.items()]
-        )
-
-        def other(name: str) -> Column:
-            """The first batch in that state with the other label stands before this one."""
-            at = F.when(F.col("_label") == 1, F.col(f"_{name}0")).otherwise(F.col(f"_{name}1"))
-            return F.coalesce(at < F.col("_order"), F.lit(False))
-
-        hits = F.sum(F.when(other("admitted"), F.col("_n")).otherwise(0))
-        waits = F.bool_or(other("open"))
-        judged = (
-            attach(now.where("_state = 'open'"), facts, "prediction_id", "_batches")
-            .groupBy("batch_id")
-            .agg(
-                # A batch that an open one may still clash with waits, so that all its clashes count.
-                F.when(waits, "open").when(hits > 0, "refused").otherwise("admitted").alias("_state"),
-                F.when(~waits, hits).otherwise(0).cast("bigint").alias("earlier_conflicts"),
-            )
+    slabs = -(-rows.count() // slab_rows)
+    cuts = cut_points(rows, "_order", slabs) if slabs > 1 else []
+    rows = assign_slab(rows, "_order", cuts)
+    batch = rows.schema["batch_id"].dataType.simpleString()
+    key = rows.schema["prediction_id"].dataType.simpleString()
+    walked = None
+    for slab in range(len(cuts) + 1):
+        here = rows.where(F.col("_slab") == slab)
+        if walked is not None:
+            before = walked.where("admitted").groupBy("prediction_id").agg(F.first("_label").alias("_held"))
+            here = here.join(before, "prediction_id", "left")
+        else:
+            here = here.withColumn("_held", F.lit(None).cast("int"))
+        here = here.select(*[F.col(c) for c in ("_slab", "batch_id", "prediction_id", "_n", "_label", "_order", "_held")])
+        made = here.groupBy("_slab").applyInPandas(
+            _walk, f"batch_id {batch}, prediction_id {key}, _label int, earlier_conflicts bigint, admitted boolean"
         )
-        state = checkpointed(state.where("_state <> 'open'").unionByName(judged))
-    return state.select("batch_id", "earlier_conflicts")
+        if cuts:
+            made = checkpointed(made)
+        walked = made if walked is None else walked.unionByName(made)
+    return walked.groupBy("batch_id").agg(F.max("earlier_conflicts").alias("earlier_conflicts"))
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    """Batches in order: each is admitted unless it differs from a label admitted before."""
+    held = rows.dropna(subset=["_held"])
+    labels = dict(zip(held["prediction_id"], held["_held"].astype(int)))
+    rows = rows.sort_values("_order", kind="stable").reset_index(drop=True)
+    conflicts, admitted = [0] * len(rows), [True] * len(rows)
+    ids, given, times = rows["prediction_id"].tolist(), rows["_label"].tolist(), rows["_n"].tolist()
+    for _, at in rows.groupby("_order", sort=True).indices.items():
+        clash = sum(times[k] for k in at if labels.get(ids[k], given[k]) != given[k])
+        for k in at:
+            conflicts[k], admitted[k] = clash, clash == 0
+            if not clash:
+                labels[ids[k]] = given[k]
+    return rows[["batch_id", "prediction_id", "_label"]].assign(earlier_conflicts=conflicts, admitted=admitted)
 
 
 def merge_outcomes(
@@ -282,7 +292,7 @@ def merge_outcomes(
     facts = first.join(
         stored.select("prediction_id", F.lit(True).alias("_stored")), "prediction_id", "left"
     )
-    rows = attach(accepted, facts, "prediction_id", "_n")
+    rows = accepted.join(facts, "prediction_id").drop("_n")
     replayed = F.coalesce("_stored", F.lit(False)) | (F.col("position") != F.col("_first"))
     return rows.withColumn("replayed", replayed).drop("_first", "_stored")
 

@@ -105,7 +105,7 @@ def k2(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("amount").cast("string"), 256).alias("payload_hash"),
     )
     path = folder(spark)
-    table = BatchTable(spark, f"{path}/ledger", intake.INTAKE_SCHEMA)
+    table = BatchTable(spark, f"{path}/ledger", intake.INTAKE_SCHEMA, key="request_id", buckets=8)
     stream = lambda: each(files(spark, f"{path}/in", sent.schema), path, intake.intake_writer(table))
     arriving(sent, F.col("attempt") - 1, 3, stream, path=f"{path}/in")
     return table.read().select("request_id", "attempt", "status")

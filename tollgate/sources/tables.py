@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.schemas import (
     LANDING_SCHEMA,
@@ -15,6 +16,7 @@ from tollgate.schemas import (
     ContractError,
     check_header,
 )
+from tollgate.sources.versioned import Part, VersionedTable
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -54,26 +56,33 @@ def step_range(df: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def write_splits(df: DataFrame, split: Column, path: str) -> None:
-    """A5: one Parquet dataset partitioned by split, so a later read prunes to its split."""
-    (
-        df.withColumn("split", split)
-        .write.mode("overwrite")
-        .partitionBy("split")
-        .option("compression", "snappy")
-        .parquet(path)
-    )
+    """A5: the three splits, each in a folder of its own under one manifest; all change at once."""
+    table = VersionedTable(df.sparkSession, path, df.schema)
+    version = table.version()
+    table.publish([Part(name, table.store(df.where(split == name))) for name in SPLITS], version + 1)
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Rows of one split (partition pruning)."""
+    """Rows of one split; the other splits' files are not listed."""
     if split not in SPLITS:
         raise ContractError(f"unknown split: {split}")
-    return spark.read.parquet(path).where(F.col("split") == split).drop("split")
+    folders = [p for p in VersionedTable(spark, path, T.StructType()).parts() if p.key == split]
+    if not folders:
+        raise ContractError(f"no splits were written to {path}")
+    return spark.read.parquet(f"{path}/{folders[0].folder}")
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """A long metric table as Parquet or JSON."""
-    report.write.mode("overwrite").format(fmt).save(path)
+    """A long metric table as JSON, or as a versioned Parquet table."""
+    if fmt == "parquet":
+        VersionedTable(report.sparkSession, path, report.schema).replace(report)
+    else:
+        report.write.mode("overwrite").format(fmt).save(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest version of a report."""
+    return VersionedTable(spark, path, schema).rows()
 
 
 def nested_report(report: DataFrame, section: str = "section") -> DataFrame:

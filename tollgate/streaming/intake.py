@@ -50,12 +50,15 @@ REFUSAL_SCHEMA = T.StructType(
 
 
 def intake_writer(table: BatchTable) -> Callable[[DataFrame, int], None]:
-    """K2: foreachBatch function that classifies deliveries against everything taken in before."""
+    """K2: foreachBatch function that classifies deliveries against everything taken in before.
+
+    A ledger in buckets by request_id is read only where the batch's requests lie.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = table.read(before=batch_id).where(F.col("status") == "new")
         # The micro-batch itself is read several times; its source need not be.
         rows = checkpointed(batch.select("request_id", "attempt", "payload_hash"))
+        stored = table.read(before=batch_id, near=rows).where(F.col("status") == "new")
         table.write(
             classify_attempts(rows, stored=stored.select("request_id", "payload_hash")), batch_id
         )

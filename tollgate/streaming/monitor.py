@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import ArithmeticException, NumberFormatException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,9 @@ from tollgate.operators.drift import (
     window_bounds,
 )
 from tollgate.operators.trailing import event_bins, minute_items
-from tollgate.schemas import MONITORING_METRIC_SCHEMA, MONITORING_RUN_SCHEMA
+from tollgate.schemas import MONITORING_METRIC_SCHEMA, MONITORING_RUN_SCHEMA, ContractError
 from tollgate.sources.batches import BatchTable
+from tollgate.sources.versioned import VersionedTable
 
 # ISO text with its offset.
 END_SCHEMA = T.StructType([T.StructField("window_end", T.StringType())])
@@ -71,10 +73,10 @@ def run_monitoring(
 ) -> str:
     """One monitoring run, written idempotently; returns its status.
 
-    A run is keyed by window and reference version. Its metric rows are written first and its
-    run row last, each by overwriting the key's own folder, so a run that is visible is whole
-    and a retry changes nothing. A failed calculation leaves a failed run without metrics, and its
-    reason in the log.
+    A run is keyed by window and reference version. Its metric rows are put in place first and its
+    run row last, each by a new manifest, so a run that is visible is whole and a retry changes
+    nothing. Data that break the calculation leave a failed run without metrics, and the reason in
+    the log; any other error, such as a lost executor's, is raised, and the run is tried again.
     """
     spark = events.sparkSession
     _, start, end = window_bounds(end, config.window_hours)
@@ -95,18 +97,23 @@ def run_monitoring(
         ).first()
         counts = (summary["event_count"], summary["labeled_count"])
         status, overall = summary["status"], summary["overall_drift_status"]
-    except Exception:
+    except (ContractError, ArithmeticException, NumberFormatException, SparkRuntimeException, ValueError):
         logging.getLogger(__name__).exception("monitoring run %s failed", key)
         rows, counts, status, overall = [], (0, 0), "failed", "failed"
-    metrics = spark.createDataFrame(rows, MONITORING_METRIC_SCHEMA)
-    metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics/run={key}")
+    metrics, runs = _run_tables(spark, path)
+    metrics.put(spark.createDataFrame(rows, MONITORING_METRIC_SCHEMA).coalesce(1), key)
     run = (run_id, start, end, config.version, *counts, status, overall)
-    spark.createDataFrame([run], MONITORING_RUN_SCHEMA).coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/runs/run={key}")
+    runs.put(spark.createDataFrame([run], MONITORING_RUN_SCHEMA).coalesce(1), key)
     return status
 
 
+def _run_tables(spark: SparkSession, path: str) -> tuple[VersionedTable, VersionedTable]:
+    return (
+        VersionedTable(spark, f"{path}/metrics", MONITORING_METRIC_SCHEMA),
+        VersionedTable(spark, f"{path}/runs", MONITORING_RUN_SCHEMA),
+    )
+
+
 def monitoring_writer(
     events: Callable[[], DataFrame],
     outcomes: Callable[[], DataFrame],
@@ -136,9 +143,8 @@ def monitoring_writer(
 
 def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """All runs and their metrics."""
-    runs = spark.read.option("basePath", f"{path}/runs").parquet(f"{path}/runs")
-    metrics = spark.read.option("basePath", f"{path}/metrics").parquet(f"{path}/metrics")
-    return runs.drop("run"), metrics.drop("run")
+    metrics, runs = _run_tables(spark, path)
+    return runs.rows(), metrics.rows()
 
 
 def dropped_late_rows(query: StreamingQuery) -> int:
