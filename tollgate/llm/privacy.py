@@ -110,7 +110,9 @@ def disclosing(rows: DataFrame, holders: DataFrame, targets: DataFrame) -> DataF
     share, base = F.col("together") / F.col("term_docs"), F.col("target_docs") / F.lit(float(n))
     apart = F.col("term_docs") - F.col("together")
     saved = F.col("texts") * F.log2(share / base) + F.when(apart > 0, apart * F.log2((1 - share) / (1 - base))).otherwise(0.0)
-    told = pairs.join(counts, "target")
+    # the four kinds meet nearly all terms: their counts go to the pairs, those of the others are joined
+    kind = F.col("target").startswith("kind:")
+    told = pairs.where(kind).join(F.broadcast(counts.where(kind)), "target").unionByName(pairs.where(~kind).join(counts.where(~kind), "target"))
     told = told.where((share >= GENERALISE) & (F.log2(share / base) >= BITS) & (saved >= name_bits))
     told = checkpointed(told.select("target", "term", (share >= REMOVE).alias("whole")))
     found = seen.join(told, ["target", "term"]).groupBy("row", "term").agg(F.max("whole").alias("whole"))
