@@ -12,7 +12,8 @@ from tollgate.session import checkpointed
 
 SHARDS = 8
 #: Small groups are placed in so many bundles by hash; a group that holds more than that share
-#: of all bytes is placed by itself: whole up to the share WHOLE of a shard, else in slices of about 1/BUNDLES.
+#: of all bytes is placed by itself. Part of the law: a group of up to the share WHOLE of a shard stays whole,
+#: a larger one is cut into slices of about 1/BUNDLES of all bytes, so that shards come out near equal.
 BUNDLES = 4096
 WHOLE = 0.05
 #: Rows meant for one range of slots.
@@ -27,20 +28,20 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     left, placed = np.ones((shards, items.shape[1])), np.zeros(len(items), np.int64)
     for i in sorted(range(len(items)), key=lambda i: (-needs[i].max(), i)):
         fits = (left >= needs[i]).all(axis=1)
-        # where nothing fits, the emptiest by bytes
-        score = np.where(fits, left @ needs[i], -np.inf) if fits.any() else left[:, 0]
+        # where nothing fits, every shard is open
+        score = np.where(fits | ~fits.any(), left @ needs[i], -np.inf)
         placed[i] = int(score.argmax())
         left[placed[i]] -= needs[i]
     return placed
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES, whole_share: float = WHOLE) -> DataFrame:
     """One row per row of (doc_id, text): (doc_id, size, text_crc32, law, shard, slot, grown_shard).
 
-    The law is ``bytes``. Equal texts stay in one shard unless they hold more than WHOLE of
+    The law is ``bytes``. Equal texts stay in one shard unless they hold more than ``whole_share`` of
     a shard; then they are cut by hash of id and row into slices. A null text counts as an empty
     one (1 byte, crc 0, equal to the empty text); null and repeated ids are ordinary; an empty
-    table gives no rows. The driver places at most about 3 BUNDLES items, whatever the size.
+    table gives no rows. The driver places at most about 3 ``bundles`` items, whatever the size.
     """
     text = F.coalesce("text", F.lit(""))
     rows = checkpointed(
@@ -55,11 +56,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     key = ["mixed", "size", "text_crc32"]
     total = rows.agg(F.sum("size")).first()[0] or 0
-    most, whole = total / BUNDLES, total / shards * WHOLE
-    # fewer than BUNDLES groups can be above the mean of so many
+    most, whole = total / bundles, total / shards * whole_share
+    # fewer than ``bundles`` groups can be above the mean of so many
     large = rows.groupBy(*key).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
     large = checkpointed(large.select(*key, F.when(F.col("bytes") <= whole, 1).otherwise(F.ceil(F.col("bytes") / max(most, 1))).alias("slices")))
-    spot = F.when(F.col("slices").isNull(), F.pmod("mixed", F.lit(BUNDLES))).otherwise(F.pmod(F.xxhash64("doc_id", "row"), "slices"))
+    spot = F.when(F.col("slices").isNull(), F.pmod("mixed", F.lit(bundles))).otherwise(F.pmod(F.xxhash64("doc_id", "row"), "slices"))
     rows = rows.join(F.broadcast(large), key, "left").withColumn("own", F.when(F.col("slices").isNotNull(), F.col("mixed"))).withColumn("spot", spot)
     items = rows.groupBy("own", "spot").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).collect()
     items.sort(key=lambda x: (x.own is not None, x.own or 0, x.spot))
@@ -69,7 +70,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.join(F.broadcast(where), F.col("own").eqNullSafe(F.col("own2")) & (F.col("spot") == F.col("spot2")))
     # slots: ranges of a shard's rows by hash, numbered apart and shifted by the rows before
     ranges = max(1, -(-sum(x.r for x in items) // (shards * SLOT_ROWS)))
-    rows = rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "mixed"), F.lit(ranges)).alias("part"))
+    rows = rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(ranges)).alias("part"))
     counts = rows.groupBy("shard", "part").count()
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(F.col("shard").alias("shard2"), F.col("part").alias("part2"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("shift"))
