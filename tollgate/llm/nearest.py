@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tollgate.llm.multiindex import kmeans, matrix
+from tollgate.llm.multiindex import kmeans, matrix, same_length
 from tollgate.llm.registry import query, table
 from tollgate.session import checkpointed
 
@@ -86,14 +86,6 @@ class Grid:
         return (seen & (self.counts.ravel() > 0)).reshape(self.counts.shape)
 
 
-def _same_length(batches: Iterator[pa.RecordBatch], column: str = "v") -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Batches parted by the length of their vectors."""
-    for batch in batches:
-        lengths = np.diff(batch.column(column).offsets.to_numpy())
-        for n in np.unique(lengths):
-            yield int(n), batch if (lengths == n).all() else batch.take(pa.array(np.flatnonzero(lengths == n)))
-
-
 def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, summed in order of the components, so equal vectors have equal products."""
     out = np.zeros(len(x))
@@ -141,7 +133,7 @@ def _measure(grids: dict[int, Grid], placed: DataFrame, asked: DataFrame, k: int
     sets = {n: (np.array([p.v for p in ps]), np.array([p.vec_id for p in ps])) for n, ps in probes.items() if ps}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in _same_length(batches):
+        for n, batch in same_length(batches):
             if n not in sets:
                 continue
             name, row, i, j = (batch.column(c).to_numpy() for c in ("vec_id", "row", "i", "j"))
@@ -193,7 +185,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
     grids = _fitted(entries)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in _same_length(batches):
+        for n, batch in same_length(batches):
             i, j = grids[n].cells(matrix(batch.column("v"))) if n in grids else (np.zeros(batch.num_rows),) * 2
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(batch.num_rows, n, np.int32)), *(pa.array(x.astype(np.int32)) for x in (i, j)), *batch.columns], names=["size", "i", "j", *batch.schema.names]
@@ -206,7 +198,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
             grid.enough = 2**62
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in _same_length(batches):
+        for n, batch in same_length(batches):
             at, shard, cells = [], [], []
             for place, v in enumerate(matrix(batch.column("v"))):
                 seen = grids[n].reach(v) if n in grids else np.ones((1, 1), bool)
