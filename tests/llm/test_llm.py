@@ -352,21 +352,25 @@ def test_alignment_is_edit_distance():
 # embeddings --------------------------------------------------------------------------------
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("cell_size,most_lengths", [(2000, 8), (4, 8), (4, 1)])
+def test_near_vectors(spark, monkeypatch, cell_size, most_lengths):
+    """One cell and many, vectors of several lengths with codebooks and without."""
+    monkeypatch.setattr(multiindex, "CELL_SIZE", cell_size)
+    monkeypatch.setattr(multiindex, "MOST_LENGTHS", most_lengths)
+    monkeypatch.setattr(multiindex, "CHUNK", 90)
     r = np.random.default_rng(2)
     base = r.normal(size=(150, 8))
     x = np.concatenate([base, base[:60] + r.normal(size=(60, 8)) * 0.1, base[:10]]).astype(np.float32)
-    rows = [(i, v.tolist(), int(i % 150 % 3)) for i, v in enumerate(x)]
+    vectors = [v.tolist() for v in x] + [v[:3].tolist() for v in x[:60]] + [[1.0, 2.0]] * 3 + [[2.0, 1.0, 3.0, 0.5]] * 3
+    rows = [(i, v, int(i % 150 % 3)) for i, v in enumerate(vectors)]
     odd = [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, [None, 1.0], 1), (904, x[0].tolist(), None), (None, x[0].tolist(), 0)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in multiindex.near_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")).collect()}
-    d = x.astype(float)
-    d /= np.linalg.norm(d, axis=1)[:, None]
-    label = np.arange(len(x)) % 150 % 3
-    near = (d @ d.T >= 0.98) & (label[:, None] == label[None])
-    least = np.arange(len(x))
+    units = [np.array(v, float) / np.linalg.norm(np.array(v, float)) for _, v, _ in rows]
+    near = [[j for j, v in enumerate(units) if len(v) == len(u) and rows[i][2] == rows[j][2] and u @ v >= 0.98] for i, u in enumerate(units)]
+    least = list(range(len(rows)))
     for _ in range(20):
-        least = np.array([least[n].min() for n in near])
-    want = {i: (int(near[i].sum()) - 1, int(least[i]), bool(least[i] == i)) for i in range(len(x))}
+        least = [min(least[j] for j in n) for n in near]
+    want = {i: (len(near[i]) - 1, least[i], least[i] == i) for i in range(len(rows))}
     want |= {i: (0, i, True) for i in range(900, 905)} | {None: (0, None, None)}
     assert got == want
 

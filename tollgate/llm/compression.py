@@ -15,7 +15,8 @@ from tollgate.llm.registry import query, table
 
 #: Bytes compressed together: within them, little but the dictionary is there to refer to.
 CHUNK = 1_024
-#: Most labelled rows for the fit, most chunks a class gives to its dictionary, dictionary bytes.
+#: The bounded sample of the fit: most labelled rows, and most chunks of them that a class gives to its
+#: dictionary; dictionary bytes.
 FIT_ROWS = 20_000
 FIT_CHUNKS = 4_000
 DICTIONARY = 64_000
@@ -55,7 +56,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = FIT_ROWS) -> Model:
     """Dictionaries from a bounded number of chunks of labelled rows that are not held out, one
-    half of them; the scale of the score is fitted on the other half."""
+    half of them; the scale of the score is fitted on the other half. Null labels, ids and texts
+    teach nothing, equal chunks count once; without rows, or with one class, the score is the base rate."""
     rows = training_rows(docs, labels, label, most).select("doc_id", F.col("text").cast("binary").alias("text"), "label")
     half = F.pmod(F.xxhash64("text"), F.lit(2))
 
