@@ -1,5 +1,6 @@
 """Hand-computed numbers, edge cases and invariants."""
 
+import dataclasses
 import math
 import random
 import struct
@@ -34,6 +35,7 @@ from tollgate.schemas import (
     check_profile_split,
 )
 from tollgate.sources import canonical, tables
+from tollgate.streaming.scoring import request_items, score_rows
 
 
 def one(df):
@@ -617,6 +619,83 @@ def test_empty_window_gives_nulls_not_zeros(spark):
     assert all(r["metric_value"] is None for r in rows)
 
 
+# Gates, certificates, promotion
+
+
+@pytest.fixture(scope="module")
+def train(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(400):
+        fraud = int(r.random() < 0.3)
+        rows.append((i, 1 + i % 90, "TRANSFER" if fraud or r.random() < 0.3 else "PAYMENT", r.lognormvariate(4 + fraud, 1), r.uniform(0, 500), r.uniform(0, 500), fraud))
+    schema = "txn_id bigint, step bigint, type string, amount double, oldbalanceOrg double, oldbalanceDest double, isFraud int"
+    return spark.createDataFrame(rows, schema).repartition(2).cache()
+
+
+def test_fits_refuse_one_class_other_columns_and_infinite_values(spark, train):
+    with pytest.raises(ContractError, match="both classes"):
+        models.fit_logistic(train.where("isFraud = 0"))
+    with pytest.raises(ContractError, match="both classes"):
+        models.fit_trees(train.where("isFraud = 1"), {"max_depth": 2, "learning_rate": 0.1}, 1)
+    with pytest.raises(ContractError, match="newbalanceOrig"):
+        models.fit_logistic(train, names=["log_amount", "newbalanceOrig"])
+    broken = train.withColumn("amount", F.when(F.col("txn_id") == 7, float("inf")).otherwise(F.col("amount")))
+    with pytest.raises(Exception, match="is not finite"):
+        models.fit_logistic(broken)
+    with pytest.raises(Exception, match="is not finite"):
+        models.score_candidates(broken, {"model": F.col("log_amount") * 0.5}).collect()
+
+
+def test_requests_hold_model_inputs_only(spark):
+    items = "step bigint, type string, amount double, oldbalanceOrg double, oldbalanceDest double"
+    asked = spark.createDataFrame([], f"request_id string, transactions array<struct<{items}, newbalanceOrig: double>>")
+    with pytest.raises(ContractError, match="newbalanceOrig"):
+        request_items(asked)
+
+
+def test_a_stream_score_must_be_finite(spark, train):
+    rows = train.select("step", "type", "amount", "oldbalanceOrg", "oldbalanceDest")
+    assert score_rows(rows, F.lit(0.25)).where("fraud_score = 0.25").count() == 400
+    for wrong in (F.lit(float("nan")), F.lit(1.5), F.lit(None).cast("double")):
+        with pytest.raises(Exception, match="no finite score"):
+            score_rows(rows, wrong).collect()
+
+
+def test_certificate_of_a_fit(spark, train):
+    names = ["log_amount", "type_TRANSFER"]
+    model = models.fit_logistic(train, alpha=1e-2, epochs=40, names=names)
+    got = one(models.optimality(model, train, alpha=1e-2))
+    assert got["row_count"] == 400 and got["residual"] < 1e-4 < got["start"]
+    local = models.add_features(train, keep=["isFraud"]).collect()
+    z = [[(r[n] - m) / s for n, m, s in zip(names, model.means, model.scales)] for r in local]
+    p = [1 / (1 + math.exp(-(model.intercept + sum(w * x for w, x in zip(model.weights, row))))) for row in z]
+    gradient = [sum((q - r["isFraud"]) * row[k] for q, r, row in zip(p, local, z)) / 400 + 1e-2 * model.weights[k] for k in range(2)]
+    gradient.append(sum(q - r["isFraud"] for q, r in zip(p, local)) / 400)
+    assert got["residual"] == pytest.approx(max(map(abs, gradient)), abs=1e-9)
+    moved = dataclasses.replace(model, weights=[model.weights[0] + 0.1, model.weights[1]])
+    assert one(models.optimality(moved, train, alpha=1e-2))["residual"] > 1e-3
+
+
+def test_promotion_needs_every_number(spark, train):
+    model = models.fit_logistic(train)
+    scored = models.score_candidates(train, {"m": model.score()}).cache()
+    record = models.recorded_model(model, scored, 0.3).cache()
+    assert models.model_of(record) == model
+    assert one(evaluate.all_match(models.promotion_check(record, scored, 0.3)))["all_match"]
+
+    def fails(section, name, by):
+        changed = F.when((F.col("section") == section) & (F.col("name") == name), F.col("value") + by).otherwise(F.col("value"))
+        report = models.promotion_check(record.withColumn("value", changed), scored, 0.3)
+        return [r["metric"] for r in report.where("NOT matches").collect()]
+
+    assert fails("metric", "average_precision", 2e-6) == ["average_precision"] and not fails("metric", "average_precision", 5e-7)
+    assert fails("metric", "recall", 2e-5) == ["recall"] and not fails("metric", "recall", 5e-6)
+    assert fails("matrix", "true_negative", 1.0) == ["true_negative"]
+    lost = models.promotion_check(record.where("name <> 'roc_auc'"), scored, 0.3)
+    assert [r["metric"] for r in lost.where("NOT matches").collect()] == ["roc_auc"]
+
+
 # Series
 
 

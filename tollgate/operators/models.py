@@ -23,9 +23,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.functions.exprs import logistic_score
+from tollgate.functions.exprs import is_finite, logistic_score
 from tollgate.functions.features import FEATURE_GROUPS, FEATURES, add_features
-from tollgate.operators.evaluate import evaluation_bundle
+from tollgate.operators.evaluate import compared_metrics, evaluation_bundle, threshold_metrics
 from tollgate.operators.sampling import permuted_labels, positive_weight, weighted_sample
 from tollgate.schemas import TARGET, ContractError
 from tollgate.session import checkpointed
@@ -46,6 +46,9 @@ TREE_SPACE = {
     "colsample_bytree": [0.7, 0.85, 1.0],
 }
 MINIMUM_IMPROVEMENT = 0.001
+RECORD_SCHEMA = "section string, name string, value double"
+# A fit whose gradient has come down to this share of where it began counts as done.
+RESIDUAL_SHARE = 0.05
 
 # An epoch of stochastic steps over all rows does about what five full-gradient steps do.
 ITERATIONS_PER_EPOCH = 5
@@ -97,6 +100,25 @@ def require_both_classes(df: DataFrame) -> None:
         raise ContractError("a fitting period must hold both classes")
 
 
+def check_names(names: Sequence[str]) -> list[str]:
+    """A model reads features of the pre-transaction columns and nothing else."""
+    wrong = sorted(set(names) - set(FEATURES))
+    if wrong or not names:
+        raise ContractError(f"not features: {', '.join(wrong) or 'none named'}")
+    return list(names)
+
+
+def finite_features(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The feature matrix of a fit or a score, in the pass that reads it: a value that is NULL,
+    NaN or infinite fails the query and is named."""
+    rows = add_features(df, keep=keep)
+    checked = {
+        n: F.when(is_finite(F.col(n)), F.col(n)).otherwise(F.raise_error(F.lit(f"feature {n} is not finite")).cast("float"))
+        for n in FEATURES
+    }
+    return rows.select(*keep, *[c.alias(n) for n, c in checked.items()])
+
+
 def _assembled(df: DataFrame, names: Sequence[str], *more: Column | str) -> DataFrame:
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
     return assembler.transform(df).select("features", *more)
@@ -111,9 +133,10 @@ def fit_logistic(
     stats: dict[str, tuple[float, float]] | None = None,
 ) -> LinearModel:
     """L2 logistic regression on standardised features of raw transaction rows."""
-    names = list(names)
+    names = check_names(names)
+    require_both_classes(train)
     weight = F.lit(1.0) if weight is None else weight
-    rows = add_features(train.withColumn("_w", weight), keep=[TARGET, "_w"])
+    rows = finite_features(train.withColumn("_w", weight), [TARGET, "_w"])
     if stats is None:
         stats = statistics_of(rows, names)
     scaled = rows.select(TARGET, "_w", *standardised(rows, names, stats))
@@ -134,6 +157,78 @@ def fit_logistic(
     )
 
 
+def optimality(model: LinearModel, train: DataFrame, weight: Column | None = None, alpha: float = 1e-4) -> DataFrame:
+    """a certificate of a fit, from one aggregate over the rows it was fitted on.
+
+    At the minimum of mean weighted log loss plus ``alpha``/2 of the squared coefficients the gradient is
+    zero. One row: rows, frauds, weight, ``residual`` (its largest component here) and
+    ``start`` (the same for the model that knows only the base rate). Nothing is refitted.
+    """
+    weight = F.lit(1.0) if weight is None else weight
+    rows = finite_features(train.withColumn("_w", weight), [TARGET, "_w"])
+    z = {n: (F.col(n).cast("double") - F.lit(m)) / F.lit(s) for n, m, s in zip(model.features, model.means, model.scales)}
+    w, y = F.col("_w"), F.col(TARGET)
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(y == 1).alias("fraud_count"),
+        F.sum(w).alias("weight"),
+        F.sum(w * y).alias("_wy"),
+        F.sum(w * (model.score() - y)).alias("_g"),
+        *[F.sum(w * (model.score() - y) * c).alias(f"_g_{n}") for n, c in z.items()],
+        *[F.sum(w * y * c).alias(f"_y_{n}") for n, c in z.items()],
+        *[F.sum(w * c).alias(f"_x_{n}") for n, c in z.items()],
+    )
+    total, base = F.col("weight"), F.col("_wy") / F.col("weight")
+    here = [F.abs(F.col("_g") / total)] + [F.abs(F.col(f"_g_{n}") / total + F.lit(alpha * b)) for n, b in zip(model.features, model.weights)]
+    start = [F.abs((base * F.col(f"_x_{n}") - F.col(f"_y_{n}")) / total) for n in model.features]
+    return sums.select("row_count", "fraud_count", "weight", F.greatest(*here).alias("residual"), F.greatest(*start).alias("start"))
+
+
+def recorded_model(model: LinearModel, scored: DataFrame, threshold: float) -> DataFrame:
+    """a model and what it gave, as one long table (section, name, value): coefficients, scaler,
+    metrics at the threshold and the confusion matrix of (label, score, amount) rows."""
+    parts = {"mean": model.means, "scale": model.scales, "weight": model.weights}
+    rows = [(s, n, float(v)) for s, values in parts.items() for n, v in zip(model.features, values)]
+    rows.append(("weight", "intercept", model.intercept))
+    spark = scored.sparkSession
+    return spark.createDataFrame(rows, RECORD_SCHEMA).unionByName(recorded_metrics(scored, threshold))
+
+
+def recorded_metrics(scored: DataFrame, threshold: float) -> DataFrame:
+    """The metrics and the confusion matrix of a record."""
+    one = scored.withColumn("_one", F.lit(0))
+    metrics = compared_metrics(one, threshold, "_one").select(F.lit("metric").alias("section"), F.col("metric").alias("name"), "value")
+    counts = ["true_positive", "false_positive", "false_negative", "true_negative"]
+    matrix = threshold_metrics(one, [threshold], by=["_one"]).select(*[F.col(c).cast("double").alias(c) for c in counts])
+    matrix = matrix.unpivot([], counts, "name", "value").select(F.lit("matrix").alias("section"), "name", "value")
+    return metrics.unionByName(matrix)
+
+
+def model_of(record: DataFrame) -> LinearModel:
+    """The model of a record: some fifty numbers."""
+    found: dict[str, dict[str, float]] = {"mean": {}, "scale": {}, "weight": {}}
+    for r in record.where(F.col("section").isin(*found)).collect():
+        found[r["section"]][r["name"]] = r["value"]
+    names = [n for n in FEATURES if n in found["mean"]]
+    weights = found["weight"]
+    return LinearModel(names, *[[found[s][n] for n in names] for s in ("mean", "scale", "weight")], weights["intercept"])
+
+
+def promotion_check(record: DataFrame, refit_scored: DataFrame, threshold: float) -> DataFrame:
+    """a refit's metrics against the recorded ones: (section, metric, actual, expected,
+    absolute_difference, matches). Ranking metrics may differ by 1e-6, those at the threshold
+    by 1e-5, counts of the matrix not at all; a metric that is missing on a side differs."""
+    limits = {"average_precision": 1e-6, "roc_auc": 1e-6}
+    actual, expected = recorded_metrics(refit_scored, threshold), record.where("section IN ('metric', 'matrix')")
+    both = actual.withColumnRenamed("value", "actual").join(expected.withColumnRenamed("value", "expected"), ["section", "name"], "full")
+    limit = F.lit(1e-5)
+    for name, value in limits.items():
+        limit = F.when(F.col("name") == name, value).otherwise(limit)
+    limit = F.when(F.col("section") == "matrix", 0.0).otherwise(limit)
+    apart = F.abs(F.col("actual") - F.col("expected"))
+    return both.select("section", F.col("name").alias("metric"), "actual", "expected", apart.alias("absolute_difference"), F.coalesce(apart <= limit, F.lit(False)).alias("matches"))
+
+
 def statistics_of(features: DataFrame, names: Sequence[str] = tuple(FEATURES)) -> dict[str, tuple[float, float]]:
     """F1 as literals (17 pairs)."""
     rows = scaler_statistics(features, names).collect()
@@ -149,7 +244,7 @@ def prior_score(train: DataFrame) -> Column:
 
 def score_candidates(df: DataFrame, candidates: dict[str, Column], id_col: str = "txn_id") -> DataFrame:
     """Raw rows to (candidate, id, label, amount, score), features computed once per row."""
-    rows = add_features(df, keep=[id_col, TARGET, "amount"])
+    rows = finite_features(df, [id_col, TARGET, "amount"])
     scores = F.array(
         *[
             F.struct(F.lit(name).alias("candidate"), score.alias("score"))
@@ -177,12 +272,12 @@ def fit_trees(
     unknown = set(params) - set(TREE_SPACE)
     if unknown:
         raise ContractError(f"no such tree settings: {sorted(unknown)}")
+    check_names(names)
+    require_both_classes(train)
 
     def prepared(df: DataFrame, held_out: bool) -> DataFrame:
         w = F.col(weight) if weight and weight in df.columns else F.lit(1.0)
-        return add_features(
-            df.withColumns({"_w": w, "_held_out": F.lit(held_out)}), keep=[TARGET, "_w", "_held_out"]
-        )
+        return finite_features(df.withColumns({"_w": w, "_held_out": F.lit(held_out)}), [TARGET, "_w", "_held_out"])
 
     rows = prepared(train, False)
     if validation is not None:
@@ -212,7 +307,7 @@ def _subset(share: float) -> str:
 
 def score_model(model, df: DataFrame, candidate: str, names: Sequence[str] = tuple(FEATURES), id_col: str = "txn_id") -> DataFrame:
     """F8 for tree models: positive-class probability."""
-    rows = add_features(df, keep=[id_col, TARGET, "amount"])
+    rows = finite_features(df, [id_col, TARGET, "amount"])
     data = _assembled(rows, names, id_col, TARGET, "amount")
     return model.transform(data).select(
         F.col(id_col).alias("id"),
@@ -225,7 +320,8 @@ def score_model(model, df: DataFrame, candidate: str, names: Sequence[str] = tup
 
 def fit_shallow_tree(train: DataFrame, depth: int = 3, names: Sequence[str] = tuple(FEATURES), seed: int = 42):
     """an unweighted decision tree, to see which few features would do."""
-    rows = _assembled(add_features(train, keep=[TARGET]), names, TARGET)
+    require_both_classes(train)
+    rows = _assembled(finite_features(train, [TARGET]), check_names(names), TARGET)
     return DecisionTreeClassifier(labelCol=TARGET, maxDepth=depth, seed=seed).fit(rows)
 
 

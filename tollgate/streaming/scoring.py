@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.functions.exprs import predict, risk_level
+from tollgate.functions.exprs import is_finite, predict, risk_level
 from tollgate.functions.features import feature_columns
 from tollgate.operators.quality import contract
-from tollgate.schemas import MEDIUM_THRESHOLD, OPERATIONAL_THRESHOLD
+from tollgate.schemas import MEDIUM_THRESHOLD, OPERATIONAL_THRESHOLD, check_model_inputs
 
 
 def request_items(requests: DataFrame) -> DataFrame:
-    """One row per item of each request's array, with its index."""
+    """One row per item of each request's array, with its index; B8: items hold the model's inputs
+    and nothing else."""
+    check_model_inputs(requests.schema["transactions"].dataType.elementType.fieldNames())
     return requests.select(
         *[c for c in requests.columns if c != "transactions"],
         F.posexplode("transactions").alias("item_index", "_item"),
@@ -43,6 +45,10 @@ def score_rows(
         *[c.alias(n) for n, c in inputs.items()], "reject_reasons", "fraud_score"
     )
     s = F.col("fraud_score")
+    # A row that keeps the contract has a finite score
+    failed = F.raise_error(F.lit("a valid row has no finite score")).cast("double")
+    sound = (F.size("reject_reasons") > 0) | (is_finite(s) & s.between(0, 1))
+    made = made.withColumn("fraud_score", F.when(F.coalesce(sound, F.lit(False)), s).otherwise(failed))
     return made.withColumns(
         {
             "prediction": predict(s, threshold),
