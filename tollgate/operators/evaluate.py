@@ -37,6 +37,7 @@ COMPARED_METRICS = [
     "fraud_amount_recall",
 ]
 
+# Fields of a threshold row.
 THRESHOLD_FIELDS = [
     "true_positive",
     "false_positive",
@@ -395,7 +396,8 @@ def evaluation_bundle(
     """Everything a selection needs, one wide row per group.
 
     Fields at 0.5, at the best F1 and at the best F2 threshold come from the same pass over
-    the curve as the ranking metrics; the best F2 threshold is the selected one.
+    the curve as the ranking metrics; the best F2 threshold is the selected one. The score summary
+    (``score_...``) comes from the curve as well.
     """
     by = list(by)
     if not by:
@@ -439,11 +441,14 @@ def evaluation_bundle(
             for field in ("recall", "fraud_amount_recall")
         ]
     )
-    return wide.select(*cols).join(flat, by)
+    summary = score_summary(curve, by)
+    summary = summary.select(*by, *[F.col(c).alias(f"score_{c}") for c in summary.columns if c not in by])
+    return wide.select(*cols).join(flat, by).join(summary, by)
 
 
 def flat_metrics(bundle: DataFrame, prefix: str, by: str = "candidate") -> DataFrame:
     """Bundle row to (group, metric, value) with the names a tracker would log."""
+    # Logged names.
     named = {
         "pr_auc": "average_precision",
         "roc_auc": "roc_auc",

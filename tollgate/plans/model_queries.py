@@ -562,7 +562,11 @@ def g15(spark: SparkSession, d: str) -> DataFrame:
     """SELECT candidate, CAST(n_total AS BIGINT) AS row_count, CAST(pos_total AS BIGINT) AS fraud_count, round(average_precision, 6) AS average_precision,
        round(roc_auc, 6) AS roc_auc, round(selected_threshold, 9) AS selected_threshold, CAST(tp AS BIGINT) AS selected_true_positive,
        CAST(fp AS BIGINT) AS selected_false_positive, round(selected_f_beta, 6) AS selected_f_beta, round(selected_alert_rate, 6) AS selected_alert_rate,
-       round(top_0_5_recall, 6) AS top_0_5_recall, round(top_0_5_fraud_amount_recall, 6) AS top_0_5_fraud_amount_recall FROM cfull""",
+       round(top_0_5_recall, 6) AS top_0_5_recall, round(top_0_5_fraud_amount_recall, 6) AS top_0_5_fraud_amount_recall,
+       lo AS score_minimum, hi AS score_maximum, av AS score_mean, md AS score_median, p99 AS score_p99, zeros AS score_exact_zero_count
+       FROM cfull JOIN (SELECT candidate, round(min(s), 6) AS lo, round(max(s), 6) AS hi, round(avg(s), 6) AS av, round(quantile_cont(s, CAST(0.5 AS DOUBLE)), 6) AS md,
+           round(quantile_cont(s, CAST(0.99 AS DOUBLE)), 6) AS p99, count(*) FILTER (WHERE s = 0) AS zeros
+         FROM (SELECT candidate, least(greatest(score, 0), 1) AS s FROM candidates) GROUP BY candidate) USING (candidate)""",
 )
 def g16(spark: SparkSession, d: str) -> DataFrame:
     return rounded(
@@ -570,6 +574,7 @@ def g16(spark: SparkSession, d: str) -> DataFrame:
             "candidate", "row_count", "fraud_count", "average_precision", "roc_auc",
             "selected_threshold", "selected_true_positive", "selected_false_positive",
             "selected_f_beta", "selected_alert_rate", "top_0_5_recall", "top_0_5_fraud_amount_recall",
+            "score_minimum", "score_maximum", "score_mean", "score_median", "score_p99", "score_exact_zero_count",
         ),
         6,
         selected_threshold=9,

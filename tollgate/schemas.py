@@ -41,7 +41,7 @@ METRIC_SEVERITIES = [
     "unavailable",
 ]
 
-# Column roles.
+# Column roles.
 TARGET = "isFraud"
 MODEL_INPUTS = ["step", "type", "amount", "oldbalanceOrg", "oldbalanceDest"]
 IDENTIFIERS = ["nameOrig", "nameDest"]
