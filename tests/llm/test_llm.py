@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fixtures import frame, words
 from tollgate.llm import bwt, components, compression, decontam, mixing, multiindex, near_copies, packing, privacy, repeats, simhash, tokens, toxicity, wavelet
@@ -192,6 +193,30 @@ def test_mix_near_targets_and_texts(spark, odd_rows):
     assert sorted(mixing.mixed(docs).collect(), key=str) == sorted(out, key=str)
 
 
+def test_seats_go_to_the_highest_quotients(spark):
+    r = random.Random(12)
+    groups = {1: ([5.0] * 7, 10), 2: ([1.0, 1.0, 1.0, 100.0], 3), 3: ([0.4] * 9 + [40.0], 12), 4: ([0.0, 0.0], 5), 5: ([r.random() ** 4 * 50 for _ in range(60)], 77), 6: ([0.6] * 11, 6), 7: ([3.0], 0)}
+    rows = [(g, n, v, house) for g, (votes, house) in groups.items() for n, v in enumerate(votes)]
+    table = spark.createDataFrame(rows, "g int, party long, votes double, house long")
+    got = {(x.g, x.party): x.seats for x in mixing.seats(table, "party", F.col("votes"), F.col("house"), "g").collect()}
+    for g, (votes, house) in groups.items():
+        won = [0] * len(votes)
+        for _ in range(house if any(votes) else 0):
+            top = max(range(len(votes)), key=lambda n: (votes[n] / (2 * won[n] + 1), -n))
+            won[top] += 1
+        assert [got[g, n] for n in range(len(votes))] == won, g
+
+
+def test_mix_spreads_null_ids(spark):
+    docs = frame(spark, [(None, words(i, 5 + i % 90), "a") for i in range(5000)])
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    out = mixing.apportioned(sized, mixing.source_targets(sized))
+    assert out.count() == 5000
+    spot = F.pmod(F.col("size"), F.lit(3)).alias("shard")  # three shards of at most 2 000 rows
+    counts = [x["count"] for x in sized.groupBy(spot).count().collect()]
+    assert len(counts) == 3 and max(counts) < 2000
+
+
 def test_pack_prefers_room():
     placed = packing.pack(np.array([[5, 5, 5], [4, 4, 4], [3, 3, 3], [2, 2, 2.0]]), 2)
     assert sorted(np.bincount(placed, [5, 4, 3, 2]).tolist()) == [7, 7]

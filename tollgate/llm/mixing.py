@@ -57,25 +57,61 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return s.select("source", "source_size", "source_rows", target.cast("double").alias("target"))
 
 
+def seats(parties: DataFrame, party: str, votes: Column, house: Column, by: str) -> DataFrame:
+    """``parties`` with ``seats``: the house of each group ``by`` shared by votes, whole and exactly.
+
+    Sainte-Lague: seat k = 0, 1, ... of a party has the quotient votes / (2 k + 1), and the highest
+    quotients win. Rounded shares are near that; what they give too little or too much is settled by
+    ranking the next quotients, or the last ones, of equal ones those of the smaller ``party`` first.
+    No party can gain or lose more than its share of the difference and of the number of
+    parties, and one; so many quotients are ranked, which is in proportion to the parties.
+    """
+    group = Window.partitionBy(by)
+    total, n = F.sum("__votes").over(group), F.count("*").over(group)
+    share = F.when(F.col("__total") > 0, F.col("__votes") / F.col("__total")).otherwise(0.0)
+    parties = parties.withColumns({"__votes": votes.cast("double"), "__house": house}).withColumns({"__total": total, "__n": n})
+    parties = parties.withColumn("__base", F.floor(share * F.col("__house") + 0.5).cast("long"))
+    parties = parties.withColumn("__rest", F.when(F.col("__total") > 0, F.col("__house") - F.sum("__base").over(group)).otherwise(F.lit(0)))
+    most = F.least(F.abs("__rest"), F.ceil(share * (F.abs("__rest") + F.col("__n"))) + 1)
+    most = F.when(F.col("__rest") < 0, F.least(most, F.col("__base"))).otherwise(most).cast("int")
+    steps = F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>"))
+    more = F.col("__rest") > 0
+    marginal = parties.select(by, party, "__rest", "__votes", "__base", F.explode(steps).alias("__j"))
+    place = F.when(more, F.col("__base") + F.col("__j")).otherwise(F.col("__base") - 1 - F.col("__j"))
+    quotient = F.col("__votes") / (2 * place + 1)
+    order = Window.partitionBy(by).orderBy(F.when(more, -quotient).otherwise(quotient), F.when(more, F.col(party)).otherwise(-F.col(party)), "__j")
+    won = marginal.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= F.abs("__rest")).groupBy(by, party).agg(F.count("*").alias("__won"))
+    parties = parties.join(won, [by, party], "left")
+    gained = F.coalesce("__won", F.lit(0)) * F.signum("__rest").cast("long")
+    return parties.withColumn("seats", (F.col("__base") + gained).cast("long")).drop("__votes", "__house", "__total", "__n", "__base", "__rest", "__won")
+
+
 def apportioned(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``rows`` (doc_id, source, size, ...) with source_size, target, whole and blocks: how often the
     mix takes the whole document, and the taken ranges [from, to) of its words besides.
 
-    Sainte-Lague: block k = 0, 1, ... of a source has the quotient target / (2 k + 1). All blocks
-    with quotients of at least half a block are taken, so a source gets round(target / BLOCK)
-    blocks, and its shards share them by their words in the same way. A shard's rows lie end to
+    The blocks of all targets together go to the sources by highest quotients, and a source's blocks
+    to its shards by their words in the same way (``seats``). A shard's rows lie end to
     end in order of id; after whole passes, the rest of its quota goes to single blocks, chosen
-    without repeats by multiples of ``STRIDE`` from a seeded place.
+    without repeats by multiples of ``STRIDE`` from a seeded place. Shards go by id and size, so that
+    null ids and ids with a common factor spread.
     """
+    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    targets = targets.withColumns({"__no": number, "__all_of_it": F.lit(0), "__blocks": F.floor(F.sum("target").over(everything) / BLOCK + 0.5)})
+    targets = checkpointed(seats(targets, "__no", F.col("target"), F.col("__blocks"), "__all_of_it").drop("__all_of_it", "__blocks"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / SHARD_ROWS))
-    rows = rows.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rows = rows.withColumn("__shard", F.pmod(F.coalesce("doc_id", F.lit(0)), shards))
-    shard = Window.partitionBy("source", "__shard")
+    # one row per source
+    rows = rows.join(F.broadcast(targets.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    spot = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), shards) + F.col("size"), shards)
+    rows = rows.withColumn("__shard", spot.cast("long")).withColumnRenamed("seats", "__quota")
+    sized = rows.groupBy("__no", "__shard").agg(F.sum("size").alias("__words"), F.max("__quota").alias("__house"))
+    quotas = seats(sized, "__shard", F.col("__words"), F.col("__house"), "__no").drop("__words")
+    rows = rows.drop("__quota").join(quotas, ["__no", "__shard"])
+    shard = Window.partitionBy("__no", "__shard")
     lie = shard.orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"__all": F.sum("size").over(shard), "__end": F.sum("size").over(lie)})
-    quota = F.floor(F.col("target") / BLOCK + 0.5)
-    quota = F.floor(F.col("__all") * quota / F.greatest(F.col("source_size"), F.lit(1)) + 0.5)
-    words = F.least(quota * BLOCK, F.col("__all") * MOST)
+    words = F.least(F.col("seats") * BLOCK, F.col("__all") * MOST)
     whole = F.when(F.col("__all") > 0, F.floor(words / F.col("__all"))).otherwise(0)
     rows = rows.withColumns({"__words": words, "whole": whole.cast("long")})
     rows = rows.withColumns(
@@ -95,7 +131,7 @@ def apportioned(rows: DataFrame, targets: DataFrame) -> DataFrame:
         ),
     )
     rows = rows.withColumn("blocks", F.when((F.col("size") > 0) & (F.col("__pick") > 0), spans).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>")))
-    return rows.drop("__shard", "__all", "__end", "__words", "__pick", "__n", "__start", "source_rows")
+    return rows.drop("__no", "__shard", "__all", "__end", "__words", "__pick", "__n", "__start", "source_rows", "seats")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -103,7 +139,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have size 0 and nothing to take; a null source is one of its own; rows
     with a null or repeated id stay apart (equal rows may swap places); an empty table gives
-    none. A source's taken words differ from its target by less than about a block per shard.
+    none. A source's blocks are its exact share; its taken words differ from them by less than a block
+    per shard, since a shard's last block may be short.
     """
     sized = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     rows = apportioned(sized, source_targets(sized))
@@ -146,15 +183,32 @@ WITH d AS (
 ), o AS (SELECT rest / ws AS level, i FROM c WHERE lim / weight > rest / ws ORDER BY i LIMIT 1
 ), t AS (
   SELECT source, source_size, source_rows, CASE WHEN c.i >= o.i THEN o.level * weight ELSE CAST(lim AS DOUBLE) END AS target FROM c LEFT JOIN o ON TRUE
+), tn AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no, CAST(floor(sum(target) OVER () / {BLOCK} + 0.5) AS BIGINT) AS house, sum(target) OVER () AS votes, count(*) OVER () AS parties FROM t
+), tb AS (SELECT *, CASE WHEN votes > 0 THEN target / votes ELSE 0 END AS share FROM tn
+), tc AS (SELECT *, CAST(floor(share * house + 0.5) AS BIGINT) AS base FROM tb
+), td AS (SELECT *, CASE WHEN votes > 0 THEN house - CAST(sum(base) OVER () AS BIGINT) ELSE 0 END AS rest FROM tc
+), tm AS (SELECT *, unnest(range(CAST(least(abs(rest), ceil(share * (abs(rest) + parties)) + 1, CASE WHEN rest < 0 THEN base ELSE 9e18 END) AS BIGINT))) AS j FROM td
+), tr AS (SELECT no, rest, row_number() OVER (ORDER BY CASE WHEN rest > 0 THEN -target / (2 * (base + j) + 1) ELSE target / (2 * (base - 1 - j) + 1) END, CASE WHEN rest > 0 THEN no ELSE -no END, j) AS rk FROM tm
+), tw AS (SELECT no, count(*) AS won FROM tr WHERE rk <= abs(rest) GROUP BY no
+), ts AS (SELECT td.*, base + coalesce(won, 0) * CAST(sign(rest) AS BIGINT) AS quota, CAST(greatest(1, ceil(source_rows / {SHARD_ROWS})) AS BIGINT) AS shards FROM td LEFT JOIN tw ON td.no = tw.no
 ), r AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    coalesce(doc_id, 0) % CAST(greatest(1, ceil(source_rows / {SHARD_ROWS})) AS BIGINT) AS shard
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.source, d.size, ts.source_size, ts.target, ts.no, ts.quota, ((((coalesce(doc_id, 0) % shards) + shards) % shards) + d.size) % shards AS shard
+  FROM d JOIN ts ON d.source IS NOT DISTINCT FROM ts.source
+), sa AS (SELECT no, shard, CAST(sum(size) AS DOUBLE) AS votes, max(quota) AS house FROM r GROUP BY no, shard
+), sb AS (SELECT *, sum(votes) OVER (PARTITION BY no) AS total, count(*) OVER (PARTITION BY no) AS parties FROM sa
+), sc AS (SELECT *, CASE WHEN total > 0 THEN votes / total ELSE 0 END AS share FROM sb
+), sd AS (SELECT *, CAST(floor(share * house + 0.5) AS BIGINT) AS base FROM sc
+), se AS (SELECT *, CASE WHEN total > 0 THEN house - CAST(sum(base) OVER (PARTITION BY no) AS BIGINT) ELSE 0 END AS rest FROM sd
+), sm AS (SELECT *, unnest(range(CAST(least(abs(rest), ceil(share * (abs(rest) + parties)) + 1, CASE WHEN rest < 0 THEN base ELSE 9e18 END) AS BIGINT))) AS j FROM se
+), sr AS (SELECT no, shard, rest, row_number() OVER (PARTITION BY no ORDER BY CASE WHEN rest > 0 THEN -votes / (2 * (base + j) + 1) ELSE votes / (2 * (base - 1 - j) + 1) END, CASE WHEN rest > 0 THEN shard ELSE -shard END, j) AS rk FROM sm
+), sw AS (SELECT no, shard, count(*) AS won FROM sr WHERE rk <= abs(rest) GROUP BY no, shard
+), ss AS (SELECT se.no, se.shard, base + coalesce(won, 0) * CAST(sign(rest) AS BIGINT) AS seats FROM se LEFT JOIN sw ON se.no = sw.no AND se.shard = sw.shard
 ), p AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard) AS BIGINT) AS total,
-    CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fin FROM r
+  SELECT r.*, seats, CAST(sum(size) OVER (PARTITION BY r.no, r.shard) AS BIGINT) AS total,
+    CAST(sum(size) OVER (PARTITION BY r.no, r.shard ORDER BY doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fin FROM r JOIN ss ON r.no = ss.no AND r.shard = ss.shard
 ), q AS (
-  SELECT *, least({BLOCK} * CAST(floor(total * floor(target / {BLOCK} + 0.5) / greatest(source_size, 1) + 0.5) AS BIGINT), {MOST} * total) AS words FROM p
+  SELECT *, least({BLOCK} * seats, {MOST} * total) AS words FROM p
 ), f AS (SELECT *, CASE WHEN total > 0 THEN words // total ELSE 0 END AS whole FROM q
 ), g AS (
   SELECT *, CAST(floor((words - whole * total) / {BLOCK} + 0.5) AS BIGINT) AS pick, CAST(ceil(total / {BLOCK}) AS BIGINT) AS n, fin - size AS beg FROM f
