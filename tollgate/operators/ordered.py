@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tollgate.session import checkpointed
+
 
 # Hash classes of keys of which one decides the cut points.
 CUT_SAMPLE = 64
@@ -142,8 +144,8 @@ def of_bits(bits: int) -> float:
     return -size if bits < 0 else size
 
 
-# Bits that are settled after each scan of a radix selection: twelve more at a time.
-_SHIFTS = (52, 40, 28, 16, 4, 0)
+# Bits that are left open after each scan of a radix selection: sixteen are settled at a time.
+_SHIFTS = (48, 32, 16, 0)
 
 
 def select_ranks(
@@ -152,14 +154,15 @@ def select_ranks(
     """Radix selection: per group and wanted place, counted from 0, the bits that stand there and the
     number of rows with smaller ones.
 
-    Every scan counts rows by their next twelve bits, in the cells that hold a wanted place; counts
-    are folded map-side, so no row is ever shuffled. At most six scans, fewer where a cell
-    holds one value only. ``ranks`` has few groups and places; only they reach the driver.
+    The bits are written once, as a table of one narrow column. Every scan of it counts rows by their
+    next sixteen bits, in the cells that hold a wanted place; counts are folded map-side, so no
+    row is ever shuffled. At most four scans, fewer where a cell holds one value only. ``ranks`` has
+    few groups and places; only they reach the driver.
     """
     by = list(by)
     spark = rows.sparkSession
     found: dict[tuple, dict[int, tuple[int, int]]] = {g: {} for g in ranks}
-    rows = rows.select(*by, bits.alias("_bits"))
+    rows = checkpointed(rows.select(*by, bits.alias("_bits")))
     kinds = [rows.schema[c] for c in by]
     # group, cell, rows of the group before the cell, place
     open_ = [(g, None, 0, r) for g, places in ranks.items() for r in sorted(set(places))]
@@ -179,7 +182,7 @@ def select_ranks(
         counts = source.groupBy(*by, F.shiftright("_bits", shift).alias("_at")).agg(
             F.count(F.lit(1)).alias("_n"), F.min("_bits").alias("_low"), F.max("_bits").alias("_high")
         )
-        # cells of one twelve-bit step: at most 4 096 rows
+        # cells of one step: at most 65 536 rows
         outer = F.shiftright("_at", wider - shift) if wider is not None else F.lit(0)
         counts = counts.withColumn("_outer", outer)
         running = Window.partitionBy(*by, "_outer").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
