@@ -421,6 +421,13 @@ def test_patterns_round_half_even(spark):
     assert (exact, coarse) == (2, 1)
 
 
+def test_patterns_round_the_float_itself(spark):
+    """These logarithms lie beside a half of a thousandth, but on it once multiplied as floats."""
+    df = transactions(spark, [(i, 1, "PAYMENT", 1.0, b, 1.0, 0) for i, b in enumerate((47.40, 47.74, 15.42))])
+    got = df.orderBy("txn_id").select(shortcuts.pattern_columns(3)["log_oldbalance_origin"].cast("string").alias("x"))
+    assert [r["x"] for r in got.collect()] == ["3.879", "3.887", "2.799"]
+
+
 # Ledger
 
 

@@ -26,12 +26,16 @@ DUPLICATE_LIMIT = 50.0
 
 
 def pattern_columns(decimals: int | None = None) -> dict[str, Column]:
-    """H1: the float features that identify a pattern, rounded half-even if asked."""
+    """H1: the float features that identify a pattern, rounded half-even if asked.
+
+    Rounding takes place in double precision, where a float times the scale is exact: as floats, 3.8795
+    times 1000 is a half that it is not.
+    """
     exprs = {n: c.cast("float") for n, c in feature_columns().items()}
     if decimals is None:
         return exprs
-    scale = F.lit(float(10**decimals)).cast("float")
-    return {n: (F.rint(c * scale) / scale).cast("float") for n, c in exprs.items()}
+    scale = F.lit(float(10**decimals))
+    return {n: (F.rint(c.cast("double") * scale) / scale).cast("float") for n, c in exprs.items()}
 
 
 def duplicate_patterns(
