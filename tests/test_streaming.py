@@ -4,6 +4,7 @@ import tempfile
 import time
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,49 @@ def test_label_stream_equals_batch_after_restarts(spark, txn):
     assert rows(merged, *columns) == rows(ledger.merge_outcomes(sent, admitted, stored), *columns)
 
 
+def test_label_claims_are_kept_by_bucket(spark):
+    """State and Python calls are as many as buckets, not as predictions."""
+    intake.use_rocksdb(spark)
+    schema = "batch_id bigint, position bigint, prediction_id bigint, actual_fraud int, source string"
+    large = 2**62 + 1
+    first = [(1, i, i, i % 2, "x") for i in range(3000)] + [(1, 3000, 7, 1, "x"), (1, 3001, large, 1, "x"), (1, 3002, None, None, "x")]
+    second = [(2, 4000 + i, p, 0, "y") for i, p in enumerate((2999, 3000, large, large - 1, -5, None))]
+    third = [(3, 5000 + i, p, 0, "z") for i, p in enumerate((3000, -5, -6, 0, large, None))]
+    out = scratch()
+    query = drain(start(states.claimed_labels(in_files(spark, [first, second, third], schema), buckets=16), out))
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]} <= set(range(17))
+    made = spark.read.parquet(f"{out}/data")
+    assert made.where("claimed").select("batch_id", "position").orderBy("position").collect() == [(2, 4000), (2, 4002), (3, 5000), (3, 5001), (3, 5003), (3, 5004)]
+    assert made.count() == 3015 and sorted(r["position"] for r in made.where("prediction_id IS NULL").collect()) == [3002, 4005, 5005]
+    assert made.where("prediction_id = 7").count() == 2 and made.where(f"prediction_id = {large}").count() == 3
+
+
+def test_label_claims_forget_by_prediction():
+    class Kept:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = lambda: now
+
+    claims = states.LabelClaims(100)
+    claims.sent = Kept()
+
+    def claimed(now, *ids):
+        frame = pd.DataFrame({c: [0] * len(ids) for c in states.CLAIM_SCHEMA.fieldNames()[:-1]}).assign(prediction_id=ids)
+        return [bool(v) for out in claims.handleInputRows((0,), iter([frame[:1], frame[1:]]), Clock(now)) for v in out["claimed"]]
+
+    assert claimed(0, 5, 9, 5) == [False] * 3
+    assert claimed(60, 9, 2) == [True, False]
+    # 5 was last sent for 120 ms ago, 9 and 2 only 60
+    assert claimed(120, 5, 9, 2) == [False, True, True]
+
+
 def test_alerts_fire_and_end_without_further_input(spark):
     intake.use_rocksdb(spark)
     def points(name, bad):

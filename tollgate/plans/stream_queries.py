@@ -151,7 +151,8 @@ def admitted_by_stream(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame,
         "verdicts": "batch_id bigint, submissions bigint, unknown_ids bigint, label_conflicts bigint, stored_conflicts bigint, earlier_conflicts bigint, oversize boolean, admitted boolean",
         "merged": "batch_id bigint, position bigint, prediction_id bigint, actual_fraud int, source string, replayed boolean",
     }
-    kept = {name: BatchTable(spark, f"{path}/{name}", spark.createDataFrame([], schema).schema) for name, schema in tables.items()}
+    keys = {"labels": "prediction_id"}
+    kept = {name: BatchTable(spark, f"{path}/{name}", spark.createDataFrame([], schema).schema, key=keys.get(name), buckets=8) for name, schema in tables.items()}
     write = states.label_writer(lambda: events, before, kept["labels"], kept["verdicts"], kept["merged"])
     stream = lambda: each(states.claimed_labels(files(spark, f"{path}/in", sent.schema)), path, write)
     arriving(sent, F.least(F.floor(F.col("batch_id") * 3 / (last + 1)), F.lit(2)), 3, stream, path=f"{path}/in")
