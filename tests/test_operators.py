@@ -684,6 +684,25 @@ def test_certificate_of_a_fit(spark, train):
     assert one(models.optimality(moved, train, alpha=1e-2))["residual"] > 1e-3
 
 
+def test_features_are_derived_once_for_all_fits_of_a_search(spark, train, monkeypatch):
+    made, derive = [], models.finite_features
+
+    def counted(df, keep):
+        made.append(keep)
+        return derive(df, keep)
+
+    monkeypatch.setattr(models, "finite_features", counted)
+    trials = models.logistic_trials(limit=3)
+    _, fitted = models.logistic_search(train, train, trials)
+    assert len(made) == 2  # for the fits, and for the scores
+    t = trials[1]
+    alone = models.fit_logistic(train, sampling.positive_weight(t["positive_class_weight"]), t["alpha"], t["epochs"])
+    assert fitted[t["trial_id"]].weights == pytest.approx(alone.weights, abs=1e-9)
+    prepared = models.fit_rows(train)
+    del made[:]
+    assert one(models.optimality(alone, prepared))["row_count"] == 400 and models.fit_logistic(prepared).weights and not made
+
+
 def test_promotion_needs_every_number(spark, train):
     model = models.fit_logistic(train)
     scored = models.score_candidates(train, {"m": model.score()}).cache()
