@@ -703,6 +703,19 @@ def test_features_are_derived_once_for_all_fits_of_a_search(spark, train, monkey
     assert one(models.optimality(alone, prepared))["row_count"] == 400 and models.fit_logistic(prepared).weights and not made
 
 
+def test_permutation_fit_draws_its_sample_once(spark, train, monkeypatch):
+    """The plan that a fit reads several times holds neither the hashes of the draw nor those of the shuffle."""
+    plans, fit = [], models.fit_trees
+
+    def seen(rows, *args, **kwargs):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return fit(rows, *args, **kwargs)
+
+    monkeypatch.setattr(models, "fit_trees", seen)
+    got = one(models.permutation_test(train, train, max_negatives=100, rounds=2))
+    assert got["evaluation_rows"] == 400 and len(plans) == 1 and "sha2" not in plans[0]
+
+
 def test_promotion_needs_every_number(spark, train):
     model = models.fit_logistic(train)
     scored = models.score_candidates(train, {"m": model.score()}).cache()
