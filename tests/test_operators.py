@@ -780,6 +780,36 @@ def test_stale_gauges_break_a_stretch(spark):
     assert seconds == [(400, 1300)]
 
 
+@pytest.mark.parametrize("pieces", [0, 1, 7, 200])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_gauge_stretches_do_not_depend_on_slabs(spark, pieces, kind):
+    """One gauge that holds all samples is ordered slab by slab; whatever the cuts, a plain loop gives the same."""
+    r, at = random.Random(pieces), datetime(2024, 3, 30, 23, tzinfo=timezone.utc)  # a night in which clocks change
+    moments = {g: sorted(r.sample(range(0, 20_000), 400)) for g in "ab"}
+    samples = [(g, s, r.random() < 0.8) for g, ss in moments.items() for s in ss] + [("b", s, False) for s in moments["b"][::50]]
+    rows = [(at + timedelta(seconds=s), g, ok) for g, s, ok in samples] + [(None, "a", True)]
+    df = spark.createDataFrame(rows, "ts timestamp, g string, bad boolean").withColumn("ts", F.col("ts").cast(kind))
+    want = []
+    for g in "ab":
+        all_of = {}
+        for h, s, ok in samples:
+            if h == g:
+                all_of[s] = all_of.get(s, True) and ok
+        times, begun = sorted(all_of), None
+        for k, s in enumerate(times):
+            end = min(s + 90, times[k + 1] if k + 1 < len(times) else s + 90)
+            if all_of[s]:
+                begun = s if begun is None else begun
+            if begun is not None and (not all_of[s] or k + 1 == len(times) or end < times[k + 1] or not all_of[times[k + 1]]):
+                want += [(g, begun, end)] if end - begun >= 120 else []
+                begun = None
+    cuts = sorted({at.timestamp() + r.uniform(-100, 20_100) for _ in range(pieces)})
+    got = series.gauge_intervals(df, F.col("bad"), 120, 90, by=["g"], cuts=cuts)
+    start = F.lit(at.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S") + "+00:00").cast("timestamp").cast(kind)
+    seconds = [F.unix_timestamp(F.col(c).cast("timestamp")) - F.unix_timestamp(start.cast("timestamp")) for c in ("pending_since", "ended_at")]
+    assert len(want) > 20 and sorted(tuple(x) for x in got.select("g", *seconds).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("bad,fires", [({0: 600, 5: 600}, True), ({0: 600, 10: 600}, False), ({0: 40, 5: 600}, False)])
 def test_window_rules_fire_and_just_do_not(spark, bad, fires):
     """Error rate and latency: a window counts from more than 5 % failures and 1 s."""

@@ -1,7 +1,8 @@
 """Operational series over a request log.
 
 Each series is a windowed aggregate with few keys; anything that needs order (alerts,
-staleness) runs over the aggregated points, whose number depends on time and not on traffic.
+staleness) runs over the aggregated points, whose number depends on time and not on traffic. Samples
+of gauges come at any times, so they are ordered in slabs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.functions.exprs import le_bucket_of, status_class
+from tollgate.operators.ordered import assign_slab, cut_points, slab_count
+from tollgate.session import checkpointed
 
 # Inclusive upper bounds of the latency and score buckets.
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
@@ -26,6 +29,8 @@ STALENESS_LIMIT, STALENESS_HOLD = 300, 120
 DRIFT_HOLD = 300
 
 WINDOW_SECONDS = 300
+# Slabs of time, at least, in which the samples of gauges are put in order.
+SLABS = 256
 
 
 def in_windows(df: DataFrame, ts: str = "ts", length: str = "5 minutes", slide: str | None = None) -> DataFrame:
@@ -222,6 +227,21 @@ def operational_alerts(log: DataFrame) -> DataFrame:
     return sustained(errors.unionByName(slow), F.col("bad"), rate_hold, by=["alert"])
 
 
+def _seconds(moment: Column, kind: str) -> Column:
+    """Seconds since 1970 as a double, from the difference of two instants of one type: the session zone
+    plays no part, so the seconds never run back."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") if kind == "timestamp_ntz" else F.lit("1970-01-01 00:00:00+00:00").cast("timestamp")
+    since = moment - zero
+    parts = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60, "SECOND": 1}
+    return sum((F.extract(F.lit(p), since).cast("double") * n for p, n in parts.items()), F.lit(0.0))
+
+
+def moment_cuts(samples: DataFrame, ts: str = "ts") -> list[float]:
+    """Times, in seconds, that cut samples into slabs of about the same size."""
+    at = samples.select(_seconds(F.col(ts), samples.schema[ts].dataType.simpleString()).alias("_at"))
+    return cut_points(at, "_at", max(SLABS, slab_count(samples)))
+
+
 def gauge_intervals(
     samples: DataFrame,
     condition: Column,
@@ -229,34 +249,78 @@ def gauge_intervals(
     stale_seconds: int = STALENESS_LIMIT,
     by: Sequence[str] = (),
     ts: str = "ts",
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """L9 for gauges: stretches over which a condition on a gauge's last value holds for
     ``hold_seconds`` at least.
 
     ``samples`` come at any times. A sample counts until the next one, but no longer than
     ``stale_seconds``: after that the gauge has no value, which holds for nothing. Samples of one
-    instant count as true if all are. One row per stretch: pending_since, firing_since, and
-    ended_at, when the value changed or went stale.
+    instant count as true if all are; those without a time do not count. One row per stretch:
+    pending_since, firing_since, and ended_at, when the value changed or went stale.
+
+    One gauge may hold all samples, so they are ordered slab by slab. A slab needs only the first moment of the next
+    one and the last moment of the one before; stretches at its ends are put together afterwards, from two
+    rows a slab. ``cuts`` only balance the work: any give the same stretches.
     """
     by = list(by)
-    moments = samples.groupBy(*by, F.col(ts).alias("t")).agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("_true"))
-    order = Window.partitionBy(*by).orderBy("t")
-    until = F.least(
-        F.coalesce(F.lead("t").over(order), F.col("t") + F.expr(f"INTERVAL '{stale_seconds}' SECOND")),
-        F.col("t") + F.expr(f"INTERVAL '{stale_seconds}' SECOND"),
+    kind = samples.schema[ts].dataType.simpleString()
+    cuts = moment_cuts(samples, ts) if cuts is None else cuts
+    stale = F.expr(f"INTERVAL '{stale_seconds}' SECOND")
+    hold = F.expr(f"INTERVAL '{hold_seconds}' SECOND")
+    moments = (
+        samples.where(F.col(ts).isNotNull())
+        .groupBy(*by, F.col(ts).alias("t"))
+        .agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("_true"))
     )
-    # a stretch goes on where the sample before was true and counted up to this one
-    goes_on = F.lag("_true").over(order) & (F.lag("_until").over(order) == F.col("t"))
-    starts = F.col("_true") & ~F.coalesce(goes_on, F.lit(False))
+    moments = assign_slab(moments.withColumn("_at", _seconds(F.col("t"), kind)), "_at", cuts).drop("_at")
+    # read for the edges and for the rows
+    moments = checkpointed(moments)
+    # one row per series and slab
+    series = Window.partitionBy(*by).orderBy("_slab")
+    edges = (
+        moments.groupBy(*by, "_slab")
+        .agg(F.min("t").alias("_first"), F.max(F.struct("t", "_true")).alias("_last"))
+        .select(*by, "_slab", F.lead("_first").over(series).alias("_after"), F.lag("_last").over(series).alias("_before"))
+    )
+    edges = edges.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_slab").alias("_by_slab"), "_after", "_before")
+    same = F.col("_slab") == F.col("_by_slab")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    order = Window.partitionBy(*by, "_slab").orderBy("t")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hold = F.expr(f"INTERVAL '{hold_seconds}' SECOND")
-    return (
-        moments.withColumn("_until", until)
-        .withColumn("_starts", starts.cast("int"))
-        .withColumn("_stretch", F.sum("_starts").over(upto))
+    until = F.least(F.coalesce(F.lead("t").over(order), F.col("_after"), F.col("t") + stale), F.col("t") + stale)
+    # a stretch goes on where the sample before was true and counted up to this one
+    before_t = F.coalesce(F.lag("t").over(order), F.col("_before.t"))
+    before_true = F.coalesce(F.lag("_true").over(order), F.col("_before._true"))
+    goes_on = F.coalesce(before_true & (F.col("t") <= before_t + stale), F.lit(False))
+    # part 0 of a slab goes on with a stretch of the slab before
+    parts = (
+        moments.join(edges, same, "left")
+        .withColumn("_until", until)
+        .withColumn("_starts", (F.col("_true") & ~goes_on).cast("int"))
+        .withColumn("_part", F.sum("_starts").over(upto))
         .where("_true")
-        .groupBy(*by, "_stretch")
+        .groupBy(*by, "_slab", "_part")
         .agg(F.min("t").alias("pending_since"), F.max("_until").alias("ended_at"))
+    )
+    # a stretch can only go on from the last part of a slab
+    last = F.max("_part").over(Window.partitionBy(*by, "_slab"))
+    parts = parts.withColumn("_edge", (F.col("_part") == 0) | (F.col("_part") == last))
+    stretch = F.sum((F.col("_part") > 0).cast("int")).over(
+        Window.partitionBy(*by).orderBy("_slab", "_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    joined = (
+        parts.where("_edge")
+        .withColumn("_stretch", stretch)
+        .groupBy(*by, "_stretch")
+        .agg(F.min("pending_since").alias("pending_since"), F.max("ended_at").alias("ended_at"))
+    )
+    fields = [*by, "pending_since", "ended_at"]
+    return (
+        parts.where("NOT _edge")
+        .select(*fields)
+        .unionByName(joined.select(*fields))
         .where(F.col("ended_at") - F.col("pending_since") >= hold)
         .select(*by, "pending_since", (F.col("pending_since") + hold).alias("firing_since"), "ended_at")
     )
@@ -270,9 +334,9 @@ def gauge_alerts(gauges: DataFrame) -> DataFrame:
         "target_down": ("up", F.col("value") == 0, TARGET_HOLD),
         "significant_drift": ("drift_severity", F.col("value") == 2, DRIFT_HOLD),
     }
-    found = None
+    found, cuts = None, moment_cuts(gauges)
     for alert, (gauge, condition, hold) in rules.items():
-        part = gauge_intervals(gauges.where(F.col("gauge") == gauge), condition, hold, by=["instance"])
+        part = gauge_intervals(gauges.where(F.col("gauge") == gauge), condition, hold, by=["instance"], cuts=cuts)
         part = part.select(F.lit(alert).alias("alert"), "instance", "pending_since", "firing_since", "ended_at")
         found = part if found is None else found.unionByName(part)
     return found
